@@ -1,8 +1,9 @@
 """Many-hop questions over edge tables.
 
-The driver only counts rounds; every round is one distributed join whose new rows are written
-to the shared folder, which also ends the growing plan. State is one row per (start, node) or
-(start, node, subtype), never one row per path, so diamonds do not multiply and cycles end.
+The driver only counts rounds. Every round is one distributed join whose new rows become one
+partition of a table in the shared folder, so plans do not grow and a lost executor costs the
+current round at most. State is one row per (start, node) or (start, node, subtype), never one
+row per path: diamonds do not multiply rows, and cycles end.
 """
 
 from __future__ import annotations
@@ -11,62 +12,76 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.sources.facts import DIRECT, DIRECT_SUBTYPES
-from millrace.workspace import materialise
+from millrace.workspace import fresh_path, materialise, write_counted
 
 DEFAULT_DEPTH = 10
 
 
-def _rounds(
-    first: DataFrame, advance: Callable[[DataFrame], DataFrame], state: Sequence[str], depth: int | None
-) -> DataFrame:
+class _Rounds:
+    """A table of rows found so far, one partition per round."""
+
+    def __init__(self, first: DataFrame, label: str):
+        self._spark = first.sparkSession
+        self._path = fresh_path(self._spark, label)
+        self._schema = T.StructType([*first.schema, T.StructField("round", T.IntegerType())])
+        self.number = 0
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        self.number += 1
+        self.newest_rows = write_counted(rows, f"{self._path}/round={self.number}")
+
+    def all(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(self._path)
+
+    def newest(self) -> DataFrame:
+        return self.all().where(F.col("round") == self.number).drop("round")
+
+
+def _walk(first: DataFrame, advance: Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
     """Breadth first: what one hop reaches, then only what every further hop reaches anew.
 
-    Ends when a round finds nothing new, or after ``depth`` hops.
+    Ends when a round finds nothing new, or after ``depth`` hops. Adds ``hops``.
     """
-    hops = 1
-    frontier, rows = materialise(first.distinct().withColumn("hops", F.lit(hops)), "hop")
-    seen = frontier
-    while rows and (depth is None or hops < depth):
-        hops += 1
-        new = advance(frontier).distinct().join(seen.select(*state), list(state), "left_anti")
-        frontier, rows = materialise(new.withColumn("hops", F.lit(hops)), "hop")
-        if rows:
-            seen = seen.unionByName(frontier)
-    return seen
-
-
-def _all_pairs(links: DataFrame, depth: int) -> DataFrame:
+    state = first.columns
+    found = _Rounds(first.distinct(), "hops")
+    while found.newest_rows and found.number < depth:
+        reached = advance(found.newest()).select(*state).distinct()
+        found.add(reached.join(found.all().select(*state), state, "left_anti"))
+    return found.all().withColumnRenamed("round", "hops")
+
+
+def _all_pairs(links: DataFrame, depth: int | None = None) -> DataFrame:
     """All pairs ``start, node, hops`` up to ``depth`` hops; the longest path known doubles per round.
 
     A shortest path longer than ``span`` passes a node that is exactly ``span`` hops from its
     start, so only pairs of exactly that length are extended.
     """
-    known, rows = materialise(links.distinct().withColumn("hops", F.lit(1)), "span")
-    newest, span = known, 1
-    while rows and span < depth:
-        reach = min(span, depth - span)
-        left = newest.where(F.col("hops") == span).alias("l")
+    found, span = _Rounds(links.distinct().withColumn("hops", F.lit(1)), "pairs"), 1
+    while found.newest_rows and (depth is None or span < depth):
+        reach = span if depth is None else min(span, depth - span)
+        known = found.all().drop("round")
+        left = found.newest().where(F.col("hops") == span).alias("l")
         right = known.where(F.col("hops") <= reach).alias("r")
         longer = (
             left.join(right, F.col("l.node") == F.col("r.start"))
             .where(F.col("l.start") != F.col("r.node"))
             .groupBy("l.start", "r.node")
             .agg(F.min(F.col("l.hops") + F.col("r.hops")).alias("hops"))
-            .join(known.select("start", "node"), ["start", "node"], "left_anti")
         )
-        newest, rows = materialise(longer, "span")
-        known = known.unionByName(newest)
+        found.add(longer.join(known.select("start", "node"), ["start", "node"], "left_anti"))
         span += reach
-    return known
+    return found.all().drop("round")
 
 
 def upstream(dataset_edges: DataFrame, depth: int = DEFAULT_DEPTH, starts: DataFrame | None = None) -> DataFrame:
     """``dataset, upstream, hops``: all data sets that feed a data set within ``depth`` hops.
 
-    With ``starts`` (column ``dataset``) only what those data sets depend on is visited; without
-    it the answer covers all data sets.
+    With ``starts`` (column ``dataset``) only what those data sets depend on is visited, hop by
+    hop; without it the answer covers all data sets and takes a logarithmic number of rounds.
     """
     links = dataset_edges.select(F.col("out_dataset").alias("start"), F.col("in_dataset").alias("node")).where(
         F.col("start") != F.col("node")
@@ -81,8 +96,8 @@ def upstream(dataset_edges: DataFrame, depth: int = DEFAULT_DEPTH, starts: DataF
             onward = frontier.join(step, "node").where(F.col("start") != F.col("next"))
             return onward.select("start", F.col("next").alias("node"))
 
-        first = edges.join(starts.select(F.col("dataset").alias("start")).distinct(), "start")
-        pairs = _rounds(first.select("start", "node"), advance, ("start", "node"), depth)
+        wanted = starts.select(F.col("dataset").alias("start")).distinct()
+        pairs = _walk(edges.join(wanted, "start"), advance, depth)
     return pairs.select(F.col("start").alias("dataset"), F.col("node").alias("upstream"), "hops")
 
 
@@ -92,51 +107,58 @@ def downstream(dataset_edges: DataFrame, depth: int = DEFAULT_DEPTH, starts: Dat
     return upstream(reverse, depth, starts).withColumnRenamed("upstream", "downstream")
 
 
-def column_sources(
-    column_edges: DataFrame, depth: int = DEFAULT_DEPTH, starts: DataFrame | None = None
-) -> DataFrame:
+OUT = ("out_dataset", "out_column")
+IN = ("in_dataset", "in_column")
+
+
+def _renamed(df: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed(dict(zip(old, new)))
+
+
+def _walk_columns(edges: DataFrame, starts: DataFrame, near: Sequence[str], far: Sequence[str], depth: int) -> DataFrame:
+    """Follow edges from their ``near`` end at ``starts`` to the ``far`` end, keeping the strongest subtype."""
+    step = edges.select(
+        *[F.col(old).alias(new) for old, new in zip(near, far)],
+        *[F.col(old).alias(f"next_{old}") for old in far],
+        F.col("strength").alias("next_strength"),
+    )
+
+    def advance(frontier: DataFrame) -> DataFrame:
+        return frontier.join(step, list(far)).select(
+            *near,
+            *[F.col(f"next_{name}").alias(name) for name in far],
+            F.greatest("strength", "next_strength").alias("strength"),
+        )
+
+    return _walk(edges.join(starts, list(near)).select(*near, *far, "strength"), advance, depth)
+
+
+def column_sources(column_edges: DataFrame, depth: int = DEFAULT_DEPTH, starts: DataFrame | None = None) -> DataFrame:
     """From every mart column to the raw columns it comes from, with hops and effective subtype.
 
     Mart columns are ``starts`` (``out_dataset, out_column``), or else the columns no edge reads.
     Raw columns are those no edge writes. A path aggregates if one of its edges does, and
     transforms if one of its edges does and none aggregates. ``hops`` is the length of the
-    shortest path of that subtype.
+    shortest path of that subtype. The walk begins at the marts or at the raw columns,
+    whichever are fewer, and gives the same answer from either side.
     """
     strength = F.array_position(F.array(*[F.lit(kind) for kind in DIRECT_SUBTYPES]), F.col("subtype")).cast("int")
     edges, _ = materialise(
         column_edges.where((F.col("type") == DIRECT) & F.col("subtype").isin(*DIRECT_SUBTYPES))
-        .select("out_dataset", "out_column", "in_dataset", "in_column", strength.alias("strength"))
+        .select(*OUT, *IN, strength.alias("strength"))
         .distinct(),
         "edges",
     )
-    step = edges.select(
-        F.col("out_dataset").alias("in_dataset"),
-        F.col("out_column").alias("in_column"),
-        F.col("in_dataset").alias("next_dataset"),
-        F.col("in_column").alias("next_column"),
-        F.col("strength").alias("next_strength"),
-    )
-    written = edges.select("out_dataset", "out_column").distinct()
-    read = edges.select(F.col("in_dataset").alias("out_dataset"), F.col("in_column").alias("out_column")).distinct()
-    out = ["out_dataset", "out_column"]
-    marts = written.join(read, out, "left_anti") if starts is None else starts.select(*out).distinct()
-
-    state = [*out, "in_dataset", "in_column", "strength"]
-
-    def advance(frontier: DataFrame) -> DataFrame:
-        return frontier.join(step, ["in_dataset", "in_column"]).select(
-            *out,
-            F.col("next_dataset").alias("in_dataset"),
-            F.col("next_column").alias("in_column"),
-            F.greatest("strength", "next_strength").alias("strength"),
-        )
-
-    paths = _rounds(edges.join(marts, out).select(*state), advance, state, depth)
-    inner = written.select(F.col("out_dataset").alias("in_dataset"), F.col("out_column").alias("in_column"))
+    written, read = edges.select(*OUT).distinct(), edges.select(*IN).distinct()
+    mart_columns = written.join(_renamed(read, IN, OUT), list(OUT), "left_anti") if starts is None else starts
+    marts, mart_count = materialise(mart_columns.select(*OUT).distinct(), "marts")
+    raws, raw_count = materialise(read.join(_renamed(written, OUT, IN), list(IN), "left_anti"), "raws")
+    if mart_count <= raw_count:
+        paths = _walk_columns(edges, marts, OUT, IN, depth).join(raws, list(IN), "left_semi")
+    else:
+        paths = _walk_columns(edges, raws, IN, OUT, depth).join(marts, list(OUT), "left_semi")
     kind: Column = F.element_at(F.array(*[F.lit(subtype) for subtype in DIRECT_SUBTYPES]), F.col("strength"))
-    return paths.join(inner, ["in_dataset", "in_column"], "left_anti").select(
-        *out, "in_dataset", "in_column", kind.alias("subtype"), "hops"
-    )
+    return paths.select(*OUT, *IN, kind.alias("subtype"), "hops")
 
 
 def without_hidden(dataset_edges: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -146,13 +168,15 @@ def without_hidden(dataset_edges: DataFrame, hidden: DataFrame) -> DataFrame:
     """
     edges, _ = materialise(dataset_edges.select("out_dataset", "in_dataset").distinct(), "edges")
     gone = hidden.select(F.col("dataset").alias("out_dataset")).distinct()
-    through, _ = materialise(edges.join(gone, "out_dataset", "left_semi"), "hidden")
-    step = through.select(F.col("out_dataset").alias("in_dataset"), F.col("in_dataset").alias("next"))
-
-    def advance(frontier: DataFrame) -> DataFrame:
-        return frontier.join(step, "in_dataset").select("out_dataset", F.col("next").alias("in_dataset"))
-
+    hidden_links = edges.join(gone, "out_dataset", "left_semi")
+    behind = _all_pairs(hidden_links.select(F.col("out_dataset").alias("start"), F.col("in_dataset").alias("node")))
     visible = edges.join(gone, "out_dataset", "left_anti")
-    reached = _rounds(visible, advance, ("out_dataset", "in_dataset"), None)
-    hidden_inputs = gone.withColumnRenamed("out_dataset", "in_dataset")
-    return reached.join(hidden_inputs, "in_dataset", "left_anti").select("out_dataset", "in_dataset")
+    bridged = visible.join(behind, F.col("in_dataset") == F.col("start")).select(
+        "out_dataset", F.col("node").alias("in_dataset")
+    )
+    return (
+        visible.unionByName(bridged)
+        .join(_renamed(gone, ["out_dataset"], ["in_dataset"]), "in_dataset", "left_anti")
+        .select("out_dataset", "in_dataset")
+        .distinct()
+    )

@@ -42,13 +42,15 @@ def fresh_database(spark: SparkSession, label: str) -> str:
     return name
 
 
-def materialise(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """Write ``df`` to the shared folder and read it back; also return its row count.
-
-    This ends the lineage of an iterative job. The row count is observed during the
-    write, so it costs no second job.
-    """
+def write_counted(df: DataFrame, path: str) -> int:
+    """Write ``df`` and return its row count, observed during the write: no second job."""
     seen = Observation()
-    path = fresh_path(df.sparkSession, label)
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
+    return seen.get["rows"]
+
+
+def materialise(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Write ``df`` to the shared folder; return it as read back, and its row count."""
+    path = fresh_path(df.sparkSession, label)
+    rows = write_counted(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), rows
