@@ -60,9 +60,9 @@ def seconds_after(start: str, seconds: Column) -> Column:
     return F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
-def words(text: Column) -> Column:
-    """Whole text cut at white space; no empty items."""
-    return F.filter(F.split(text, WORD_BREAKS), lambda word: word != "")
+def split_words(text: Column) -> Column:
+    """Whole text cut at white space; the first and the last item may be empty."""
+    return F.split(text, WORD_BREAKS)
 
 
 def in_quarter_circle(number: Column) -> Column:

@@ -1,0 +1 @@
+"""Small programs for ``spark-submit``."""

@@ -26,10 +26,6 @@ def freshness(expected: DataFrame, updates: DataFrame, run_start: datetime) -> D
     )
 
 
-def updated_since(datasets: DataFrame, moment: datetime) -> DataFrame:
-    return datasets.where(F.col("updated_at") >= F.lit(moment).cast("timestamp_ntz"))
-
-
 def accepted_events(event_datasets: DataFrame) -> DataFrame:
     """Rows of the events all of whose namespaces are legal; one bad namespace drops the whole event."""
     bad = event_datasets.where(namespace_fault(F.col("namespace")).isNotNull()).select("event_id").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.sources.facts import DIRECT, DIRECT_SUBTYPES, INDIRECT, INDIRECT_SUBTYPES
+from millrace.workspace import materialise
 
 # Column pairs that one row of the data set form holds on average before a pair of data sets is
 # spread over several rows.
@@ -68,15 +69,22 @@ def to_dataset_form(column_edges: DataFrame, pairs_per_row: int = PAIRS_PER_ROW)
     """``out_dataset, in_dataset, part, pairs``: all column pairs of two data sets in one array.
 
     A pair of data sets with more than ``pairs_per_row`` column pairs gets several parts, chosen
-    by a hash of the columns, so no array grows with the data. No pair is left out.
+    by a hash of the columns, so neither an array nor a task grows with the data. No pair is
+    left out. Only the few oversized pairs of data sets are joined back.
     """
     ends = ["out_dataset", "in_dataset"]
-    pairs = column_edges.select(*EDGE).distinct()
-    parts = pairs.groupBy(*ends).agg(F.ceil(F.count(F.lit(1)) / F.lit(pairs_per_row)).alias("parts"))
-    part = F.pmod(F.xxhash64("out_column", "in_column", "type", "subtype"), F.col("parts"))
+    pairs, _ = materialise(column_edges.select(*EDGE).distinct(), "pairs")
+    oversized = (
+        pairs.groupBy(*ends)
+        .agg(F.ceil(F.count(F.lit(1)) / F.lit(pairs_per_row)).alias("parts"))
+        .where(F.col("parts") > 1)
+    )
+    part = F.pmod(F.xxhash64("out_column", "in_column", "type", "subtype"), F.coalesce("parts", F.lit(1)))
     return (
-        pairs.join(parts, ends)
-        .groupBy(*ends, part.alias("part"))
+        pairs.join(oversized, ends, "left")
+        .withColumn("part", part)
+        .repartition(*ends, "part")
+        .groupBy(*ends, "part")
         .agg(F.array_sort(F.collect_list(F.struct("out_column", "in_column", "type", "subtype"))).alias("pairs"))
     )
 

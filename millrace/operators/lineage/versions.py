@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import whole_quotient
+from millrace.workspace import materialise
 
 # Versions of a data set that one window may hold. Larger histories are cut into spans of this
 # many version numbers, whose last versions are then linked to the next span.
@@ -28,53 +29,65 @@ def schema_history(schema_fields: DataFrame) -> DataFrame:
     )
 
 
-def next_versions(schema_fields: DataFrame) -> DataFrame:
-    """Every version that has a successor, with ``next_version``.
+def version_links(versions: DataFrame) -> DataFrame:
+    """Every version with ``next_version`` (NULL for the last) and ``is_first``.
 
     Two levels keep each window small however long the history of one data set is: inside a
     span of version numbers, and between the spans, where there is one row per span.
     """
-    versions = (
-        schema_fields.select(*DATASET, "version")
-        .distinct()
-        .withColumn("span", whole_quotient(F.col("version"), SPAN))
-    )
+    spanned = versions.withColumn("span", whole_quotient(F.col("version"), SPAN))
     in_span = Window.partitionBy(*DATASET, "span").orderBy("version")
-    inside = versions.withColumn("next_version", F.lead("version").over(in_span))
-
-    spans = versions.groupBy(*DATASET, "span").agg(F.min("version").alias("first"), F.max("version").alias("version"))
     across = Window.partitionBy(*DATASET).orderBy("span")
-    links = spans.withColumn("next_version", F.lead("first").over(across))
+    spans = (
+        spanned.groupBy(*DATASET, "span")
+        .agg(F.min("version").alias("first"))
+        .select(
+            *DATASET,
+            "span",
+            F.lead("first").over(across).alias("first_of_next"),
+            F.lag("first").over(across).isNull().alias("first_span"),
+        )
+    )
     return (
-        inside.select(*DATASET, "version", "next_version")
-        .unionByName(links.select(*DATASET, "version", "next_version"))
-        .where(F.col("next_version").isNotNull())
+        spanned.withColumns(
+            {"next_in_span": F.lead("version").over(in_span), "previous": F.lag("version").over(in_span)}
+        )
+        .join(spans, [*DATASET, "span"])
+        .select(
+            *DATASET,
+            "version",
+            F.coalesce("next_in_span", "first_of_next").alias("next_version"),
+            (F.col("previous").isNull() & F.col("first_span")).alias("is_first"),
+        )
     )
 
 
 def schema_changes(schema_fields: DataFrame) -> DataFrame:
     """Fields added to and dropped from each version, compared with the version before.
 
-    Every field is counted once under its own version and once, as ``before``, under the next
-    version. A field that is on one side only has changed. This needs one shuffle by
-    (data set, version, field) and no join of field lists.
+    Every field is counted once under its own version and once, as what was there before, under
+    the next version. A field that is on one side only has changed. The facts are scanned once;
+    after that it takes one shuffle by (data set, version, field) and no join of field lists.
     """
-    current = schema_fields.select(*DATASET, "version", "field").distinct()
-    successors = next_versions(schema_fields)
-    has_before = successors.select(*DATASET, F.col("next_version").alias("version"))
-
-    before = (
-        current.join(successors, [*DATASET, "version"])
-        .select(*DATASET, F.col("next_version").alias("version"), "field")
-        .withColumn("side", F.lit(1))
+    fields, _ = materialise(schema_fields.select(*DATASET, "version", "field").distinct(), "fields")
+    links = version_links(fields.select(*DATASET, "version").distinct())
+    before, now = 1, 2
+    sides = F.array(
+        F.struct(F.col("next_version").alias("at"), F.when(F.col("next_version").isNotNull(), before).alias("side")),
+        F.struct(F.col("version").alias("at"), F.when(~F.col("is_first"), now).alias("side")),
+    )
+    counted = (
+        fields.join(links, [*DATASET, "version"])
+        .select(*DATASET, "field", F.inline(sides))
+        .where(F.col("side").isNotNull())
+        .groupBy(*DATASET, "at", "field")
+        .agg(F.sum("side").alias("sides"))
     )
-    now = current.join(has_before, [*DATASET, "version"]).withColumn("side", F.lit(2))
-    sides = before.unionByName(now).groupBy(*DATASET, "version", "field").agg(F.sum("side").alias("sides"))
-    return sides.where(F.col("sides") != 3).select(
+    return counted.where(F.col("sides") != before + now).select(
         *DATASET,
-        "version",
+        F.col("at").alias("version"),
         "field",
-        F.when(F.col("sides") == 2, "added").otherwise("dropped").alias("change"),
+        F.when(F.col("sides") == now, "added").otherwise("dropped").alias("change"),
     )
 
 

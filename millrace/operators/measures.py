@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import in_quarter_circle, mean, total, words
+from millrace.functions.columns import in_quarter_circle, mean, split_words, total
 
 
 def totals_by(df: DataFrame, key: str, amount: str) -> DataFrame:
@@ -31,14 +31,14 @@ def order_metrics(orders: DataFrame) -> DataFrame:
     )
 
 
-def country_metrics(orders_with_customer: DataFrame) -> DataFrame:
-    """Orders, different customers and money of every country.
+def order_metrics_by(orders: DataFrame, key: str) -> DataFrame:
+    """Orders, different customers and money of every value of ``key``.
 
-    The distinct count is planned as an aggregation by (country, customer) first, so a hot
-    country is spread over the cluster by its customers.
+    The distinct count is planned as an aggregation by (key, customer) first, so a hot value is
+    spread over the cluster by its customers.
     """
     amount = F.col("amount")
-    return orders_with_customer.groupBy("country").agg(
+    return orders.groupBy(key).agg(
         F.count(F.lit(1)).alias("orders_count"),
         F.count_distinct("customer_id").alias("unique_customers"),
         total(amount).alias("revenue"),
@@ -64,7 +64,8 @@ def row_count(df: DataFrame, name: str = "cnt") -> DataFrame:
 
 def word_counts(lines: DataFrame, text: str = "value") -> DataFrame:
     """``word, n`` over whole texts."""
-    return lines.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = lines.select(F.explode(split_words(F.col(text))).alias("word")).where(F.col("word") != "")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def circle_estimate(spark: SparkSession, points: int, slices: int | None = None, inside: Column | None = None) -> DataFrame:

@@ -86,7 +86,7 @@ def country_totals(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def country_metrics_from_raw(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """The rows of ``country_metrics`` over ``with_customer`` in one plan and without the wide join."""
+    """The rows of ``order_metrics_by`` country over ``with_customer``, without the wide join."""
     spent, c = _per_customer(orders).alias("s"), customers.alias("c")
     revenue = F.sum("s.spent").cast("double")
     return (

@@ -101,8 +101,7 @@ def schema_fields(spark: SparkSession, directory: str) -> DataFrame:
 
 def declared_sources(spark: SparkSession, directory: str) -> DataFrame:
     """Upstream column of every field of the schema history: four neighbouring fields share one."""
-    fields = schema_fields(spark, directory).select("namespace", "name", "pos", "field").distinct()
-    return fields.select("namespace", "name", "field", label("u", whole_quotient(F.col("pos"), 4)).alias("source"))
+    return schema_fields(spark, directory).select("namespace", "name", "field", label("u", whole_quotient(F.col("pos"), 4)).alias("source"))
 
 
 def datasets(spark: SparkSession, directory: str) -> DataFrame:

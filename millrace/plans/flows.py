@@ -109,7 +109,7 @@ def country_mart(spark: SparkSession, database: str, k: int = 3) -> DataFrame:
         order_ops.with_customer(spark.table(f"{database}.raw_orders"), spark.table(f"{database}.raw_customers")),
         f"{database}.tmp_orders_with_customer",
     )
-    metrics = overwrite_table(measures.country_metrics(wide), f"{database}.tmp_country_metrics")
+    metrics = overwrite_table(measures.order_metrics_by(wide, "country"), f"{database}.tmp_country_metrics")
     return overwrite_table(order_ops.top_countries(metrics, k), f"{database}.mart_top_countries")
 
 

@@ -109,7 +109,8 @@ WAREHOUSE = {
     "prj6_default": f"""{RAW}, {PRICED} SELECT order_id, coalesce(product_category, 'none') AS category,
         coalesce(product_price, 0.0::DOUBLE) AS price FROM priced""",
     "prj7_computed": """SELECT o_orderkey AS order_id, 'user_' || (o_orderkey % 100) AS name,
-        CAST(o_orderkey * 7 % 100 AS DOUBLE) AS amount, o_orderkey % 5 AS region_id FROM orders""",
+        CAST(o_orderkey * 7 % 100 AS DOUBLE) AS amount, o_orderkey % 5 AS region_id,
+        make_timestamp((1700000000 + o_orderkey * 60) * 1000000) AS order_ts FROM orders""",
     "prj8_position": """SELECT o_orderkey AS order_id,
         list_extract(['ios', 'android', 'web'], CAST(o_orderkey % 3 + 1 AS INT)) AS device,
         list_extract(['RU', 'US', 'DE', 'FR'], CAST(o_orderkey % 4 + 1 AS INT)) AS country FROM orders""",
@@ -129,7 +130,9 @@ WAREHOUSE = {
     "agg1_sum_count": f"""SELECT l_returnflag, {MONEY.format('l_extendedprice')} AS total_amount, count(*) AS row_count
         FROM lineitem GROUP BY l_returnflag""",
     "agg2_metrics": f"{RAW}, {STATS} SELECT * FROM stats",
-    "agg3_distinct": f"{RAW}, {JOINED}, {METRICS} SELECT * FROM metrics",
+    "agg3_distinct": f"""SELECT o_orderpriority, count(*) AS orders_count, count(DISTINCT o_custkey) AS unique_customers,
+        {MONEY.format('o_totalprice')} AS revenue, {MONEY.format('o_totalprice')} / count(o_totalprice) AS avg_check
+        FROM orders GROUP BY o_orderpriority""",
     "agg4_null_share": f"""{RAW}, {WIDE} SELECT CAST(round(
         100.0 * sum(CASE WHEN product_category IS NULL THEN 1 ELSE 0 END) / count(*), 1) AS DOUBLE) AS null_pct FROM wide""",
     "agg5_null_profile": f"{RAW}, {DRIFT} {PROFILE}",

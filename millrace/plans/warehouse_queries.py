@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import contact, email_domain, label, money, pick
+from millrace.functions.columns import contact, email_domain, label, money, pick, seconds_after
 from millrace.operators import measures
 from millrace.operators import orders as order_ops
 from millrace.plans import bindings, flows, staging
@@ -214,7 +214,8 @@ def prj7_computed(spark: SparkSession, d: str) -> DataFrame:
         "order_id",
         label("user_", number % 100).alias("name"),
         (number * 7 % 100).cast("double").alias("amount"),
-        (number % 5).alias("region_id"),
+        (number % generated.REGIONS).alias("region_id"),
+        seconds_after(generated.EPOCH, F.lit(generated.FIRST_ORDER_SECOND) + number * 60).alias("order_ts"),
     )
 
 
@@ -315,7 +316,10 @@ def agg2_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg3_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return measures.country_metrics(jn1_inner(spark, d))
+    orders = table(spark, d, "orders").select(
+        "o_orderpriority", F.col("o_custkey").alias("customer_id"), F.col("o_totalprice").alias("amount")
+    )
+    return measures.order_metrics_by(orders, "o_orderpriority")
 
 
 def agg4_null_share(spark: SparkSession, d: str) -> DataFrame:

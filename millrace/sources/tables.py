@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Schemas of the tables read so far, by path. The supplied tables are read by many jobs and do
+# not change, so their footers are looked at once.
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One table of a directory of parquet tables."""
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    path = f"{directory}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def read_merged(spark: SparkSession, path: str, *columns: str) -> DataFrame:
