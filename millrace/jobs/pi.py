@@ -9,7 +9,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from millrace.operators.measures import circle_estimate, random_point
+from millrace.operators.measures import circle_estimate
 
 if __name__ == "__main__":
     parser = argparse.ArgumentParser(description=__doc__)
@@ -17,6 +17,5 @@ if __name__ == "__main__":
     parser.add_argument("--seed", type=int)
     parser.add_argument("--slices", type=int)
     arguments = parser.parse_args()
-    inside = None if arguments.seed is None else random_point(arguments.seed)
     session = SparkSession.builder.appName("estimate_pi").getOrCreate()
-    circle_estimate(session, arguments.points, arguments.slices, inside).show()
+    circle_estimate(session, arguments.points, arguments.slices, arguments.seed).show()

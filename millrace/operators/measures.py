@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import in_quarter_circle, mean, split_words, total
@@ -68,22 +68,21 @@ def word_counts(lines: DataFrame, text: str = "value") -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def circle_estimate(spark: SparkSession, points: int, slices: int | None = None, inside: Column | None = None) -> DataFrame:
+def circle_estimate(spark: SparkSession, points: int, slices: int | None = None, seed: int | None = None) -> DataFrame:
     """``inside, points, pi``: four times the share of points in the quarter circle.
 
-    The points follow a fixed sequence by default. Pass ``random_point(seed)`` as ``inside`` to
-    draw them at random.
+    The points follow a fixed sequence; with a ``seed`` they are drawn at random, which depends
+    on the number of slices.
     """
     rows = spark.range(0, points, 1, slices) if slices else spark.range(points)
-    hit = F.count(F.when(in_quarter_circle(F.col("id")) if inside is None else inside, 1))
-    return rows.agg(
-        hit.alias("inside"),
+    if seed is None:
+        judged = rows.select(in_quarter_circle(F.col("id")).alias("hit"))
+    else:
+        drawn = rows.select(F.rand(seed).alias("x"), F.rand(seed + 1).alias("y"))
+        judged = drawn.select((F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1).alias("hit"))
+    hits = F.count(F.when(F.col("hit"), 1))
+    return judged.agg(
+        hits.alias("inside"),
         F.count(F.lit(1)).alias("points"),
-        F.try_divide(4.0 * hit, F.count(F.lit(1))).alias("pi"),
+        F.try_divide(4.0 * hits, F.count(F.lit(1))).alias("pi"),
     )
-
-
-def random_point(seed: int) -> Column:
-    """Whether a random point of the unit square is in the quarter circle."""
-    x, y = F.rand(seed), F.rand(seed + 1)
-    return x * x + y * y <= 1
