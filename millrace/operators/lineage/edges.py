@@ -74,11 +74,8 @@ def to_dataset_form(column_edges: DataFrame, pairs_per_row: int = PAIRS_PER_ROW)
     """
     ends = ["out_dataset", "in_dataset"]
     pairs, _ = materialise(column_edges.select(*EDGE).distinct(), "pairs")
-    oversized = (
-        pairs.groupBy(*ends)
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(pairs_per_row)).alias("parts"))
-        .where(F.col("parts") > 1)
-    )
+    sizes = pairs.groupBy(*ends).agg(F.ceil(F.count(F.lit(1)) / F.lit(pairs_per_row)).alias("parts"))
+    oversized, _ = materialise(sizes.where(F.col("parts") > 1), "oversized")
     part = F.pmod(F.xxhash64("out_column", "in_column", "type", "subtype"), F.coalesce("parts", F.lit(1)))
     return (
         pairs.join(oversized, ends, "left")

@@ -4,6 +4,9 @@ The driver only counts rounds. Every round is one distributed join whose new row
 partition of a table in the shared folder, so plans do not grow and a lost executor costs the
 current round at most. State is one row per (start, node) or (start, node, subtype), never one
 row per path: diamonds do not multiply rows, and cycles end.
+
+Both sides of every join on a node are scans of such tables, so a node with a third of all edges
+is split by adaptive execution, and a small side is broadcast by its measured size.
 """
 
 from __future__ import annotations
@@ -96,7 +99,7 @@ def upstream(dataset_edges: DataFrame, depth: int = DEFAULT_DEPTH, starts: DataF
             onward = frontier.join(step, "node").where(F.col("start") != F.col("next"))
             return onward.select("start", F.col("next").alias("node"))
 
-        wanted = starts.select(F.col("dataset").alias("start")).distinct()
+        wanted, _ = materialise(starts.select(F.col("dataset").alias("start")).distinct(), "starts")
         pairs = _walk(edges.join(wanted, "start"), advance, depth)
     return pairs.select(F.col("start").alias("dataset"), F.col("node").alias("upstream"), "hops")
 
@@ -167,7 +170,7 @@ def without_hidden(dataset_edges: DataFrame, hidden: DataFrame) -> DataFrame:
     A visible data set is then fed directly by the nearest visible ones behind the hidden ones.
     """
     edges, _ = materialise(dataset_edges.select("out_dataset", "in_dataset").distinct(), "edges")
-    gone = hidden.select(F.col("dataset").alias("out_dataset")).distinct()
+    gone, _ = materialise(hidden.select(F.col("dataset").alias("out_dataset")).distinct(), "hidden")
     hidden_links = edges.join(gone, "out_dataset", "left_semi")
     behind = _all_pairs(hidden_links.select(F.col("out_dataset").alias("start"), F.col("in_dataset").alias("node")))
     visible = edges.join(gone, "out_dataset", "left_anti")

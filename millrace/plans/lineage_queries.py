@@ -92,8 +92,9 @@ def lin11_upstream(spark: SparkSession, d: str) -> DataFrame:
 def lin11_upstream_of_marts(spark: SparkSession, d: str) -> DataFrame:
     """Upstream of the data sets nothing else reads."""
     links = bindings.dataset_edges(spark, d)
-    read = links.select(F.col("in_dataset").alias("out_dataset")).distinct()
-    marts = links.join(read, "out_dataset", "left_anti").select(F.col("out_dataset").alias("dataset"))
+    written = links.select(F.col("out_dataset").alias("dataset")).distinct()
+    read = links.select(F.col("in_dataset").alias("dataset")).distinct()
+    marts = written.join(read, "dataset", "left_anti")
     return graph.upstream(links, starts=marts)
 
 

@@ -148,7 +148,8 @@ def snk6_ddl(spark: SparkSession, d: str) -> DataFrame:
     drop_tables(spark, database, "stage_two", "stage_three")
     bindings.customers(spark, d).select("id", "name").write.insertInto(f"{database}.stage_one")
     listed = spark.sql(f"SHOW TABLES IN {database} LIKE 'stage*'").select(F.col("tableName").alias("table_name"))
-    rows = spark.table(f"{database}.stage_one").agg(F.lit("stage_one").alias("table_name"), F.count(F.lit(1)).alias("cnt"))
+    folder = F.element_at(F.split(F.col("path"), "/"), -2).alias("table_name")
+    rows = rows_per_file(spark.table(f"{database}.stage_one")).groupBy(folder).agg(F.sum("row_count").alias("cnt"))
     return listed.join(rows, "table_name", "left").select("table_name", "cnt")
 
 
