@@ -66,11 +66,12 @@ def schema_changes(schema_fields: DataFrame) -> DataFrame:
     """Fields added to and dropped from each version, compared with the version before.
 
     Every field is counted once under its own version and once, as what was there before, under
-    the next version. A field that is on one side only has changed. The facts are scanned once;
-    after that it takes one shuffle by (data set, version, field) and no join of field lists.
+    the next version. A field that is on one side only has changed. The facts are scanned once.
+    The links, a row per version, are written down so that they are broadcast only if their
+    measured size allows it; then a shuffle by (data set, version, field) gives the answer.
     """
     fields, _ = materialise(schema_fields.select(*DATASET, "version", "field").distinct(), "fields")
-    links = version_links(fields.select(*DATASET, "version").distinct())
+    links, _ = materialise(version_links(fields.select(*DATASET, "version").distinct()), "links")
     before, now = 1, 2
     sides = F.array(
         F.struct(F.col("next_version").alias("at"), F.when(F.col("next_version").isNotNull(), before).alias("side")),
