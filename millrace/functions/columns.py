@@ -18,17 +18,21 @@ POINT_Y = 569_840_296
 
 
 def money(amount: Column) -> Column:
-    """Amounts are summed as decimals: the total does not depend on the order of the rows."""
+    """An amount in whole cents as decimal."""
     return amount.cast("decimal(18,2)")
 
 
 def total(amount: Column) -> Column:
-    """Exact sum of an amount, returned as double."""
-    return F.sum(money(amount)).cast("double")
+    """Sum of an amount, returned as double.
+
+    Decimals are summed exactly, so the total of a decimal column does not depend on the order
+    of the rows; the last digits of a sum of doubles do.
+    """
+    return F.sum(amount).cast("double")
 
 
 def mean(amount: Column) -> Column:
-    """Exact sum divided by the number of values, NULL for a group without values."""
+    """The sum divided by the number of values, NULL for a group without values."""
     return F.try_divide(total(amount), F.count(amount))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import money
+from millrace.functions.columns import total
 
 
 def with_customer(orders: DataFrame, customers: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def _per_customer(orders: DataFrame) -> DataFrame:
     return orders.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("orders"),
         F.count("amount").alias("amounts"),
-        F.sum(money(F.col("amount"))).alias("spent"),
+        F.sum("amount").alias("spent"),
     )
 
 
@@ -81,14 +81,14 @@ def country_totals(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return (
         spent.join(c, F.col("c.id") == F.col("s.customer_id"))
         .groupBy("c.country")
-        .agg(F.sum("s.orders").alias("orders"), F.sum("s.spent").cast("double").alias("revenue"))
+        .agg(F.sum("s.orders").alias("orders"), total(F.col("s.spent")).alias("revenue"))
     )
 
 
 def country_metrics_from_raw(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """The rows of ``order_metrics_by`` country over ``with_customer``, without the wide join."""
     spent, c = _per_customer(orders).alias("s"), customers.alias("c")
-    revenue = F.sum("s.spent").cast("double")
+    revenue = total(F.col("s.spent"))
     return (
         spent.join(c, F.col("c.id") == F.col("s.customer_id"))
         .groupBy("c.country")

@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import label, whole_quotient
+from millrace.functions.columns import label, money, whole_quotient
 from millrace.functions.jobs import query_version
 from millrace.plans import staging
 from millrace.sources.facts import DIRECT, DIRECT_SUBTYPES
@@ -41,6 +41,11 @@ def orders(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def exact_orders(spark: SparkSession, directory: str) -> DataFrame:
+    """Orders with decimal amounts, for totals."""
+    return orders(spark, directory).withColumn("amount", money(F.col("amount")))
+
+
 def products(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "part").select(
         F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"), F.col("p_retailprice").alias("price")
@@ -200,14 +205,16 @@ def line_edges(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def part_edges(spark: SparkSession, directory: str) -> DataFrame:
-    """``out, in, subtype``: each part depends on the parts at a half and at a third of its key."""
+    """``out, in, subtype``: each part depends on the parts at a half and at a third of its key,
+    except on itself."""
     key, size = F.col("p_partkey"), F.col("p_size")
     subtypes = F.array(*[F.lit(s) for s in DIRECT_SUBTYPES])
     ends = F.array(
         F.struct(whole_quotient(key, 2).alias("in"), F.element_at(subtypes, (whole_quotient(size, 3) % 3 + 1).cast("int")).alias("subtype")),
         F.struct(whole_quotient(key, 3).alias("in"), F.element_at(subtypes, (size % 3 + 1).cast("int")).alias("subtype")),
     )
-    return table(spark, directory, "part").where(key > 0).select(key.alias("out"), F.inline(ends))
+    links = table(spark, directory, "part").select(key.alias("out"), F.inline(ends))
+    return links.where(F.col("out") != F.col("in"))
 
 
 def dataset_edges(spark: SparkSession, directory: str) -> DataFrame:

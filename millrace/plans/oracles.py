@@ -200,8 +200,8 @@ LINE_EDGES = """WITH edges AS (
 EDGE = "out_dataset, out_column, in_dataset, in_column, type, subtype"
 
 PART_EDGES = """WITH RECURSIVE links AS (
-  SELECT p_partkey AS o, p_partkey // 2 AS i, p_size // 3 % 3 AS strength FROM part WHERE p_partkey > 0
-  UNION SELECT p_partkey, p_partkey // 3, p_size % 3 FROM part WHERE p_partkey > 0)"""
+  SELECT p_partkey AS o, p_partkey // 2 AS i, p_size // 3 % 3 AS strength FROM part WHERE p_partkey <> p_partkey // 2
+  UNION SELECT p_partkey, p_partkey // 3, p_size % 3 FROM part WHERE p_partkey <> p_partkey // 3)"""
 
 
 def _reached(first: str, from_end: str, to_end: str, depth: int) -> str:

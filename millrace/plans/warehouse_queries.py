@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import contact, email_domain, label, money, pick, seconds_after
+from millrace.functions.columns import contact, email_domain, label, money, pick, seconds_after, total
 from millrace.operators import measures
 from millrace.operators import orders as order_ops
 from millrace.plans import bindings, flows, staging
@@ -95,7 +95,7 @@ def src9_files(spark: SparkSession, d: str) -> DataFrame:
 
 def snk1_overwrite(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "overwrite")
-    orders = bindings.orders(spark, d)
+    orders = bindings.exact_orders(spark, d)
     orders.write.mode("overwrite").parquet(path)
     measures.order_metrics(orders).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
@@ -111,7 +111,7 @@ def snk2_append(spark: SparkSession, d: str) -> DataFrame:
 
 def snk3_ctas(spark: SparkSession, d: str) -> DataFrame:
     name = f"{fresh_database(spark, 'snk3')}.agg_customer_stats"
-    metrics = measures.order_metrics(bindings.orders(spark, d))
+    metrics = measures.order_metrics(bindings.exact_orders(spark, d))
     return flows.overwrite_table(metrics, name)
 
 
@@ -195,7 +195,7 @@ def prj4_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prj5_ratio(spark: SparkSession, d: str) -> DataFrame:
-    metrics = order_ops.country_metrics_from_raw(bindings.orders(spark, d), bindings.customers(spark, d))
+    metrics = order_ops.country_metrics_from_raw(bindings.exact_orders(spark, d), bindings.customers(spark, d))
     return metrics.select("country", F.try_divide("revenue", "unique_customers").alias("revenue_per_customer"))
 
 
@@ -296,29 +296,29 @@ def jn3_three_way(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jn4_left_agg(spark: SparkSession, d: str) -> DataFrame:
-    stats = measures.order_metrics(bindings.orders(spark, d))
+    stats = measures.order_metrics(bindings.exact_orders(spark, d))
     return order_ops.customers_with_spending(bindings.customers(spark, d), stats)
 
 
 def jn5_join_group(spark: SparkSession, d: str) -> DataFrame:
-    return order_ops.country_totals(bindings.orders(spark, d), bindings.customers(spark, d))
+    return order_ops.country_totals(bindings.exact_orders(spark, d), bindings.customers(spark, d))
 
 
 # Aggregations
 
 
 def agg1_sum_count(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem")
-    return measures.totals_by(lines, "l_returnflag", "l_extendedprice")
+    lines = table(spark, d, "lineitem").select("l_returnflag", money(F.col("l_extendedprice")).alias("price"))
+    return measures.totals_by(lines, "l_returnflag", "price")
 
 
 def agg2_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return measures.order_metrics(bindings.orders(spark, d))
+    return measures.order_metrics(bindings.exact_orders(spark, d))
 
 
 def agg3_distinct(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select(
-        "o_orderpriority", F.col("o_custkey").alias("customer_id"), F.col("o_totalprice").alias("amount")
+        "o_orderpriority", F.col("o_custkey").alias("customer_id"), money(F.col("o_totalprice")).alias("amount")
     )
     return measures.order_metrics_by(orders, "o_orderpriority")
 
@@ -337,7 +337,7 @@ def agg6_row_count(spark: SparkSession, d: str) -> DataFrame:
 
 def agg7_reduce(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").agg(
-        F.sum(money(F.col("l_quantity"))).cast("double").alias("quantity"), F.sum("l_linenumber").alias("line_numbers")
+        total(money(F.col("l_quantity"))).alias("quantity"), F.sum("l_linenumber").alias("line_numbers")
     )
 
 
@@ -354,13 +354,13 @@ def agg9_pi_lattice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top1_topk(spark: SparkSession, d: str) -> DataFrame:
-    metrics = order_ops.country_metrics_from_raw(bindings.orders(spark, d), bindings.customers(spark, d))
+    metrics = order_ops.country_metrics_from_raw(bindings.exact_orders(spark, d), bindings.customers(spark, d))
     return order_ops.top_countries(metrics)
 
 
 def top2_sorted(spark: SparkSession, d: str) -> DataFrame:
     """Total order by total spent; the customer id spreads equal values over several ranges."""
-    metrics = measures.order_metrics(bindings.orders(spark, d))
+    metrics = measures.order_metrics(bindings.exact_orders(spark, d))
     return metrics.select("customer_id", "total_spent").orderBy(F.desc("total_spent"), "customer_id")
 
 
@@ -375,7 +375,7 @@ def _loaded(spark: SparkSession, d: str, label: str) -> str:
     """A database with the raw customers and orders."""
     database = fresh_database(spark, label)
     flows.load_tables(
-        spark, database, raw_customers=bindings.customers(spark, d), raw_orders=bindings.orders(spark, d)
+        spark, database, raw_customers=bindings.customers(spark, d), raw_orders=bindings.exact_orders(spark, d)
     )
     return database
 
@@ -392,7 +392,7 @@ def pip2_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pip2_chain_views(spark: SparkSession, d: str) -> DataFrame:
-    return flows.country_mart_from_views(bindings.orders(spark, d), bindings.customers(spark, d))
+    return flows.country_mart_from_views(bindings.exact_orders(spark, d), bindings.customers(spark, d))
 
 
 def pip3_rerun(spark: SparkSession, d: str) -> DataFrame:
