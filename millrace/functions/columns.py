@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,6 +60,11 @@ def contact(name: Column, email: Column) -> Column:
     return F.concat(name, F.lit(" <"), email, F.lit(">"))
 
 
+def moment(when: datetime) -> Column:
+    """A zone-free timestamp literal; does not depend on the zone of the session or the driver."""
+    return F.lit(when.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def seconds_after(start: str, seconds: Column) -> Column:
     """Zone-free timestamp ``seconds`` after ``start``; does not depend on the session time zone."""
     return F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))

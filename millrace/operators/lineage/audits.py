@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import moment
 from millrace.functions.namespaces import dataset_name, dataset_namespace, namespace_fault, normalise_namespace
 
 
@@ -14,14 +15,13 @@ def freshness(expected: DataFrame, updates: DataFrame, run_start: datetime) -> D
     """Each expected data set with its last update: ``missing``, ``stale`` (before the run) or ``fresh``."""
     key = ["namespace", "name"]
     last = updates.groupBy(*key).agg(F.max("updated_at").alias("updated_at"))
-    since = F.lit(run_start).cast("timestamp_ntz")
     return (
         expected.select(*key)
         .distinct()
         .join(last, key, "left")
         .withColumn(
             "state",
-            F.when(F.col("updated_at").isNull(), "missing").when(F.col("updated_at") < since, "stale").otherwise("fresh"),
+            F.when(F.col("updated_at").isNull(), "missing").when(F.col("updated_at") < moment(run_start), "stale").otherwise("fresh"),
         )
     )
 

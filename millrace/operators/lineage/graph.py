@@ -41,7 +41,21 @@ class _Rounds:
         return self._spark.read.schema(self._schema).parquet(self._path)
 
     def newest(self) -> DataFrame:
-        return self.all().where(F.col("round") == self.number).drop("round")
+        schema = T.StructType(self._schema.fields[:-1])
+        return self._spark.read.schema(schema).parquet(f"{self._path}/round={self.number}")
+
+
+def _not_in(reached: DataFrame, found: DataFrame, state: Sequence[str], *measures: Column) -> DataFrame:
+    """Different rows of ``reached`` whose state is not in ``found``, with measures over them.
+
+    Both are grouped together by the state, which is one shuffle without a sort and removes
+    repeated rows on the way.
+    """
+    both = reached.withColumn("known", F.lit(0)).unionByName(
+        found.select(*state).withColumn("known", F.lit(1)), allowMissingColumns=True
+    )
+    grouped = both.groupBy(*state).agg(F.max("known").alias("known"), *measures)
+    return grouped.where(F.col("known") == 0).drop("known")
 
 
 def _walk(first: DataFrame, advance: Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
@@ -52,8 +66,7 @@ def _walk(first: DataFrame, advance: Callable[[DataFrame], DataFrame], depth: in
     state = first.columns
     found = _Rounds(first.distinct(), "hops")
     while found.newest_rows and found.number < depth:
-        reached = advance(found.newest()).select(*state).distinct()
-        found.add(reached.join(found.all().select(*state), state, "left_anti"))
+        found.add(_not_in(advance(found.newest()).select(*state), found.all(), state))
     return found.all().withColumnRenamed("round", "hops")
 
 
@@ -72,10 +85,9 @@ def _all_pairs(links: DataFrame, depth: int | None = None) -> DataFrame:
         longer = (
             left.join(right, F.col("l.node") == F.col("r.start"))
             .where(F.col("l.start") != F.col("r.node"))
-            .groupBy("l.start", "r.node")
-            .agg(F.min(F.col("l.hops") + F.col("r.hops")).alias("hops"))
+            .select("l.start", "r.node", (F.col("l.hops") + F.col("r.hops")).alias("hops"))
         )
-        found.add(longer.join(known.select("start", "node"), ["start", "node"], "left_anti"))
+        found.add(_not_in(longer, known, ("start", "node"), F.min("hops").alias("hops")))
         span += reach
     return found.all().drop("round")
 

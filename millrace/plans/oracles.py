@@ -81,6 +81,7 @@ WAREHOUSE = {
     "src3_merged": f"{RAW}, {DRIFT} {MERGED}",
     "src4_table": f"{RAW} SELECT id, name, email, country FROM raw_customers",
     "src5_csv": "SELECT CAST(c_custkey AS INT) AS id, c_name AS name FROM customer",
+    "src5_external": "SELECT CAST(c_custkey AS INT) AS id, c_name AS name FROM customer",
     "src6_text": """SELECT value, count(*) AS n
         FROM (SELECT unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS value FROM documents) GROUP BY value""",
     "src7_slices": "SELECT count(*) AS cnt, CAST(0 AS BIGINT) AS first_id, count(*) - 1 AS last_id FROM orders",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import contact, email_domain, label, money, pick, seconds_after, total
+from millrace.functions.columns import contact, email_domain, label, moment, money, pick, seconds_after, total
 from millrace.operators import measures
 from millrace.operators import orders as order_ops
 from millrace.plans import bindings, flows, staging
@@ -53,6 +53,17 @@ def src5_csv(spark: SparkSession, d: str) -> DataFrame:
     return read_delimited(spark, path, "id INT, name STRING")
 
 
+def src5_external(spark: SparkSession, d: str) -> DataFrame:
+    """The same text as an external table, which a drop of the table leaves where it is."""
+    path = fresh_path(spark, "external")
+    table(spark, d, "customer").select("c_custkey", "c_name").write.csv(path)
+    name = f"{fresh_database(spark, 'src5')}.hdfs_table"
+    create = f"CREATE TABLE IF NOT EXISTS {name} (id INT, name STRING) USING csv OPTIONS (sep ',') LOCATION '{path}'"
+    for statement in (create, f"DROP TABLE {name}", create):
+        spark.sql(statement)
+    return spark.table(name)
+
+
 def src6_text(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents written as plain text and read back line by line."""
     path = fresh_path(spark, "lines")
@@ -260,8 +271,8 @@ def flt6_like(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flt7_since(spark: SparkSession, d: str) -> DataFrame:
-    since = F.lit(bindings.RUN_START).cast("timestamp_ntz")
-    return bindings.orders(spark, d).where(F.col("order_ts") >= since).select("order_id", "order_ts")
+    recent = F.col("order_ts") >= moment(bindings.RUN_START)
+    return bindings.orders(spark, d).where(recent).select("order_id", "order_ts")
 
 
 def flt8_states(spark: SparkSession, d: str) -> DataFrame:
@@ -419,7 +430,7 @@ def pip6_staging(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        src1_range, src2_parquet, src3_merged, src4_table, src5_csv, src6_text, src7_slices, src8_values, src9_files,
+        src1_range, src2_parquet, src3_merged, src4_table, src5_csv, src5_external, src6_text, src7_slices, src8_values, src9_files,
         snk1_overwrite, snk2_append, snk3_ctas, snk4_replace_schema, snk4_replace_itself, snk5_insert, snk6_ddl,
         snk7_filecount, snk8_clean_rerun,
         prj1_subset, prj2_rename, prj3_concat, prj4_functions, prj5_ratio, prj6_default, prj7_computed, prj8_position,
