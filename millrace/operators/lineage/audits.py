@@ -21,7 +21,9 @@ def freshness(expected: DataFrame, updates: DataFrame, run_start: datetime) -> D
         .join(last, key, "left")
         .withColumn(
             "state",
-            F.when(F.col("updated_at").isNull(), "missing").when(F.col("updated_at") < moment(run_start), "stale").otherwise("fresh"),
+            F.when(F.col("updated_at").isNull(), "missing")
+            .when(F.col("updated_at") < moment(run_start), "stale")
+            .otherwise("fresh"),
         )
     )
 

@@ -22,9 +22,8 @@ def direct_edges(column_edges: DataFrame) -> DataFrame:
 
 def subtype_counts(column_edges: DataFrame) -> DataFrame:
     """Different edges of every job by type and subtype."""
-    return (
-        column_edges.select("job", *EDGE).distinct().groupBy("job", "type", "subtype").agg(F.count(F.lit(1)).alias("edges"))
-    )
+    different = column_edges.select("job", *EDGE).distinct()
+    return different.groupBy("job", "type", "subtype").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def indirect_edges(job_outputs: DataFrame, job_keys: DataFrame) -> DataFrame:
@@ -40,9 +39,9 @@ def indirect_edges(job_outputs: DataFrame, job_keys: DataFrame) -> DataFrame:
         .select("job", "version", "in_dataset", "in_column", "subtype")
         .distinct()
     )
-    return outputs.join(keys, ["job", "version"]).select(
-        "job", "version", "out_dataset", "out_column", "in_dataset", "in_column", F.lit(INDIRECT).alias("type"), "subtype"
-    )
+    ends = ["out_dataset", "out_column", "in_dataset", "in_column"]
+    both = outputs.join(keys, ["job", "version"])
+    return both.select("job", "version", *ends, F.lit(INDIRECT).alias("type"), "subtype")
 
 
 def fan_in(column_edges: DataFrame) -> DataFrame:

@@ -130,7 +130,9 @@ def _renamed(df: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame
     return df.withColumnsRenamed(dict(zip(old, new)))
 
 
-def _walk_columns(edges: DataFrame, starts: DataFrame, near: Sequence[str], far: Sequence[str], depth: int) -> DataFrame:
+def _walk_columns(
+    edges: DataFrame, starts: DataFrame, near: Sequence[str], far: Sequence[str], depth: int
+) -> DataFrame:
     """Follow edges from their ``near`` end at ``starts`` to the ``far`` end, keeping the strongest subtype."""
     step = edges.select(
         *[F.col(old).alias(new) for old, new in zip(near, far)],

@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import label, money, whole_quotient
+from millrace.functions.columns import label, money, pick, whole_quotient
 from millrace.functions.jobs import query_version
 from millrace.plans import staging
 from millrace.sources.facts import DIRECT, DIRECT_SUBTYPES
@@ -48,7 +48,9 @@ def exact_orders(spark: SparkSession, directory: str) -> DataFrame:
 
 def products(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "part").select(
-        F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"), F.col("p_retailprice").alias("price")
+        F.col("p_partkey").alias("product_id"),
+        F.col("p_type").alias("category"),
+        F.col("p_retailprice").alias("price"),
     )
 
 
@@ -74,7 +76,10 @@ def run_events_of(events: DataFrame) -> DataFrame:
     run = whole_quotient(F.col("event_id"), 4)
     kind = F.col("event_type")
     state = (
-        F.when(kind == "signup", "START").when(kind == "purchase", "COMPLETE").when(kind == "error", "FAIL").otherwise("RUNNING")
+        F.when(kind == "signup", "START")
+        .when(kind == "purchase", "COMPLETE")
+        .when(kind == "error", "FAIL")
+        .otherwise("RUNNING")
     )
     query = F.concat(F.lit("SELECT *  FROM t\nWHERE k = "), F.get_json_object("props", "$.k"))
     return events.select(
@@ -106,13 +111,16 @@ def schema_fields(spark: SparkSession, directory: str) -> DataFrame:
 
 def declared_sources(spark: SparkSession, directory: str) -> DataFrame:
     """Upstream column of every field of the schema history: four neighbouring fields share one."""
-    return schema_fields(spark, directory).select("namespace", "name", "field", label("u", whole_quotient(F.col("pos"), 4)).alias("source"))
+    source = label("u", whole_quotient(F.col("pos"), 4)).alias("source")
+    return schema_fields(spark, directory).select("namespace", "name", "field", source)
 
 
 def datasets(spark: SparkSession, directory: str) -> DataFrame:
     """Customers as data sets; the namespace is the market segment, the update the last order."""
     customer = table(spark, directory, "customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("namespace"), F.col("c_name").alias("name")
+        F.col("c_custkey").alias("customer_id"),
+        F.col("c_mktsegment").alias("namespace"),
+        F.col("c_name").alias("name"),
     )
     last = orders(spark, directory).groupBy("customer_id").agg(F.max("order_ts").alias("updated_at"))
     return customer.join(last, "customer_id").select("namespace", "name", "updated_at")
@@ -129,7 +137,9 @@ def dataset_updates(spark: SparkSession, directory: str) -> DataFrame:
     urgent = table(spark, directory, "orders").where(F.col("o_orderpriority") == "1-URGENT")
     customer = table(spark, directory, "customer")
     return urgent.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("c_mktsegment").alias("namespace"), F.col("c_name").alias("name"), F.col("o_orderdate").alias("updated_at")
+        F.col("c_mktsegment").alias("namespace"),
+        F.col("c_name").alias("name"),
+        F.col("o_orderdate").alias("updated_at"),
     )
 
 
@@ -189,9 +199,7 @@ def line_edges(spark: SparkSession, directory: str) -> DataFrame:
     flag = F.col("l_returnflag")
     direct = F.col("l_linestatus") == "O"
     kind = F.col("l_partkey") % 3 + 1
-    subtype = F.when(direct, F.element_at(F.array(*[F.lit(s) for s in DIRECT_SUBTYPES]), kind.cast("int"))).otherwise(
-        F.element_at(F.array(F.lit("JOIN"), F.lit("GROUP_BY"), F.lit("FILTER")), kind.cast("int"))
-    )
+    subtype = F.when(direct, pick(DIRECT_SUBTYPES, kind)).otherwise(pick(("JOIN", "GROUP_BY", "FILTER"), kind))
     return table(spark, directory, "lineitem").select(
         F.concat(F.lit("load_"), flag).alias("job"),
         F.lit("1").alias("version"),
@@ -208,10 +216,11 @@ def part_edges(spark: SparkSession, directory: str) -> DataFrame:
     """``out, in, subtype``: each part depends on the parts at a half and at a third of its key,
     except on itself."""
     key, size = F.col("p_partkey"), F.col("p_size")
-    subtypes = F.array(*[F.lit(s) for s in DIRECT_SUBTYPES])
+    by_half = pick(DIRECT_SUBTYPES, whole_quotient(size, 3) % 3 + 1)
+    by_third = pick(DIRECT_SUBTYPES, size % 3 + 1)
     ends = F.array(
-        F.struct(whole_quotient(key, 2).alias("in"), F.element_at(subtypes, (whole_quotient(size, 3) % 3 + 1).cast("int")).alias("subtype")),
-        F.struct(whole_quotient(key, 3).alias("in"), F.element_at(subtypes, (size % 3 + 1).cast("int")).alias("subtype")),
+        F.struct(whole_quotient(key, 2).alias("in"), by_half.alias("subtype")),
+        F.struct(whole_quotient(key, 3).alias("in"), by_third.alias("subtype")),
     )
     links = table(spark, directory, "part").select(key.alias("out"), F.inline(ends))
     return links.where(F.col("out") != F.col("in"))
@@ -285,8 +294,8 @@ def locations(spark: SparkSession, directory: str) -> DataFrame:
 
 def job_names(spark: SparkSession, directory: str) -> DataFrame:
     """Events as job names ``app.node.output``; those of failed events miss the application name in time."""
-    name = F.concat(
-        label("app_", F.col("user_id")), F.lit("."), F.col("event_type"), F.lit(".default.out_"), F.col("event_id").cast("string")
-    )
-    late = F.col("event_type") == "error"
-    return table(spark, directory, "events").select(F.when(late, F.concat(F.lit("unknown."), name)).otherwise(name).alias("job"))
+    output = label(".default.out_", F.col("event_id"))
+    name = F.concat(label("app_", F.col("user_id")), F.lit("."), F.col("event_type"), output)
+    late = F.concat(F.lit("unknown."), name)
+    job = F.when(F.col("event_type") == "error", late).otherwise(name)
+    return table(spark, directory, "events").select(job.alias("job"))

@@ -194,7 +194,8 @@ def job_io(spark: SparkSession, steps: Iterable[Step] = STEPS) -> DataFrame:
 
 
 def job_outputs(spark: SparkSession, steps: Iterable[Step] = STEPS) -> DataFrame:
-    return _rows(spark, ((s.job, s.version, s.output, column) for s in steps for column in s.columns), facts.JOB_OUTPUTS)
+    outputs = ((s.job, s.version, s.output, column) for s in steps for column in s.columns)
+    return _rows(spark, outputs, facts.JOB_OUTPUTS)
 
 
 def job_keys(spark: SparkSession, steps: Iterable[Step] = STEPS) -> DataFrame:

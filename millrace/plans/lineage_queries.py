@@ -113,7 +113,10 @@ def lin13_dataset_form(spark: SparkSession, d: str) -> DataFrame:
         "pairs", lambda p: F.concat_ws(">", p["in_column"], p["out_column"], p["type"], p["subtype"])
     )
     return form.select(
-        "out_dataset", "in_dataset", F.size("pairs").cast("bigint").alias("edges"), F.array_join(F.array_sort(texts), ";").alias("pairs")
+        "out_dataset",
+        "in_dataset",
+        F.size("pairs").cast("bigint").alias("edges"),
+        F.array_join(F.array_sort(texts), ";").alias("pairs"),
     )
 
 
@@ -127,7 +130,8 @@ def lin14_job_io(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lin15_freshness(spark: SparkSession, d: str) -> DataFrame:
-    return audits.freshness(bindings.expected_datasets(spark, d), bindings.dataset_updates(spark, d), bindings.RUN_START)
+    expected, updates = bindings.expected_datasets(spark, d), bindings.dataset_updates(spark, d)
+    return audits.freshness(expected, updates, bindings.RUN_START)
 
 
 def lin16_normalise(spark: SparkSession, d: str) -> DataFrame:

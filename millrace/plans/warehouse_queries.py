@@ -145,7 +145,8 @@ def snk5_insert(spark: SparkSession, d: str) -> DataFrame:
     name = f"{fresh_database(spark, 'snk5')}.test_table"
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (id INT, name STRING) USING parquet")
     spark.sql(f"INSERT INTO {name} VALUES (-1, 'Test1'), (-2, 'Test2')")
-    customers = table(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("id"), F.col("c_name").alias("name"))
+    key = F.col("c_custkey").cast("int").alias("id")
+    customers = table(spark, d, "customer").select(key, F.col("c_name").alias("name"))
     customers.write.insertInto(name)
     return spark.table(name)
 
@@ -212,7 +213,7 @@ def prj5_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 def prj6_default(spark: SparkSession, d: str) -> DataFrame:
     """Category of every order's product, 'none' where there is no product."""
-    priced = order_ops.with_product(bindings.orders(spark, d), bindings.products(spark, d), bindings.product_modulus(spark, d))
+    priced = _with_product(spark, d)
     return priced.select(
         "order_id",
         F.coalesce("product_category", F.lit("none")).alias("category"),
@@ -258,7 +259,7 @@ def flt3_ge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flt4_null(spark: SparkSession, d: str) -> DataFrame:
-    priced = order_ops.with_product(bindings.orders(spark, d), bindings.products(spark, d), bindings.product_modulus(spark, d))
+    priced = _with_product(spark, d)
     return priced.where(F.col("product_category").isNull()).select("order_id", "customer_id")
 
 
@@ -283,14 +284,17 @@ def flt8_states(spark: SparkSession, d: str) -> DataFrame:
 # Joins
 
 
+def _with_product(spark: SparkSession, d: str) -> DataFrame:
+    orders, products = bindings.orders(spark, d), bindings.products(spark, d)
+    return order_ops.with_product(orders, products, bindings.product_modulus(spark, d))
+
+
 def jn1_inner(spark: SparkSession, d: str) -> DataFrame:
     return order_ops.with_customer(bindings.orders(spark, d), bindings.customers(spark, d))
 
 
 def jn2_modulo_left(spark: SparkSession, d: str) -> DataFrame:
-    return order_ops.with_product(
-        bindings.orders(spark, d), bindings.products(spark, d), bindings.product_modulus(spark, d)
-    ).select("order_id", "product_category", "product_price")
+    return _with_product(spark, d).select("order_id", "product_category", "product_price")
 
 
 def _enriched(spark: SparkSession, d: str) -> DataFrame:
@@ -430,7 +434,8 @@ def pip6_staging(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        src1_range, src2_parquet, src3_merged, src4_table, src5_csv, src5_external, src6_text, src7_slices, src8_values, src9_files,
+        src1_range, src2_parquet, src3_merged, src4_table, src5_csv, src5_external, src6_text, src7_slices,
+        src8_values, src9_files,
         snk1_overwrite, snk2_append, snk3_ctas, snk4_replace_schema, snk4_replace_itself, snk5_insert, snk6_ddl,
         snk7_filecount, snk8_clean_rerun,
         prj1_subset, prj2_rename, prj3_concat, prj4_functions, prj5_ratio, prj6_default, prj7_computed, prj8_position,

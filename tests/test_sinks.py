@@ -56,16 +56,16 @@ def test_table_cannot_be_overwritten_from_itself_but_replaced(spark, database, r
 
 def test_ddl(spark, folder, rows):
     for _ in range(2):
-        recreate_database(spark, "kyu_db", folder)
-        spark.sql("CREATE TABLE IF NOT EXISTS kyu_db.t (id INT, name STRING) USING parquet")
-        spark.sql("CREATE TABLE IF NOT EXISTS kyu_db.t (id INT, name STRING) USING parquet")
-        spark.sql("INSERT INTO kyu_db.t VALUES (2, 'k2'), (1, 'k1')")
-        assert spark.sql("SELECT count(*) AS cnt FROM kyu_db.t").first().cnt == 2
-        assert [tuple(r) for r in spark.sql("SELECT * FROM kyu_db.t ORDER BY id").collect()] == [(1, "k1"), (2, "k2")]
-    assert [row[0] for row in spark.sql("SHOW DATABASES LIKE 'kyu*'").collect()] == ["kyu_db"]
-    drop_tables(spark, "kyu_db", "t", "absent")
-    assert spark.catalog.listTables("kyu_db") == []
-    spark.sql("DROP DATABASE kyu_db CASCADE")
+        recreate_database(spark, "smoke_db", folder)
+        spark.sql("CREATE TABLE IF NOT EXISTS smoke_db.t (id INT, name STRING) USING parquet")
+        spark.sql("CREATE TABLE IF NOT EXISTS smoke_db.t (id INT, name STRING) USING parquet")
+        spark.sql("INSERT INTO smoke_db.t VALUES (2, 'k2'), (1, 'k1')")
+        assert spark.sql("SELECT count(*) AS cnt FROM smoke_db.t").first().cnt == 2
+        assert [tuple(r) for r in spark.sql("SELECT * FROM smoke_db.t ORDER BY id").collect()] == [(1, "k1"), (2, "k2")]
+    assert [row[0] for row in spark.sql("SHOW DATABASES LIKE 'smoke*'").collect()] == ["smoke_db"]
+    drop_tables(spark, "smoke_db", "t", "absent")
+    assert spark.catalog.listTables("smoke_db") == []
+    spark.sql("DROP DATABASE smoke_db CASCADE")
 
 
 class Session:
