@@ -12,20 +12,25 @@ from millrace.workspace import materialise
 # many version numbers, whose last versions are then linked to the next span.
 SPAN = 4096
 
+# Positions of a schema that one row of its history holds.
+FIELDS_PER_ROW = 10_000
+
 DATASET = ("namespace", "name")
 
 
 def schema_history(schema_fields: DataFrame) -> DataFrame:
-    """Ordered field names of every version, as an array.
+    """``namespace, name, version, part, fields``: ordered field names of every version.
 
-    Facts reported repeatedly are merged first, so an array is never larger than one schema.
+    Facts reported repeatedly are merged first. A schema wider than ``FIELDS_PER_ROW`` continues
+    in further parts, cut by position, so no array grows without bound.
     """
+    part = whole_quotient(F.col("pos"), FIELDS_PER_ROW)
     return (
         schema_fields.groupBy(*DATASET, "version", "field")
         .agg(F.min("pos").alias("pos"))
-        .groupBy(*DATASET, "version")
+        .groupBy(*DATASET, "version", part.alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct("pos", "field"))).alias("ordered"))
-        .select(*DATASET, "version", F.col("ordered.field").alias("fields"))
+        .select(*DATASET, "version", "part", F.col("ordered.field").alias("fields"))
     )
 
 

@@ -26,7 +26,7 @@ def lin2_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 def lin3_schema_history(spark: SparkSession, d: str) -> DataFrame:
     history = versions.schema_history(bindings.schema_fields(spark, d))
-    return history.select("namespace", "name", "version", F.array_join("fields", ",").alias("fields"))
+    return history.select("namespace", "name", "version", "part", F.array_join("fields", ",").alias("fields"))
 
 
 def lin4_schema_diff(spark: SparkSession, d: str) -> DataFrame:

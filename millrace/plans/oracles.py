@@ -240,8 +240,8 @@ LINEAGE = {
         WHERE c_mktsegment = 'BUILDING' AND c_custkey IN (SELECT o_custkey FROM orders)""",
     "lin2_jobs": """SELECT DISTINCT 'job_' || o_orderkey || '.' || lower(o_orderpriority) AS job FROM orders
         WHERE o_orderstatus = 'F' AND lower(o_orderpriority) LIKE '%urgent%'""",
-    "lin3_schema_history": f"""{FIELDS} SELECT namespace, name, version, string_agg(field, ',' ORDER BY pos, field) AS fields
-        FROM fields GROUP BY namespace, name, version""",
+    "lin3_schema_history": f"""{FIELDS} SELECT namespace, name, version, pos // 10000 AS part,
+        string_agg(field, ',' ORDER BY pos, field) AS fields FROM fields GROUP BY namespace, name, version, pos // 10000""",
     "lin4_schema_diff": f"{CHANGES} SELECT namespace, name, version, field, change FROM changes",
     "lin4_renames": f"""{CHANGES}, sourced AS (
           SELECT *, 'u' || (CAST(substr(field, 2) AS BIGINT) // 4) AS source FROM changes)

@@ -321,6 +321,12 @@ def test_schema_history(spark, rows):
     assert rows(found) == list(STAGE.items())
 
 
+def test_wide_schema_continues_in_parts(spark, rows, monkeypatch):
+    monkeypatch.setattr(versions, "FIELDS_PER_ROW", 2)
+    found = versions.schema_history(_fields(spark, {1: "a b c d e"})).select("part", F.array_join("fields", " "))
+    assert rows(found) == [(0, "a b"), (1, "c d"), (2, "e")]
+
+
 def test_schema_changes_and_rename(spark, rows):
     changes = versions.schema_changes(_fields(spark, STAGE))
     assert rows(changes.select("version", "change", "field")) == [
