@@ -186,7 +186,7 @@ def identified(
         rows = rows.join(table, F.col(key) == F.col(f"of_{key}")).drop(f"of_{key}")
     evidence = _plus(_plus(F.col("likelihood"), F.col("log_declared")), F.col("log_suffix"))
     rows = rows.withColumn("evidence", evidence)
-    rows = rows.withColumn("by_page", _softmax(_plus(F.col("evidence"), F.transform(prior, F.log))))
+    rows = rows.withColumn("by_page", _softmax(_plus(F.col("evidence"), F.transform(prior, lambda p: F.log(p)))))
     rows, _ = materialise(rows.drop("log_declared", "log_suffix", "likelihood"), "evidence")
     domains, _ = materialise(sums(rows, "domain", "by_page"), "domains")
     hosts, _ = materialise(sums(rows, "host", "by_page"), "hosts")

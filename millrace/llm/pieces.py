@@ -222,17 +222,20 @@ class Encoder:
 
 
 def _encoder(shared):
-    """``shared`` is a broadcast encoder; a worker that is used again goes on with the words it knows."""
+    """``shared`` is a broadcast dict; a worker that is used again goes on with the encoder it has put there."""
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
+        if "encoder" not in shared.value:
+            shared.value["encoder"] = Encoder(Vocabulary(*shared.value["vocabulary"]))
+        encoder = shared.value["encoder"]
         ids, lengths, batch, size = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], [], 0
         for k, text in enumerate(texts):
             data = text.as_buffer().to_pybytes()
             batch.append(data.decode("utf-8", "replace"))
             size += len(data)
             if size >= BATCH_BYTES or k == len(texts) - 1:
-                some, counts = shared.value.encode(batch)
+                some, counts = encoder.encode(batch)
                 ids.append(some)
                 lengths.append(counts)
                 batch, size = [], 0
@@ -283,7 +286,7 @@ def encoded(df: DataFrame, model: str, text: str = "text", carry: list[str] | No
     UTF-8 counts as replacement characters. A word of any length is encoded whole, its states being one
     for each character. Repeated rows stay; an empty table gives an empty result.
     """
-    shared = df.sparkSession.sparkContext.broadcast(Encoder(load(model)))
+    shared = df.sparkSession.sparkContext.broadcast({"vocabulary": tuple(load(model))})
     return df.select(carried(carry or [text]), _encoder(shared)(as_bytes(F.col(f"`{text}`"))).alias("ids"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm import (
     chat,
     language_id,
+    lm_score,
     mixing,
     pieces,
     quality_classifier,
@@ -37,6 +38,17 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    documents = _table(spark, sf_dir, "documents")
+    found = lm_score.scored(documents, ~held_out, carry=["doc_id"])
+    held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return found.select(
+        "row.doc_id", held_out.alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.col("total").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -97,7 +109,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filter, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_mixing,
+        op1_url_filter, op2_lm_score, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_mixing,
         op7_language_id, op8_chat_formatting, op9_simhash_dedup, op10_topk,
     )
 }
