@@ -43,7 +43,6 @@ def count(text: bytes) -> tuple[int, ...]:
     )
 
 
-@F.arrow_udf("struct<" + ", ".join(f"{name}: long" for name in FIELDS) + ">")
 def _counts(texts: pa.Array) -> pa.Array:
     made = np.array([count(x.as_buffer().to_pybytes()) for x in texts], np.int64).reshape(-1, len(FIELDS))
     return pa.StructArray.from_arrays([pa.array(made[:, k]) for k in range(len(FIELDS))], names=list(FIELDS))
@@ -51,4 +50,5 @@ def _counts(texts: pa.Array) -> pa.Array:
 
 def text_counts(text: str | Column) -> Column:
     """A struct of ``FIELDS`` of the whole text; a null text counts as empty."""
-    return _counts(as_bytes(text))
+    kind = "struct<" + ", ".join(f"{name}: long" for name in FIELDS) + ">"
+    return F.arrow_udf(_counts, kind)(as_bytes(text))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-#: The words of a text; `string_split_regex` gives an empty item before a leading separator.
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
-
 SQL = {
     "op1_url_filter": r"""
         WITH cut AS (
@@ -26,9 +23,9 @@ SQL = {
     "op10_topk": r"""
         WITH whole AS (
             SELECT row_number() OVER () AS number, vec_id,
-                list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
             FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         scored AS (
             SELECT q.number, q.vec_id AS query_id, x.vec_id,
                 CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score

@@ -102,7 +102,8 @@ def _keyed(radius: int):
 
 def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a bucket's distinct fingerprints that join exactly what is linked within it."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    unsigned = fps.view(np.uint64)  # bits of a negative number are not those of its absolute value
+    near = np.bitwise_count(unsigned[:, None] ^ unsigned[None, :]) <= radius
     label = np.arange(len(fps))
     while True:
         low = np.where(near, label[None, :], len(fps)).min(axis=1)
@@ -126,7 +127,7 @@ def _linked(radius: int):
             cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
             edges = np.concatenate([[0], cuts, [len(rows)]])
             made = [
-                _forest(rows[start:end, 2], radius)
+                _forest(np.ascontiguousarray(rows[start:end, 2]), radius)
                 for start, end in zip(edges[:-1], edges[1:], strict=True)
                 if end - start > 1
             ]
