@@ -6,12 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.sources.facts import DIRECT, DIRECT_SUBTYPES, INDIRECT, INDIRECT_SUBTYPES
-from millrace.workspace import materialise
-
-# Column pairs that one row of the data set form holds on average before a pair of data sets is
-# spread over several rows.
-PAIRS_PER_ROW = 10_000
-
 EDGE = ("out_dataset", "out_column", "in_dataset", "in_column", "type", "subtype")
 
 
@@ -20,6 +14,15 @@ def direct_edges(column_edges: DataFrame) -> DataFrame:
     return column_edges.where((F.col("type") == DIRECT) & F.col("subtype").isin(*DIRECT_SUBTYPES))
 
 
+def latest_edges(column_edges: DataFrame, versions: DataFrame) -> DataFrame:
+    """The edges of the last version of every job, by time and then by version.
+
+    ``versions`` has ``job, version, ts``; run events will do. A job without a version there has no edges.
+    """
+    last = versions.groupBy("job").agg(F.max(F.struct("ts", "version")).alias("last"))
+    return column_edges.join(last.select("job", F.col("last.version").alias("version")), ["job", "version"])
+
+
 def subtype_counts(column_edges: DataFrame) -> DataFrame:
     """Different edges of every job by type and subtype."""
     different = column_edges.select("job", *EDGE).distinct()
@@ -64,29 +67,19 @@ def fan_in(column_edges: DataFrame) -> DataFrame:
     )
 
 
-def to_dataset_form(column_edges: DataFrame, pairs_per_row: int = PAIRS_PER_ROW) -> DataFrame:
-    """``out_dataset, in_dataset, part, pairs``: all column pairs of two data sets in one array.
+def to_dataset_form(column_edges: DataFrame) -> DataFrame:
+    """``out_dataset, in_dataset, out_column, pairs``: what each output column takes from a data set.
 
-    A pair of data sets with more than ``pairs_per_row`` column pairs gets several parts, chosen
-    by a hash of the columns, so neither an array nor a task grows with the data. No pair is
-    left out. Only the few oversized pairs of data sets are joined back.
+    The array holds ``in_column, type, subtype`` and is as long as the input data set is wide, whatever
+    the number of rows; the form is the same for few and for many edges.
     """
-    ends = ["out_dataset", "in_dataset"]
-    pairs, _ = materialise(column_edges.select(*EDGE).distinct(), "pairs")
-    sizes = pairs.groupBy(*ends).agg(F.ceil(F.count(F.lit(1)) / F.lit(pairs_per_row)).alias("parts"))
-    oversized, _ = materialise(sizes.where(F.col("parts") > 1), "oversized")
-    part = F.pmod(F.xxhash64("out_column", "in_column", "type", "subtype"), F.coalesce("parts", F.lit(1)))
-    return (
-        pairs.join(oversized, ends, "left")
-        .withColumn("part", part)
-        .repartition(*ends, "part")
-        .groupBy(*ends, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("out_column", "in_column", "type", "subtype"))).alias("pairs"))
-    )
+    ends = ["out_dataset", "in_dataset", "out_column"]
+    pairs = column_edges.select(*EDGE).distinct()
+    return pairs.groupBy(*ends).agg(F.array_sort(F.collect_list(F.struct("in_column", "type", "subtype"))).alias("pairs"))
 
 
 def from_dataset_form(dataset_edges: DataFrame) -> DataFrame:
     """The column edges again, one row each."""
-    return dataset_edges.select("out_dataset", "in_dataset", F.explode("pairs").alias("pair")).select(
-        "out_dataset", "pair.out_column", "in_dataset", "pair.in_column", "pair.type", "pair.subtype"
+    return dataset_edges.select("out_dataset", "out_column", "in_dataset", F.explode("pairs").alias("pair")).select(
+        "out_dataset", "out_column", "in_dataset", "pair.in_column", "pair.type", "pair.subtype"
     )

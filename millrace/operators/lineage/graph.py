@@ -20,8 +20,6 @@ from pyspark.sql import types as T
 from millrace.sources.facts import DIRECT, DIRECT_SUBTYPES
 from millrace.workspace import fresh_path, materialise, write_counted
 
-DEFAULT_DEPTH = 10
-
 
 class _Rounds:
     """A table of rows found so far, one partition per round."""
@@ -58,14 +56,14 @@ def _not_in(reached: DataFrame, found: DataFrame, state: Sequence[str], *measure
     return grouped.where(F.col("known") == 0).drop("known")
 
 
-def _walk(first: DataFrame, advance: Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
+def _walk(first: DataFrame, advance: Callable[[DataFrame], DataFrame], depth: int | None = None) -> DataFrame:
     """Breadth first: what one hop reaches, then only what every further hop reaches anew.
 
-    Ends when a round finds nothing new, or after ``depth`` hops. Adds ``hops``.
+    Ends when a round finds nothing new; only a given ``depth`` ends it before. Adds ``hops``.
     """
     state = first.columns
     found = _Rounds(first.distinct(), "hops")
-    while found.newest_rows and found.number < depth:
+    while found.newest_rows and (depth is None or found.number < depth):
         found.add(_not_in(advance(found.newest()).select(*state), found.all(), state))
     return found.all().withColumnRenamed("round", "hops")
 
@@ -92,11 +90,12 @@ def _all_pairs(links: DataFrame, depth: int | None = None) -> DataFrame:
     return found.all().drop("round")
 
 
-def upstream(dataset_edges: DataFrame, depth: int = DEFAULT_DEPTH, starts: DataFrame | None = None) -> DataFrame:
-    """``dataset, upstream, hops``: all data sets that feed a data set within ``depth`` hops.
+def upstream(dataset_edges: DataFrame, depth: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """``dataset, upstream, hops``: all data sets that feed a data set, within ``depth`` hops if it is given.
 
     With ``starts`` (column ``dataset``) only what those data sets depend on is visited, hop by
-    hop; without it the answer covers all data sets and takes a logarithmic number of rounds.
+    hop; without it the answer covers all data sets and takes a logarithmic number of rounds. Its
+    size is that of the closure: ask it of a graph whose closure is wanted.
     """
     links = dataset_edges.select(F.col("out_dataset").alias("start"), F.col("in_dataset").alias("node")).where(
         F.col("start") != F.col("node")
@@ -116,8 +115,8 @@ def upstream(dataset_edges: DataFrame, depth: int = DEFAULT_DEPTH, starts: DataF
     return pairs.select(F.col("start").alias("dataset"), F.col("node").alias("upstream"), "hops")
 
 
-def downstream(dataset_edges: DataFrame, depth: int = DEFAULT_DEPTH, starts: DataFrame | None = None) -> DataFrame:
-    """``dataset, downstream, hops``: all data sets that a data set feeds within ``depth`` hops."""
+def downstream(dataset_edges: DataFrame, depth: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """``dataset, downstream, hops``: all data sets that a data set feeds, within ``depth`` hops if it is given."""
     reverse = dataset_edges.select(F.col("in_dataset").alias("out_dataset"), F.col("out_dataset").alias("in_dataset"))
     return upstream(reverse, depth, starts).withColumnRenamed("upstream", "downstream")
 
@@ -131,7 +130,7 @@ def _renamed(df: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame
 
 
 def _walk_columns(
-    edges: DataFrame, starts: DataFrame, near: Sequence[str], far: Sequence[str], depth: int
+    edges: DataFrame, starts: DataFrame, near: Sequence[str], far: Sequence[str], depth: int | None
 ) -> DataFrame:
     """Follow edges from their ``near`` end at ``starts`` to the ``far`` end, keeping the strongest subtype."""
     step = edges.select(
@@ -150,7 +149,7 @@ def _walk_columns(
     return _walk(edges.join(starts, list(near)).select(*near, *far, "strength"), advance, depth)
 
 
-def column_sources(column_edges: DataFrame, depth: int = DEFAULT_DEPTH, starts: DataFrame | None = None) -> DataFrame:
+def column_sources(column_edges: DataFrame, depth: int | None = None, starts: DataFrame | None = None) -> DataFrame:
     """From every mart column to the raw columns it comes from, with hops and effective subtype.
 
     Mart columns are ``starts`` (``out_dataset, out_column``), or else the columns no edge reads.
@@ -185,15 +184,53 @@ def without_hidden(dataset_edges: DataFrame, hidden: DataFrame) -> DataFrame:
     """
     edges, _ = materialise(dataset_edges.select("out_dataset", "in_dataset").distinct(), "edges")
     gone, _ = materialise(hidden.select(F.col("dataset").alias("out_dataset")).distinct(), "hidden")
-    hidden_links = edges.join(gone, "out_dataset", "left_semi")
-    behind = _all_pairs(hidden_links.select(F.col("out_dataset").alias("start"), F.col("in_dataset").alias("node")))
+    hidden_inputs = _renamed(gone, ["out_dataset"], ["in_dataset"])
     visible = edges.join(gone, "out_dataset", "left_anti")
-    bridged = visible.join(behind, F.col("in_dataset") == F.col("start")).select(
-        "out_dataset", F.col("node").alias("in_dataset")
+    # Only hidden nodes lead on, so the walk stops at the first visible ones.
+    step, _ = materialise(
+        edges.join(gone, "out_dataset", "left_semi").select(
+            F.col("out_dataset").alias("in_dataset"), F.col("in_dataset").alias("next")
+        ),
+        "onward",
     )
+
+    def advance(frontier: DataFrame) -> DataFrame:
+        return frontier.join(step, "in_dataset").select("out_dataset", F.col("next").alias("in_dataset"))
+
+    behind = _walk(
+        visible.join(hidden_inputs, "in_dataset", "left_semi").select("out_dataset", "in_dataset"), advance
+    ).drop("hops")
     return (
-        visible.unionByName(bridged)
-        .join(_renamed(gone, ["out_dataset"], ["in_dataset"]), "in_dataset", "left_anti")
+        visible.unionByName(behind)
+        .join(hidden_inputs, "in_dataset", "left_anti")
         .select("out_dataset", "in_dataset")
         .distinct()
     )
+
+
+def lineage_graph(job_io: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """``start, id, type, direction, hops``: data sets and jobs before and after given nodes.
+
+    ``starts`` has ``id`` and ``type`` (``DATASET`` or ``JOB``). A hop leads from a data set to a job that
+    reads or writes it, or from a job to one of its data sets. Versions of a job are one node.
+    """
+    is_input = F.col("role") == "INPUT"
+    job = F.struct(F.lit("JOB").alias("type"), F.col("job").alias("id"))
+    dataset = F.struct(F.lit("DATASET").alias("type"), F.col("dataset").alias("id"))
+    forward = job_io.select(
+        F.when(is_input, dataset).otherwise(job).alias("node"), F.when(is_input, job).otherwise(dataset).alias("next")
+    )
+    forward, _ = materialise(forward.distinct(), "links")
+    wanted, _ = materialise(starts.select(F.struct("type", "id").alias("start")).distinct(), "starts")
+
+    def reached(links: DataFrame, direction: str) -> DataFrame:
+        def advance(frontier: DataFrame) -> DataFrame:
+            onward = frontier.join(links, "node").where(F.col("start") != F.col("next"))
+            return onward.select("start", F.col("next").alias("node"))
+
+        first = links.join(wanted, F.col("node") == F.col("start")).select("start", F.col("next").alias("node"))
+        return _walk(first, advance, depth).withColumn("direction", F.lit(direction))
+
+    backward = forward.select(F.col("next").alias("node"), F.col("node").alias("next"))
+    both = reached(backward, "UPSTREAM").unionByName(reached(forward, "DOWNSTREAM"))
+    return both.select(F.col("start.id").alias("start"), "node.id", "node.type", "direction", "hops")

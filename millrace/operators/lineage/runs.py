@@ -19,12 +19,16 @@ def _in_state(state: str) -> Column:
     return F.when(F.col("state") == state, F.col("ts"))
 
 
+def different_events(run_events: DataFrame) -> DataFrame:
+    """Events delivered more than once, once each."""
+    return run_events.dropDuplicates(["event_id"])
+
+
 def fold_events(run_events: DataFrame) -> DataFrame:
-    """One row per run with all that a later merge needs."""
+    """One row per run with all that a later merge needs. ``events`` counts deliveries."""
     return run_events.groupBy("run_id").agg(
         F.min("job").alias("job"),
         F.min(_in_state(START)).alias("started_at"),
-        F.max(F.when(F.col("state").isin(COMPLETE, FAIL), F.col("ts"))).alias("ended_at"),
         F.min("ts").alias("first_ts"),
         F.max(F.struct("ts", "event_id", "state")).alias("last"),
         F.count(F.lit(1)).alias("events"),
@@ -36,7 +40,6 @@ def merge_folds(folds: DataFrame) -> DataFrame:
     return folds.groupBy("run_id").agg(
         F.min("job").alias("job"),
         F.min("started_at").alias("started_at"),
-        F.max("ended_at").alias("ended_at"),
         F.min("first_ts").alias("first_ts"),
         F.max("last").alias("last"),
         F.sum("events").alias("events"),
@@ -70,12 +73,20 @@ def runs_per_job(run_events: DataFrame) -> DataFrame:
 
 
 def versions_per_job(run_events: DataFrame) -> DataFrame:
-    """Versions and runs of every job, and whether one version ran often or many versions ran."""
+    """Versions and runs of every job, and whether one version ran often or many versions ran.
+
+    Events are reduced to their different (job, version, run) once; each count is then of whole keys.
+    """
     runs = F.col("runs")
     versions = F.col("versions")
+    facts = run_events.select("job", "version", "run_id").distinct()
+
+    def different(column: str, name: str) -> DataFrame:
+        return facts.select("job", column).distinct().groupBy("job").agg(F.count(column).alias(name))
+
     return (
-        run_events.groupBy("job")
-        .agg(F.count_distinct("version").alias("versions"), F.count_distinct("run_id").alias("runs"))
+        different("version", "versions")
+        .join(different("run_id", "runs"), "job")
         .withColumn(
             "history",
             F.when(versions > 1, "many versions")

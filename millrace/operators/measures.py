@@ -76,10 +76,17 @@ def circle_estimate(spark: SparkSession, points: int, slices: int | None = None,
     """
     rows = spark.range(0, points, 1, slices) if slices else spark.range(points)
     if seed is None:
-        judged = rows.select(in_quarter_circle(F.col("id")).alias("hit"))
-    else:
-        drawn = rows.select(F.rand(seed).alias("x"), F.rand(seed + 1).alias("y"))
-        judged = drawn.select((F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1).alias("hit"))
+        return circle_share(rows)
+    drawn = rows.select(F.rand(seed).alias("x"), F.rand(seed + 1).alias("y"))
+    return _share_of_hits(drawn.select((F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1).alias("hit")))
+
+
+def circle_share(numbers: DataFrame) -> DataFrame:
+    """``inside, points, pi`` of the points of the fixed sequence that ``id`` numbers."""
+    return _share_of_hits(numbers.select(in_quarter_circle(F.col("id")).alias("hit")))
+
+
+def _share_of_hits(judged: DataFrame) -> DataFrame:
     hits = F.count(F.when(F.col("hit"), 1))
     return judged.agg(
         hits.alias("inside"),

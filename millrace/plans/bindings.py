@@ -116,20 +116,14 @@ def declared_sources(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def datasets(spark: SparkSession, directory: str) -> DataFrame:
-    """Customers as data sets; the namespace is the market segment, the update the last order."""
-    customer = table(spark, directory, "customer").select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_mktsegment").alias("namespace"),
-        F.col("c_name").alias("name"),
+    """Customers as data sets; the namespace is the market segment."""
+    return table(spark, directory, "customer").select(
+        F.col("c_mktsegment").alias("namespace"), F.col("c_name").alias("name")
     )
-    last = orders(spark, directory).groupBy("customer_id").agg(F.max("order_ts").alias("updated_at"))
-    return customer.join(last, "customer_id").select("namespace", "name", "updated_at")
 
 
 def expected_datasets(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "customer").select(
-        F.col("c_mktsegment").alias("namespace"), F.col("c_name").alias("name")
-    )
+    return datasets(spark, directory)
 
 
 def dataset_updates(spark: SparkSession, directory: str) -> DataFrame:
@@ -212,6 +206,36 @@ def line_edges(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def versioned_edges(spark: SparkSession, directory: str) -> DataFrame:
+    """Column edges from order lines whose load has a version for each line status."""
+    flag = F.col("l_returnflag")
+    return table(spark, directory, "lineitem").select(
+        F.concat(F.lit("load_"), flag).alias("job"),
+        F.col("l_linestatus").alias("version"),
+        label("supplier_", F.col("l_suppkey")).alias("out_dataset"),
+        label("line_", F.col("l_linenumber")).alias("out_column"),
+        F.concat(F.lit("flag_"), flag).alias("in_dataset"),
+        label("c", F.col("l_partkey") % 40).alias("in_column"),
+        F.lit(DIRECT).alias("type"),
+        F.lit(DIRECT_SUBTYPES[0]).alias("subtype"),
+    )
+
+
+def version_times(spark: SparkSession, directory: str) -> DataFrame:
+    """When the versions of the loads ran: the ship dates of their lines."""
+    return table(spark, directory, "lineitem").select(
+        F.concat(F.lit("load_"), F.col("l_returnflag")).alias("job"),
+        F.col("l_linestatus").alias("version"),
+        F.col("l_shipdate").alias("ts"),
+    )
+
+
+def suppliers_in_debt(spark: SparkSession, directory: str) -> DataFrame:
+    """Suppliers with a negative balance as nodes of the data set and job graph."""
+    debt = table(spark, directory, "supplier").where(F.col("s_acctbal") < 0)
+    return debt.select(label("supplier_", F.col("s_suppkey")).alias("id"), F.lit("DATASET").alias("type"))
+
+
 def part_edges(spark: SparkSession, directory: str) -> DataFrame:
     """``out, in, subtype``: each part depends on the parts at a half and at a third of its key,
     except on itself."""

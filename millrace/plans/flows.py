@@ -118,8 +118,9 @@ def country_mart_from_views(orders: DataFrame, customers: DataFrame, k: int = 3)
     return order_ops.top_countries(order_ops.country_metrics_from_raw(orders, customers), k)
 
 
-def append_batches(batches: Sequence[DataFrame], path: str, files: int = 8) -> DataFrame:
-    """Write batches of several schemas into one path, ``files`` files each, and read them merged."""
+def append_batches(batches: Sequence[DataFrame], path: str, files: int | None = None) -> DataFrame:
+    """Write batches of several schemas into one path and read them merged, by the schema they have together."""
     for number, batch in enumerate(batches):
         write_files(batch, path, files, "append" if number else "overwrite")
-    return read_merged(batches[0].sparkSession, path, *EVENT_COLUMNS)
+    schema = staging.union_of(batches).schema
+    return read_merged(batches[0].sparkSession, path, *EVENT_COLUMNS, schema=schema)

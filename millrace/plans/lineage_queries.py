@@ -53,7 +53,7 @@ def lin6_version_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lin7_run_states(spark: SparkSession, d: str) -> DataFrame:
-    return runs.run_states(runs.fold_events(bindings.run_events(spark, d)))
+    return runs.run_states(runs.fold_events(runs.different_events(bindings.run_events(spark, d))))
 
 
 def lin7_failed(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +73,12 @@ def lin8_direct_edges(spark: SparkSession, d: str) -> DataFrame:
     return direct.select(*edges.EDGE).distinct()
 
 
+def lin8_current_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Direct edges of the version of each load that ran last."""
+    current = edges.latest_edges(bindings.versioned_edges(spark, d), bindings.version_times(spark, d))
+    return edges.direct_edges(current).select("job", "version", *edges.EDGE).distinct()
+
+
 def lin8_subtypes(spark: SparkSession, d: str) -> DataFrame:
     return edges.subtype_counts(bindings.line_edges(spark, d))
 
@@ -86,7 +92,8 @@ def lin10_fan_in(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lin11_upstream(spark: SparkSession, d: str) -> DataFrame:
-    return graph.upstream(bindings.dataset_edges(spark, d))
+    """Upstream of the views."""
+    return graph.upstream(bindings.dataset_edges(spark, d), starts=bindings.hidden_datasets(spark, d))
 
 
 def lin11_upstream_of_marts(spark: SparkSession, d: str) -> DataFrame:
@@ -99,30 +106,37 @@ def lin11_upstream_of_marts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lin11_downstream(spark: SparkSession, d: str) -> DataFrame:
-    return graph.downstream(bindings.dataset_edges(spark, d), depth=3)
+    """Three hops downstream of the views."""
+    return graph.downstream(bindings.dataset_edges(spark, d), depth=3, starts=bindings.hidden_datasets(spark, d))
+
+
+def lin11_node_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs and data sets before and after the suppliers in debt."""
+    return graph.lineage_graph(bindings.job_io(spark, d), bindings.suppliers_in_debt(spark, d))
 
 
 def lin12_column_sources(spark: SparkSession, d: str) -> DataFrame:
-    return graph.column_sources(bindings.column_edges(spark, d), depth=20)
+    return graph.column_sources(bindings.column_edges(spark, d))
 
 
 def lin13_dataset_form(spark: SparkSession, d: str) -> DataFrame:
-    """Column pairs of every pair of data sets as one text per row."""
+    """What every output column takes from a data set, as one text per row."""
     form = edges.to_dataset_form(bindings.line_edges(spark, d))
     texts = F.transform(
-        "pairs", lambda p: F.concat_ws(">", p["in_column"], p["out_column"], p["type"], p["subtype"])
+        "pairs", lambda p: F.concat_ws(">", p["in_column"], p["type"], p["subtype"])
     )
     return form.select(
         "out_dataset",
         "in_dataset",
+        "out_column",
         F.size("pairs").cast("bigint").alias("edges"),
         F.array_join(F.array_sort(texts), ";").alias("pairs"),
     )
 
 
 def lin13_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Column edges that went through the data set form, in arrays of ten on average."""
-    return edges.from_dataset_form(edges.to_dataset_form(bindings.line_edges(spark, d), pairs_per_row=10))
+    """Column edges that went through the data set form."""
+    return edges.from_dataset_form(edges.to_dataset_form(bindings.line_edges(spark, d)))
 
 
 def lin14_job_io(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +198,7 @@ QUERIES: dict[str, Query] = {
         lin1_datasets, lin2_jobs, lin3_schema_history, lin4_schema_diff, lin4_renames, lin5_runs, lin6_versions,
         lin6_version_runs, lin7_run_states, lin7_failed, lin7_stream, lin8_direct_edges, lin8_subtypes,
         lin9_indirect_edges, lin10_fan_in, lin11_upstream, lin11_upstream_of_marts, lin11_downstream,
-        lin12_column_sources, lin13_dataset_form, lin13_round_trip, lin14_job_io, lin15_freshness, lin16_normalise,
+        lin8_current_edges, lin11_node_graph, lin12_column_sources, lin13_dataset_form, lin13_round_trip, lin14_job_io, lin15_freshness, lin16_normalise,
         lin17_accepted, lin17_reasons, lin18_collisions, lin19_job_parts, lin20_identity, lin21_placeholders,
         lin22_shared_application, lin23_without_views,
     )

@@ -59,7 +59,8 @@ MERGED = "SELECT event_id, user_id, ts, country, device FROM merged"
 
 SALES = """sales AS (
   SELECT i AS id, 'region_' || (i % 5) AS region, CAST(i * 7 % 100 AS DOUBLE) AS amount
-  FROM (SELECT row_number() OVER () - 1 AS i FROM {}))"""
+  FROM (SELECT {} AS i FROM {}))"""
+LINE_NUMBER = "l_orderkey * 8 + l_linenumber"
 
 # Fixed values, as in the column expressions.
 POINT_MODULUS = 1_000_000_007
@@ -76,7 +77,7 @@ SUMMARY = """SELECT c.id, c.name, upper(c.country) AS country_code, coalesce(s.t
   FROM raw_customers c LEFT JOIN stats s ON s.customer_id = c.id"""
 
 WAREHOUSE = {
-    "src1_range": f"WITH {SALES.format('orders')} SELECT id, region, amount FROM sales",
+    "src1_range": f"WITH {SALES.format('o_orderkey', 'orders')} SELECT id, region, amount FROM sales",
     "src2_parquet": "SELECT * FROM orders",
     "src3_merged": f"{RAW}, {DRIFT} {MERGED}",
     "src4_table": f"{RAW} SELECT id, name, email, country FROM raw_customers",
@@ -84,12 +85,11 @@ WAREHOUSE = {
     "src5_external": "SELECT CAST(c_custkey AS INT) AS id, c_name AS name FROM customer",
     "src6_text": """SELECT value, count(*) AS n
         FROM (SELECT unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS value FROM documents) GROUP BY value""",
-    "src7_slices": "SELECT count(*) AS cnt, CAST(0 AS BIGINT) AS first_id, count(*) - 1 AS last_id FROM orders",
+    "src7_slices": "SELECT count(DISTINCT o_orderkey) AS cnt, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders",
     "src8_values": """SELECT t.id, t.name, e.events
         FROM (VALUES ('signup', 1, 'Test1'), ('purchase', 2, 'Test2')) AS t(kind, id, name)
         JOIN (SELECT event_type, count(*) AS events FROM events GROUP BY event_type) e ON e.event_type = t.kind""",
-    "src9_files": """SELECT CAST(24 AS BIGINT) AS files, CAST(24 AS BIGINT) AS files_with_bytes, count(*) AS row_count
-        FROM orders""",
+    "src9_files": "SELECT true AS all_scanned, count(*) AS row_count FROM orders",
     "snk1_overwrite": f"{RAW}, {STATS} SELECT * FROM stats",
     "snk2_append": f"""{RAW} SELECT order_id, customer_id, amount, NULL::VARCHAR AS country FROM raw_orders
         UNION ALL SELECT NULL, id, NULL, country FROM raw_customers""",
@@ -145,14 +145,14 @@ WAREHOUSE = {
         WHERE word <> '' GROUP BY word""",
     "agg9_pi_lattice": f"""WITH points AS (
           SELECT i % {POINT_MODULUS} * {POINT_X} % {POINT_MODULUS} AS x, i % {POINT_MODULUS} * {POINT_Y} % {POINT_MODULUS} AS y
-          FROM (SELECT row_number() OVER () - 1 AS i FROM lineitem)),
+          FROM (SELECT {LINE_NUMBER} AS i FROM lineitem)),
         hits AS (SELECT count(*) FILTER (x * x + y * y <= {POINT_MODULUS}::BIGINT * {POINT_MODULUS}) AS inside, count(*) AS points
           FROM points)
         SELECT inside, points, CAST(4 * inside AS DOUBLE) / points AS pi FROM hits""",
     "top1_topk": f"{RAW}, {JOINED}, {METRICS} {TOP}",
     "top2_sorted": f"{RAW}, {STATS} SELECT customer_id, total_spent FROM stats ORDER BY total_spent DESC, customer_id",
     "set1_union_by_name": f"{RAW}, {DRIFT} {MERGED}",
-    "pip1_generate_aggregate": f"""WITH {SALES.format('lineitem')}
+    "pip1_generate_aggregate": f"""WITH {SALES.format(LINE_NUMBER, 'lineitem')}
         SELECT region, {AMOUNT} AS total_amount, count(*) AS row_count FROM sales GROUP BY region""",
     "pip2_chain": f"{RAW}, {JOINED}, {METRICS} {TOP}",
     "pip2_chain_views": f"{RAW}, {JOINED}, {METRICS} {TOP}",
@@ -205,11 +205,15 @@ PART_EDGES = """WITH RECURSIVE links AS (
   UNION SELECT p_partkey, p_partkey // 3, p_size % 3 FROM part WHERE p_partkey <> p_partkey // 3)"""
 
 
-def _reached(first: str, from_end: str, to_end: str, depth: int) -> str:
+VIEWS = "{} IN (SELECT p_partkey FROM part WHERE p_type IN ('ECONOMY', 'PROMO'))"
+
+
+def _reached(first: str, from_end: str, to_end: str, depth: int | None = None) -> str:
+    bound = "" if depth is None else f" WHERE w.hops < {depth}"
     return f"""walk AS (
       SELECT {from_end} AS a, {to_end} AS b, 1 AS hops FROM links WHERE {first}
       UNION
-      SELECT w.a, l.{to_end}, w.hops + 1 FROM walk w JOIN links l ON l.{from_end} = w.b WHERE w.hops < {depth}),
+      SELECT w.a, l.{to_end}, w.hops + 1 FROM walk w JOIN links l ON l.{from_end} = w.b{bound}),
     reached AS (SELECT a, b, CAST(min(hops) AS INT) AS hops FROM walk WHERE a <> b GROUP BY a, b)"""
 
 
@@ -237,7 +241,7 @@ judged AS (SELECT *, CASE WHEN namespace IS NULL THEN 'missing' WHEN namespace =
 
 LINEAGE = {
     "lin1_datasets": """SELECT DISTINCT c_name AS name FROM customer
-        WHERE c_mktsegment = 'BUILDING' AND c_custkey IN (SELECT o_custkey FROM orders)""",
+        WHERE c_mktsegment = 'BUILDING'""",
     "lin2_jobs": """SELECT DISTINCT 'job_' || o_orderkey || '.' || lower(o_orderpriority) AS job FROM orders
         WHERE o_orderstatus = 'F' AND lower(o_orderpriority) LIKE '%urgent%'""",
     "lin3_schema_history": f"""{FIELDS} SELECT namespace, name, version, pos // 10000 AS part,
@@ -260,6 +264,19 @@ LINEAGE = {
     "lin7_failed": f"{RUN_EVENTS} SELECT run_id, job FROM ({RUN_STATES}) WHERE state = 'FAIL'",
     "lin7_stream": f"{RUN_EVENTS} {RUN_STATES}",
     "lin8_direct_edges": f"{LINE_EDGES} SELECT DISTINCT {EDGE} FROM edges WHERE type = 'DIRECT'",
+    "lin8_current_edges": """WITH last AS (SELECT l_returnflag AS flag, max({'ts': l_shipdate, 'version': l_linestatus}).version AS version
+          FROM lineitem GROUP BY l_returnflag)
+        SELECT DISTINCT 'load_' || l_returnflag AS job, l_linestatus AS version, 'supplier_' || l_suppkey AS out_dataset,
+          'line_' || l_linenumber AS out_column, 'flag_' || l_returnflag AS in_dataset, 'c' || (l_partkey % 40) AS in_column,
+          'DIRECT' AS type, 'IDENTITY' AS subtype
+        FROM lineitem JOIN last ON l_returnflag = flag AND l_linestatus = version""",
+    "lin11_node_graph": """WITH starts AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0),
+        lines AS (SELECT * FROM lineitem JOIN starts ON l_suppkey = s_suppkey),
+        jobs AS (SELECT DISTINCT s_suppkey, l_orderkey FROM lines)
+        SELECT 'supplier_' || s_suppkey AS start, 'job_' || l_orderkey AS id, 'JOB' AS type, 'UPSTREAM' AS direction,
+          CAST(1 AS INT) AS hops FROM jobs
+        UNION ALL SELECT DISTINCT 'supplier_' || s_suppkey, 'part_' || l.l_partkey, 'DATASET', 'UPSTREAM', CAST(2 AS INT)
+        FROM jobs JOIN lineitem l USING (l_orderkey)""",
     "lin8_subtypes": f"{LINE_EDGES} SELECT job, type, subtype, count(*) AS edges FROM edges GROUP BY job, type, subtype",
     "lin9_indirect_edges": """SELECT DISTINCT 'job_' || o.l_orderkey AS job, '1' AS version, 'mart' AS out_dataset,
           'line_' || o.l_linenumber AS out_column, 'suppliers' AS in_dataset, 'supplier_' || k.l_suppkey AS in_column,
@@ -271,25 +288,25 @@ LINEAGE = {
           count(*) FILTER (type = 'DIRECT' AND subtype = 'TRANSFORMATION') AS transformation,
           count(*) FILTER (type = 'DIRECT' AND subtype = 'AGGREGATION') AS aggregation
         FROM (SELECT DISTINCT {EDGE} FROM edges) GROUP BY out_dataset, out_column""",
-    "lin11_upstream": f"""{PART_EDGES}, {_reached('true', 'o', 'i', 10)}
+    "lin11_upstream": f"""{PART_EDGES}, {_reached(VIEWS.format('o'), 'o', 'i')}
         SELECT 'part_' || a AS dataset, 'part_' || b AS upstream, hops FROM reached""",
-    "lin11_upstream_of_marts": f"""{PART_EDGES}, {_reached('o NOT IN (SELECT i FROM links)', 'o', 'i', 10)}
+    "lin11_upstream_of_marts": f"""{PART_EDGES}, {_reached('o NOT IN (SELECT i FROM links)', 'o', 'i')}
         SELECT 'part_' || a AS dataset, 'part_' || b AS upstream, hops FROM reached""",
-    "lin11_downstream": f"""{PART_EDGES}, {_reached('true', 'i', 'o', 3)}
+    "lin11_downstream": f"""{PART_EDGES}, {_reached(VIEWS.format('i'), 'i', 'o', 3)}
         SELECT 'part_' || a AS dataset, 'part_' || b AS downstream, hops FROM reached""",
     "lin12_column_sources": f"""{PART_EDGES}, walk AS (
           SELECT o AS a, i AS b, strength, 1 AS hops FROM links WHERE o NOT IN (SELECT i FROM links)
           UNION
-          SELECT w.a, l.i, greatest(w.strength, l.strength), w.hops + 1 FROM walk w JOIN links l ON l.o = w.b
-          WHERE w.hops < 20)
+          SELECT w.a, l.i, greatest(w.strength, l.strength), w.hops + 1 FROM walk w JOIN links l ON l.o = w.b)
         SELECT 'table_' || (a // 10) AS out_dataset, 'c' || (a % 10) AS out_column, 'table_' || (b // 10) AS in_dataset,
           'c' || (b % 10) AS in_column,
           list_extract(['IDENTITY', 'TRANSFORMATION', 'AGGREGATION'], CAST(strength + 1 AS INT)) AS subtype,
           CAST(min(hops) AS INT) AS hops
         FROM walk WHERE b NOT IN (SELECT o FROM links) GROUP BY a, b, strength""",
-    "lin13_dataset_form": f"""{LINE_EDGES} SELECT out_dataset, in_dataset, count(*) AS edges, string_agg(pair, ';' ORDER BY pair) AS pairs
-        FROM (SELECT DISTINCT out_dataset, in_dataset, concat_ws('>', in_column, out_column, type, subtype) AS pair FROM edges)
-        GROUP BY out_dataset, in_dataset""",
+    "lin13_dataset_form": f"""{LINE_EDGES} SELECT out_dataset, in_dataset, out_column, count(*) AS edges,
+          string_agg(pair, ';' ORDER BY pair) AS pairs
+        FROM (SELECT DISTINCT out_dataset, in_dataset, out_column, concat_ws('>', in_column, type, subtype) AS pair FROM edges)
+        GROUP BY out_dataset, in_dataset, out_column""",
     "lin13_round_trip": f"{LINE_EDGES} SELECT DISTINCT {EDGE} FROM edges",
     "lin14_job_io": """SELECT 'job_' || l_orderkey AS job, l_linestatus AS version, count(DISTINCT l_partkey) AS inputs,
         count(DISTINCT l_suppkey) AS outputs FROM lineitem GROUP BY l_orderkey, l_linestatus""",

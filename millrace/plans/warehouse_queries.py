@@ -25,8 +25,8 @@ FILES = 8
 
 
 def src1_range(spark: SparkSession, d: str) -> DataFrame:
-    """As many generated sales as there are orders."""
-    return generated.sales(spark, table(spark, d, "orders").count())
+    """A generated sale for every order, by its key."""
+    return generated.sales_of(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
 
 
 def src2_parquet(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,8 @@ def src3_merged(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "merged")
     for number, batch in enumerate(bindings.drift_batches(spark, d)):
         batch.write.mode("append" if number else "overwrite").parquet(path)
-    return read_merged(spark, path, *flows.EVENT_COLUMNS)
+    schema = staging.union_of(bindings.drift_batches(spark, d)).schema
+    return read_merged(spark, path, *flows.EVENT_COLUMNS, schema=schema)
 
 
 def src4_table(spark: SparkSession, d: str) -> DataFrame:
@@ -72,9 +73,11 @@ def src6_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src7_slices(spark: SparkSession, d: str) -> DataFrame:
-    """A range as long as the orders table, spread over two slices."""
-    rows = table(spark, d, "orders").count()
-    return spark.range(0, rows, 1, 2).agg(
+    """The numbers of a range over the order keys, in two slices, that are the key of an order."""
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    last = keys.agg(F.max("id")).first()[0]
+    numbers = spark.range(0, 0 if last is None else last + 1, 1, 2)
+    return numbers.join(keys, "id", "left_semi").agg(
         F.count(F.lit(1)).alias("cnt"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
     )
 
@@ -87,16 +90,15 @@ def src8_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src9_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files of a path of three batches, listed with their sizes, and the rows found in them."""
+    """Whether every listed file of a path of three batches has bytes and was scanned, and the rows in them."""
     path = fresh_path(spark, "inventory")
-    flows.append_batches(bindings.drift_batches(spark, d), path, FILES)
+    flows.append_batches(bindings.drift_batches(spark, d), path)
     rows = rows_per_file(spark.read.schema("event_id BIGINT").parquet(path)).withColumn(
         "file", F.element_at(F.split("path", "/"), -1)
     )
     files = data_files(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
     return files.join(rows, "file", "left").agg(
-        F.count("file").alias("files"),
-        F.count(F.when(F.col("length") > 0, 1)).alias("files_with_bytes"),
+        F.min((F.col("length") > 0) & F.col("row_count").isNotNull()).alias("all_scanned"),
         F.sum(F.coalesce("row_count", F.lit(0))).alias("row_count"),
     )
 
@@ -177,8 +179,8 @@ def snk8_clean_rerun(spark: SparkSession, d: str) -> DataFrame:
     """The whole drift flow run twice into one path leaves the rows of one run."""
     path = fresh_path(spark, "rerun")
     batches = bindings.drift_batches(spark, d)
-    flows.append_batches(batches, path, FILES)
-    return flows.append_batches(batches, path, FILES)
+    flows.append_batches(batches, path)
+    return flows.append_batches(batches, path)
 
 
 # Projections
@@ -361,8 +363,13 @@ def agg8_wordcount(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg9_pi_lattice(spark: SparkSession, d: str) -> DataFrame:
-    """One point per order line."""
-    return measures.circle_estimate(spark, table(spark, d, "lineitem").count())
+    """One point per order line, by its key."""
+    return measures.circle_share(_line_numbers(spark, d))
+
+
+def _line_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """``id`` of every order line, from its order and its place there."""
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("id"))
 
 
 # Sorting and sets
@@ -397,7 +404,7 @@ def _loaded(spark: SparkSession, d: str, label: str) -> str:
 
 def pip1_generate_aggregate(spark: SparkSession, d: str) -> DataFrame:
     raw, result = fresh_path(spark, "raw"), fresh_path(spark, "agg")
-    flows.generate(spark, raw, table(spark, d, "lineitem").count())
+    generated.sales_of(_line_numbers(spark, d)).write.parquet(raw)
     flows.aggregate(spark, raw, result)
     return spark.read.parquet(result)
 
@@ -422,7 +429,7 @@ def pip4_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pip5_drift(spark: SparkSession, d: str) -> DataFrame:
-    merged = flows.append_batches(bindings.drift_batches(spark, d), fresh_path(spark, "drift"), FILES)
+    merged = flows.append_batches(bindings.drift_batches(spark, d), fresh_path(spark, "drift"))
     return measures.null_profile(merged)
 
 

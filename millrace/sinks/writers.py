@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_files(df: DataFrame, path: str, files: int, mode: str = "overwrite") -> None:
-    """Write exactly ``files`` parquet files. Rows are dealt out evenly, whatever their keys."""
-    df.repartition(files).write.mode(mode).parquet(path)
+def write_files(df: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:
+    """Write parquet files: exactly ``files``, rows dealt out evenly whatever their keys, or one per task."""
+    (df if files is None else df.repartition(files)).write.mode(mode).parquet(path)
 
 
 def replace_table(df: DataFrame, name: str) -> None:
     """Create or replace a table with the rows and the schema of ``df``.
 
     Unlike a plain overwrite this also works when ``df`` reads the table it replaces: the new
-    rows are written beside the old table, which is dropped only after the write succeeded.
+    rows are written beside the old table under a name that no other run has. The old table is
+    renamed, not dropped, until the new one has its name, and gets it back if that fails.
     """
-    spark = df.sparkSession
-    beside = f"{name}__next"
-    spark.sql(f"DROP TABLE IF EXISTS {beside}")
-    df.write.saveAsTable(beside)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {beside} RENAME TO {name}")
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    beside, before = f"{name}__new_{run}", f"{name}__old_{run}"
+    replaced = spark.catalog.tableExists(name)
+    try:
+        df.write.saveAsTable(beside)
+        if replaced:
+            spark.sql(f"ALTER TABLE {name} RENAME TO {before}")
+        try:
+            spark.sql(f"ALTER TABLE {beside} RENAME TO {name}")
+        except Exception:
+            if replaced:
+                spark.sql(f"ALTER TABLE {before} RENAME TO {name}")
+            raise
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {beside}")
+        raise
+    if replaced:
+        spark.sql(f"DROP TABLE {before}")
 
 
 def drop_tables(spark: SparkSession, database: str, *names: str) -> None:

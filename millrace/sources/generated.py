@@ -25,8 +25,13 @@ def _spread(number: Column, ceiling: int) -> Column:
 
 def sales(spark: SparkSession, rows: int) -> DataFrame:
     """``id, region, amount``: sales spread over five regions."""
+    return sales_of(spark.range(rows))
+
+
+def sales_of(numbers: DataFrame) -> DataFrame:
+    """One sale for each row of ``id``."""
     number = F.col("id")
-    return spark.range(rows).select(
+    return numbers.select(
         "id",
         label("region_", number % REGIONS).alias("region"),
         (number * 7 % 100).cast("double").alias("amount"),

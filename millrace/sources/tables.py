@@ -7,26 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# Schemas of the tables read so far, by path. The supplied tables are read by many jobs and do
-# not change, so their footers are looked at once.
-_schemas: dict[str, T.StructType] = {}
-
-
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One table of a directory of parquet tables."""
-    path = f"{directory}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def read_merged(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+def read_merged(spark: SparkSession, path: str, *columns: str, schema: T.StructType | None = None) -> DataFrame:
     """Parquet files of several schemas as one table; a column a file does not have is NULL.
 
-    The order of merged columns follows the order of the files, so callers name the columns
-    they want. Columns of one name and two types make the read fail, they are not cast.
+    With the merged ``schema``, which a caller that wrote the files knows, no file is opened to plan
+    the read; without it every footer is. The order of merged columns follows the order of the files,
+    so callers name the columns they want. Columns of one name and two types make the read fail,
+    they are not cast.
     """
-    merged = spark.read.option("mergeSchema", "true").parquet(path)
+    read = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
+    merged = read.parquet(path)
     return merged.select(*columns) if columns else merged
 
 

@@ -27,6 +27,7 @@ TYPE_NAMES = {
     "int": "INTEGER",
     "string": "VARCHAR",
     "double": "DOUBLE",
+    "boolean": "BOOLEAN",
     "timestamp_ntz": "TIMESTAMP",
 }
 

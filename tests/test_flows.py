@@ -139,7 +139,7 @@ def test_schema_drift(spark, loaded, folder):
     batches = staging.drift_batches(orders, customers, 200, 400)
     assert [batch.count() for batch in batches] == [200, 200, 100]
     for _ in range(2):
-        merged = flows.append_batches(batches, folder)
+        merged = flows.append_batches(batches, folder, 8)
         assert merged.count() == 500
         assert data_files(spark, folder).count() == 24
         assert len(merged.inputFiles()) == 24

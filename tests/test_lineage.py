@@ -170,6 +170,46 @@ def test_deeper_walks_find_more(spark, rows):
     assert set(shallow) < set(deep)
 
 
+def test_long_chains_are_followed_to_their_end(spark, rows):
+    """Thirty edges, without a depth: every walk ends by itself."""
+    chain = [(f"t{k:02}", f"t{k + 1:02}") for k in range(30)]
+    links = spark.createDataFrame(chain, facts.DATASET_EDGES)
+    start = spark.createDataFrame([("t00",)], "dataset STRING")
+    assert rows(graph.upstream(links, starts=start)) == [("t00", f"t{k:02}", k) for k in range(1, 31)]
+    columns = [("j", "1", a, "c", b, "c", "DIRECT", "IDENTITY") for a, b in chain]
+    assert rows(graph.column_sources(spark.createDataFrame(columns, facts.COLUMN_EDGES))) == [
+        ("t00", "c", "t30", "c", "IDENTITY", 30)
+    ]
+    hidden = spark.createDataFrame([(f"t{k:02}",) for k in range(1, 30)], "dataset STRING")
+    assert rows(graph.without_hidden(links, hidden)) == [("t00", "t30")]
+
+
+def test_graph_of_a_node_holds_jobs_and_data_sets(spark, rows):
+    io = [("load", "1", "INPUT", "raw"), ("load", "1", "OUTPUT", "stage"), ("load", "2", "OUTPUT", "stage"),
+          ("sum", "1", "INPUT", "stage"), ("sum", "1", "OUTPUT", "mart")]
+    found = graph.lineage_graph(
+        spark.createDataFrame(io, facts.JOB_IO), spark.createDataFrame([("stage", "DATASET")], "id STRING, type STRING")
+    )
+    assert rows(found) == [
+        ("stage", "load", "JOB", "UPSTREAM", 1), ("stage", "mart", "DATASET", "DOWNSTREAM", 2),
+        ("stage", "raw", "DATASET", "UPSTREAM", 2), ("stage", "sum", "JOB", "DOWNSTREAM", 1),
+    ]
+
+
+def test_only_the_last_version_has_edges(spark, rows):
+    old = ("j", "1", "out", "c", "raw_a", "x", "DIRECT", "IDENTITY")
+    new = ("j", "2", "out", "c", "raw_b", "x", "DIRECT", "IDENTITY")
+    versions = spark.createDataFrame([("j", "1", 5), ("j", "2", 7), ("j", "1", 6)], "job STRING, version STRING, ts INT")
+    kept = edges.latest_edges(spark.createDataFrame([old, new], facts.COLUMN_EDGES), versions)
+    assert rows(graph.column_sources(kept)) == [("out", "c", "raw_b", "x", "IDENTITY", 1)]
+
+
+def test_an_event_delivered_twice_counts_once(spark):
+    event = (1, 1, "j", "1", "START", None)
+    events = spark.createDataFrame([event, event], facts.RUN_EVENTS)
+    assert runs.fold_events(runs.different_events(events)).first().events == 1
+
+
 def test_empty_graph(spark):
     empty = spark.createDataFrame([], facts.DATASET_EDGES)
     assert graph.upstream(empty).count() == 0
@@ -271,13 +311,13 @@ def _edges(spark, pairs):
     )
 
 
-@pytest.mark.parametrize("per_row", [1, 7, 1000])
-def test_dataset_form_and_back(spark, rows, per_row):
-    df = _edges(spark, [(o, i) for o in range(20) for i in range(5)] * 2)
-    form = edges.to_dataset_form(df, per_row)
-    sizes = [row[0] for row in form.select(F.size("pairs")).collect()]
-    assert sum(sizes) == 100
-    assert (len(sizes) == 1) == (per_row == 1000)
+@pytest.mark.parametrize(("outputs", "inputs"), [(2, 5), (20, 5), (500, 100)])
+def test_dataset_form_and_back(spark, rows, outputs, inputs):
+    """The same shape for 10 and for 50,000 pairs: a row for each output column."""
+    df = _edges(spark, [(o, i) for o in range(outputs) for i in range(inputs)] * 2)
+    form = edges.to_dataset_form(df)
+    assert form.columns == ["out_dataset", "in_dataset", "out_column", "pairs"]
+    assert [row[0] for row in form.select(F.size("pairs")).collect()] == [inputs] * outputs
     assert rows(edges.from_dataset_form(form)) == rows(df.select(*edges.EDGE).distinct())
 
 

@@ -5,7 +5,7 @@ from pyspark.errors import AnalysisException
 
 from millrace import workspace
 from millrace.sinks.writers import drop_tables, recreate_database, replace_table, write_files
-from millrace.sources.tables import data_files, read_delimited, read_lines, read_merged, rows_per_file
+from millrace.sources.tables import data_files, read_delimited, read_lines, read_merged, rows_per_file, table
 
 
 def test_delimited_text(spark, folder, rows):
@@ -95,3 +95,34 @@ def test_materialise_counts_rows(spark):
     assert count == 5 and df.count() == 5
     df, count = workspace.materialise(spark.range(10).where("id < 0"), "none")
     assert count == 0 and df.columns == ["id"] and df.count() == 0
+
+
+def test_an_overwritten_path_shows_its_new_columns(spark, folder):
+    path = f"{folder}/t.parquet"
+    spark.range(3).write.parquet(path)
+    assert table(spark, folder, "t").columns == ["id"]
+    spark.range(3).selectExpr("id", "id AS b").write.mode("overwrite").parquet(path)
+    assert table(spark, folder, "t").columns == ["id", "b"]
+
+
+def test_replacing_a_table_leaves_its_neighbours(spark, database, rows):
+    spark.range(2).write.saveAsTable(f"{database}.m__next")
+    for size in (3, 4):
+        replace_table(spark.range(size), f"{database}.m")
+    assert spark.table(f"{database}.m").count() == 4
+    assert sorted(t.name for t in spark.catalog.listTables(database)) == ["m", "m__next"]
+
+
+def test_a_failed_replacement_leaves_the_table(spark, database, rows):
+    spark.range(2).write.saveAsTable(f"{database}.m")
+    with pytest.raises(Exception, match="(?s)division|DIVIDE"):
+        replace_table(spark.range(3).selectExpr("1 / (id - 2) AS x"), f"{database}.m")
+    assert rows(spark.table(f"{database}.m")) == [(0,), (1,)]
+    assert [t.name for t in spark.catalog.listTables(database)] == ["m"]
+
+
+def test_a_given_schema_reads_merged_files(spark, folder, rows):
+    spark.createDataFrame([(1,)], "a INT").write.parquet(folder)
+    spark.createDataFrame([(2, "x")], "a INT, b STRING").write.mode("append").parquet(folder)
+    schema = spark.createDataFrame([], "a INT, b STRING").schema
+    assert rows(read_merged(spark, folder, "b", "a", schema=schema)) == rows(read_merged(spark, folder, "b", "a"))
