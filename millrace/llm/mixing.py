@@ -55,7 +55,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT)
             taken[k] += more
             rest -= more * int(sizes[k])
     # Bounded knapsack: the number of documents of a size is split into powers of two.
-    limit = int(min(rest + int(sizes.min()), 2 * exact + rest))
+    limit = int(max(2 * rest, rest + int(sizes.min())))  # a sum above by as much as none is below
     first = np.full(limit + 1, -1, np.int32)
     first[0] = 0
     items: list[tuple[int, int]] = [(0, 0)]

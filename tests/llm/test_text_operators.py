@@ -134,7 +134,9 @@ def test_copies_of_messy_rows(spark):
     assert 1 in by_id[None] and 2 in by_id[None] and by_id[5] == {5}
     kept = simhash.without_copies(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id in (1, 2, 3, 4)) [:2] == [1, 2]
+    kept = [r.doc_id for r in kept.collect()]
+    assert len(kept) == len({r.root for r in found})
+    assert 2 in kept and not {3, 4} & set(kept)  # one of the rows without words
     assert simhash.near_copies(df.limit(0)).count() == 0
 
 
@@ -292,7 +294,7 @@ def test_scores_against_exact_counts(spark):
 
 def test_filter_has_no_false_negatives_and_few_false_positives():
     draw = np.random.default_rng(7)
-    codes = draw.integers(0, 2**63, 20_000, dtype=np.uint64)
+    codes = draw.integers(0, 2**64, 20_000, dtype=np.uint64)
     counts = draw.geometric(0.3, len(codes)).astype(np.uint32)
     order = np.argsort(codes)
     codes, counts = codes[order], counts[order]
@@ -310,7 +312,7 @@ def test_filter_has_no_false_negatives_and_few_false_positives():
     found = model.count(codes, 1)
     true = lm_score.middle(lm_score.levels(counts.astype(np.int64), 1), 1)
     assert (found >= true - 1e-9).all() and (found > true + 1e-9).mean() < 0.05
-    other = draw.integers(2**63, 2**64, 20_000, dtype=np.uint64)
+    other = draw.integers(0, 2**64, 20_000, dtype=np.uint64)
     assert (model.count(other, 1) > 0).mean() < 0.05
 
 
