@@ -242,7 +242,8 @@ def _encoder(shared):
         offsets = np.cumsum(np.concatenate(lengths)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
 
-    return encode
+    # Else a plan that uses the ids twice, say to store and to decode them, would encode twice.
+    return encode.asNondeterministic()
 
 
 def surfaces(vocabulary: Vocabulary) -> list[bytes]:
