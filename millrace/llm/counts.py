@@ -51,4 +51,5 @@ def _counts(texts: pa.Array) -> pa.Array:
 def text_counts(text: str | Column) -> Column:
     """A struct of ``FIELDS`` of the whole text; a null text counts as empty."""
     kind = "struct<" + ", ".join(f"{name}: long" for name in FIELDS) + ">"
-    return F.arrow_udf(_counts, kind)(as_bytes(text))
+    # Else a filter on the counts is moved below them, and they are made twice.
+    return F.arrow_udf(_counts, kind).asNondeterministic()(as_bytes(text))

@@ -197,7 +197,7 @@ def mix(
     chosen = open_rows.filter("docs <= open").select("number").union(
         open_rows.filter("docs > open").withColumn("within", within).filter("within <= open").select("number")
     )
-    chosen = chosen.withColumnRenamed("number", "chosen")
+    chosen, _ = materialise(chosen.withColumnRenamed("number", "chosen"), "chosen")
     sized = aimed(rows.select("row", "number", "source", "size"))
     return sized.join(chosen, sized.number == chosen.chosen, "left").select(
         "row",

@@ -102,16 +102,17 @@ def classified(
     Equal rows get equal results. Without labels of both kinds the evidence is 0 and everything is
     kept; an empty table gives an empty result.
     """
-    rows, _ = materialise(
-        df.select(
-            carried(carry or [id_column]),
-            F.col(f"`{id_column}`").alias("id"),
-            host.cast("string").alias("host"),
-            path.cast("string").alias("path"),
-            text_counts(F.col(f"`{text}`")).alias("counts"),
-        ).withColumn("x", features()),
-        "counted",
-    )
+    carry = carry or [id_column]
+    counted = df.select(
+        carried(carry),
+        F.col(f"`{id_column}`").alias("id"),
+        host.cast("string").alias("host"),
+        path.cast("string").alias("path"),
+        text_counts(F.col(f"`{text}`")).alias("counts"),
+    ).withColumn("x", features())
+    # Texts are not written once more: where they are carried, they are counted again at the end.
+    again = text in carry
+    rows, _ = materialise(counted.drop("row") if again else counted, "counted")
     known = labels.filter(F.col(id_column).isNotNull() & F.col(good).isNotNull()).groupBy(F.col(id_column).alias("known"))
     known = known.agg((F.avg(F.col(good).cast("double")) >= 0.5).alias("good"))
     # Equal ids may hold different texts; each of them is a labelled row.
@@ -125,9 +126,11 @@ def classified(
         for k, weight in enumerate(weights):
             evidence = evidence + F.lit(weight) * F.col("x")[k]
         start = F.log(F.lit(odds))
-    scored = rows.select("row", "host", "path", evidence.alias("evidence")).withColumn(
-        "belief", _sigmoid(F.col("evidence") + start)
-    )
+
+    def believed(table: DataFrame) -> DataFrame:
+        return table.withColumn("evidence", evidence).withColumn("belief", _sigmoid(F.col("evidence") + start))
+
+    scored = believed(rows)
     paths, _ = materialise(
         scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("rows"), F.sum("belief").alias("good")), "paths"
     )
@@ -146,6 +149,7 @@ def classified(
         "sites",
     )
     weight = _prior_weight(sites, F.col("good") / F.col("rows"), F.col("host_rate"), F.col("rows"))
+    scored = believed(counted if again else rows).select("row", "host", "path", "evidence", "belief")
     placed = scored.join(sites, scored.host.eqNullSafe(sites.site_host) & scored.path.eqNullSafe(sites.site_path))
     # The document's own belief is taken out again, else its evidence would count twice.
     without = (F.col("good") - F.col("belief") + weight * F.col("host_rate")) / (F.col("rows") - 1 + weight)

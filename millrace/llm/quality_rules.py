@@ -209,17 +209,19 @@ def judged(
     count as often as they come and get equal verdicts. Without enough good rows anywhere (fewer than
     ``min_rows`` in all) only the fixed rules decide. An empty table gives an empty result.
     """
-    rows, _ = materialise(
-        df.select(
-            carried(carry or ["doc_id"]),
-            F.col(f"`{lang}`").cast("string").alias("lang"),
-            F.col(f"`{source}`").cast("string").alias("source"),
-            text_counts(F.col(f"`{text}`")).alias("counts"),
-        ),
-        "counted",
+    carry = carry or ["doc_id"]
+    counted = df.select(
+        carried(carry),
+        F.col(f"`{lang}`").cast("string").alias("lang"),
+        F.col(f"`{source}`").cast("string").alias("source"),
+        text_counts(F.col(f"`{text}`")).alias("counts"),
     )
+    # Texts are not written once more: where they are carried, they are counted again at the end.
+    again = text in carry
+    rows, _ = materialise(counted.drop("row") if again else counted, "counted")
     failed = base_failed(F.col("counts.n_words"), F.col("counts.n_repeat_words"))
-    rows = rows.withColumn("failed", failed).withColumns({f"x{i}": x for i, x in enumerate(vector())})
+    more = {"failed": failed} | {f"x{i}": x for i, x in enumerate(vector())}
+    rows = rows.withColumns(more)
     good = rows.filter(~F.col("failed")).select("lang", "source", *[f"x{i}" for i in range(SIZE)])
     models, _ = materialise(estimates(good, steps).filter(F.col("rows") >= min_rows), "estimates")
 
@@ -242,6 +244,7 @@ def judged(
         )
     )
     groups, _ = materialise(groups, "groups")
+    rows = counted.withColumns(more) if again else rows
     placed = rows.join(groups, rows.lang.eqNullSafe(groups.g_lang) & rows.source.eqNullSafe(groups.g_source))
     placed = placed.withColumn("distance", distance(F.col("mean"), F.col("inverse")))
     cutoff = quantile(1 - rejected, SIZE)

@@ -213,5 +213,5 @@ def without_copies(
     found = near_copies(slim, "id", "text", width, radius, carry=["id", "number"])
     # One row for each component and task before the shuffle, whatever the size of the component.
     order = F.struct(F.col("row.id").isNull(), "row.id", "fp", "row.number")
-    kept = found.groupBy("root").agg(F.min(order).alias("first")).select("first.number")
+    kept, _ = materialise(found.groupBy("root").agg(F.min(order).alias("first")).select("first.number"), "kept")
     return numbered.join(kept, "number", "left_semi").select("row.*")
