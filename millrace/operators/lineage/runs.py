@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.jobs import query_version
+
 # States of a run event.
 START = "START"
 COMPLETE = "COMPLETE"
@@ -94,3 +96,13 @@ def versions_per_job(run_events: DataFrame) -> DataFrame:
             .otherwise("one version, one run"),
         )
     )
+
+
+def versions_by_query(job_versions: DataFrame) -> DataFrame:
+    """Different queries of every job, by their texts, beside the versions reported for them."""
+    facts = job_versions.select("job", "version", query_version(F.col("query_text")).alias("query"))
+
+    def different(column: str, name: str) -> DataFrame:
+        return facts.select("job", column).distinct().groupBy("job").agg(F.count(column).alias(name))
+
+    return different("query", "queries").join(different("version", "versions"), "job")

@@ -68,14 +68,16 @@ def version_links(versions: DataFrame) -> DataFrame:
 
 
 def schema_changes(schema_fields: DataFrame) -> DataFrame:
-    """Fields added to and dropped from each version, compared with the version before.
+    """Fields added to, dropped from and retyped in each version, compared with the version before.
 
     Every field is counted once under its own version and once, as what was there before, under
-    the next version. A field that is on one side only has changed. The facts are scanned once.
-    The links, a row per version, are written down so that they are broadcast only if their
+    the next version. A field that is on one side only, or with another type, has changed. A field
+    reported with several types in one version has the first of them by name. The facts are scanned
+    once. The links, a row per version, are written down so that they are broadcast only if their
     measured size allows it; then a shuffle by (data set, version, field) gives the answer.
     """
-    fields, _ = materialise(schema_fields.select(*DATASET, "version", "field").distinct(), "fields")
+    typed = schema_fields.groupBy(*DATASET, "version", "field").agg(F.min("type").alias("type"))
+    fields, _ = materialise(typed, "fields")
     links, _ = materialise(version_links(fields.select(*DATASET, "version").distinct()), "links")
     before, now = 1, 2
     sides = F.array(
@@ -84,17 +86,21 @@ def schema_changes(schema_fields: DataFrame) -> DataFrame:
     )
     counted = (
         fields.join(links, [*DATASET, "version"])
-        .select(*DATASET, "field", F.inline(sides))
+        .select(*DATASET, "field", "type", F.inline(sides))
         .where(F.col("side").isNotNull())
         .groupBy(*DATASET, "at", "field")
-        .agg(F.sum("side").alias("sides"))
+        .agg(
+            F.sum("side").alias("sides"),
+            *[F.min(F.when(F.col("side") == side, F.col("type"))).alias(f"type_{side}") for side in (before, now)],
+        )
     )
-    return counted.where(F.col("sides") != before + now).select(
-        *DATASET,
-        F.col("at").alias("version"),
-        "field",
-        F.when(F.col("sides") == now, "added").otherwise("dropped").alias("change"),
+    change = (
+        F.when(F.col("sides") == now, "added")
+        .when(F.col("sides") == before, "dropped")
+        .when(~F.col(f"type_{before}").eqNullSafe(F.col(f"type_{now}")), "retyped")
     )
+    found = counted.select(*DATASET, F.col("at").alias("version"), "field", change.alias("change"))
+    return found.where(F.col("change").isNotNull())
 
 
 def renamed_fields(changes: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -104,7 +110,8 @@ def renamed_fields(changes: DataFrame, upstream: DataFrame) -> DataFrame:
     """
     dropped = F.col("change") == "dropped"
     return (
-        changes.join(upstream.select(*DATASET, "field", "source").distinct(), [*DATASET, "field"])
+        changes.where(F.col("change") != "retyped")
+        .join(upstream.select(*DATASET, "field", "source").distinct(), [*DATASET, "field"])
         .groupBy(*DATASET, "version", "source")
         .agg(
             F.count(F.when(dropped, 1)).alias("gone"),

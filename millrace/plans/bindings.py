@@ -97,15 +97,19 @@ def run_events(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def schema_fields(spark: SparkSession, directory: str) -> DataFrame:
-    """One data set per supplier, one version per line number, a field per part bucket."""
+    """One data set per supplier, one version per line number, a field per part bucket.
+
+    The type of a field follows from its place and the version.
+    """
     pos = F.col("l_partkey") % SCHEMA_WIDTH
+    kind = F.when((pos + F.col("l_linenumber")) % 3 == 0, "bigint").otherwise("double")
     return table(spark, directory, "lineitem").select(
         F.lit(JOB_NAMESPACE).alias("namespace"),
         label("supplier_", F.col("l_suppkey")).alias("name"),
         F.col("l_linenumber").alias("version"),
         pos.cast("int").alias("pos"),
         label("c", pos).alias("field"),
-        F.lit("double").alias("type"),
+        kind.alias("type"),
     )
 
 

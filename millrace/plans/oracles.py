@@ -175,7 +175,8 @@ RUN_STATES = """SELECT run_id, min(job) AS job, max_by(state, {'ts': ts, 'id': e
 
 FIELDS = """WITH fields AS (
   SELECT DISTINCT 'warehouse' AS namespace, 'supplier_' || l_suppkey AS name, l_linenumber AS version,
-         l_partkey % 200 AS pos, 'c' || (l_partkey % 200) AS field
+         l_partkey % 200 AS pos, 'c' || (l_partkey % 200) AS field,
+         CASE WHEN (l_partkey % 200 + l_linenumber) % 3 = 0 THEN 'bigint' ELSE 'double' END AS type
   FROM lineitem)"""
 CHANGES = f"""{FIELDS},
 history AS (SELECT namespace, name, version, lag(version) OVER (PARTITION BY namespace, name ORDER BY version) AS previous
@@ -189,7 +190,12 @@ changes AS (
   SELECT p.namespace, p.name, h.version, p.field, 'dropped'
   FROM history h JOIN fields p ON p.namespace = h.namespace AND p.name = h.name AND p.version = h.previous
   WHERE NOT EXISTS (SELECT 1 FROM fields f
-    WHERE f.namespace = p.namespace AND f.name = p.name AND f.version = h.version AND f.field = p.field))"""
+    WHERE f.namespace = p.namespace AND f.name = p.name AND f.version = h.version AND f.field = p.field)
+  UNION ALL
+  SELECT f.namespace, f.name, f.version, f.field, 'retyped'
+  FROM fields f JOIN history h USING (namespace, name, version)
+    JOIN fields p ON p.namespace = f.namespace AND p.name = f.name AND p.version = h.previous AND p.field = f.field
+  WHERE p.type <> f.type)"""
 
 LINE_EDGES = """WITH edges AS (
   SELECT DISTINCT 'load_' || l_returnflag AS job, 'supplier_' || l_suppkey AS out_dataset, 'line_' || l_linenumber AS out_column,
@@ -248,7 +254,7 @@ LINEAGE = {
         string_agg(field, ',' ORDER BY pos, field) AS fields FROM fields GROUP BY namespace, name, version, pos // 10000""",
     "lin4_schema_diff": f"{CHANGES} SELECT namespace, name, version, field, change FROM changes",
     "lin4_renames": f"""{CHANGES}, sourced AS (
-          SELECT *, 'u' || (CAST(substr(field, 2) AS BIGINT) // 4) AS source FROM changes)
+          SELECT *, 'u' || (CAST(substr(field, 2) AS BIGINT) // 4) AS source FROM changes WHERE change <> 'retyped')
         SELECT namespace, name, version, source, min(field) FILTER (change = 'dropped') AS old_field,
                min(field) FILTER (change = 'added') AS new_field
         FROM sourced GROUP BY namespace, name, version, source

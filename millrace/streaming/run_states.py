@@ -4,13 +4,20 @@ Each micro-batch is folded to one row per run and written as one partition of a
 is the one the batch job uses and does not care about order, so the stream needs no state store
 and no watermark: an event that arrives late is merged when the log is read, never dropped. A
 batch that is replayed after a failure overwrites its own partition.
+
+The log is compacted now and then: closed batches are merged into one generation beside it, and
+readers merge that with the batches after it. A generation counts once it is entered in the list of
+generations, so a compaction that fails half-way leaves nothing that is read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.lineage.runs import fold_events, merge_folds, run_states
@@ -30,9 +37,52 @@ def follow_run_events(run_events: DataFrame, log: str, checkpoint: str) -> Strea
     )
 
 
+def newest_generation(spark: SparkSession, log: str) -> tuple[int, str] | None:
+    """Last batch and path of the newest generation of a log, if it was ever compacted."""
+    try:
+        entered = spark.read.parquet(f"{log}-generations")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    newest = entered.agg(F.max(F.struct("upto", "path")).alias("newest")).first().newest
+    return None if newest is None else (newest.upto, newest.path)
+
+
+def folds(spark: SparkSession, log: str) -> DataFrame:
+    """The newest generation and the batches after it."""
+    batches, newest = spark.read.parquet(log), newest_generation(spark, log)
+    if newest is None:
+        return batches.drop("batch")
+    upto, path = newest
+    return spark.read.parquet(path).unionByName(batches.where(F.col("batch") > upto).drop("batch"))
+
+
+def compact(spark: SparkSession, log: str, upto: int | None = None) -> int | None:
+    """Merge the batches up to ``upto`` into one generation; its last batch, or None if there was nothing to do.
+
+    By default all batches but the last, which a running stream may still write. The batches up to
+    the returned one are not read any more and may be removed.
+    """
+    batches, newest = spark.read.parquet(log), newest_generation(spark, log)
+    if upto is None:
+        last = batches.agg(F.max("batch")).first()[0]
+        upto = None if last is None else batches.where(F.col("batch") < last).agg(F.max("batch")).first()[0]
+    if upto is None or (newest is not None and newest[0] >= upto):
+        return None
+    closed = batches.where(F.col("batch") <= upto)
+    if newest is not None:
+        closed = closed.where(F.col("batch") > newest[0]).drop("batch").unionByName(spark.read.parquet(newest[1]))
+    path = f"{log}-folded/{uuid.uuid4().hex}"
+    merge_folds(closed).write.parquet(path)
+    entry = spark.range(1).select(F.lit(upto).cast("bigint").alias("upto"), F.lit(path).alias("path"))
+    entry.coalesce(1).write.mode("append").parquet(f"{log}-generations")
+    return upto
+
+
 def current_run_states(spark: SparkSession, log: str) -> DataFrame:
     """State of every run according to all batches written so far."""
-    return run_states(merge_folds(spark.read.parquet(log)))
+    return run_states(merge_folds(folds(spark, log)))
 
 
 def stream_of(

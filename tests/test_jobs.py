@@ -7,6 +7,9 @@ import sys
 
 import pytest
 
+from millrace.plans.questions import ask
+from millrace.sources import facts
+
 
 def run(monkeypatch, job, *arguments):
     monkeypatch.setattr(sys, "argv", [job, *map(str, arguments)])
@@ -28,3 +31,33 @@ def test_pi(spark, monkeypatch, capsys, arguments):
 def test_mart(spark, monkeypatch, capsys, database):
     run(monkeypatch, "mart", database, "--generate", "--top", 2)
     assert spark.table(f"{database}.mart_top_countries").count() == 2
+
+
+def test_lineage_questions_of_fact_tables(spark, monkeypatch, folder, rows):
+    def put(name, found):
+        spark.createDataFrame(found, facts.TABLES[name]).write.parquet(f"{folder}/facts/{name}")
+
+    put("dataset_edges", [("mart", "stage"), ("stage", "raw"), ("other", "raw")])
+    put("job_versions", [("j", "1", "SELECT  a"), ("j", "2", "SELECT a"), ("j", "3", "SELECT b"), ("k", "1", None)])
+    put("job_io", [("j", "1", "INPUT", "raw"), ("j", "1", "OUTPUT", "stage")])
+
+    def asked(question, *more):
+        run(monkeypatch, "lineage", f"{folder}/facts", question, f"{folder}/{question}", *more)
+        return rows(spark.read.parquet(f"{folder}/{question}"))
+
+    assert asked("upstream", "--start", "mart") == [("mart", "raw", 2), ("mart", "stage", 1)]
+    assert asked("upstream", "--start", "mart", "--depth", 1) == [("mart", "stage", 1)]
+    assert asked("downstream", "--start", "raw", "--depth", 1) == [("raw", "other", 1), ("raw", "stage", 1)]
+    assert asked("lineage_graph", "--start", "raw") == [
+        ("raw", "j", "JOB", "DOWNSTREAM", 1), ("raw", "stage", "DATASET", "DOWNSTREAM", 2),
+    ]
+    assert asked("versions_by_query") == [("j", 2, 3), ("k", 0, 1)]
+    with pytest.raises(ValueError, match="given data sets"):
+        ask(spark, f"{folder}/facts", "upstream")
+
+
+def test_fact_tables_are_held_to_their_columns(spark):
+    found = spark.sql("SELECT 1 AS more, 'raw' AS in_dataset, 'mart' AS out_dataset")
+    assert facts.checked(found, "dataset_edges").columns == ["out_dataset", "in_dataset"]
+    with pytest.raises(ValueError, match="out_dataset: missing, not string; in_dataset: int, not string"):
+        facts.checked(spark.sql("SELECT 1 AS in_dataset"), "dataset_edges")

@@ -383,6 +383,21 @@ def test_schema_changes_and_rename(spark, rows):
     assert rows(versions.renamed_fields(changes, upstream)) == [("ns", "t", 3, "name", "name", "full_name")]
 
 
+def test_retyped_fields(spark, rows):
+    """A changed type is a change, and no rename; the first of several types counts, a null is a type of its own."""
+    facts_of = {1: {"a": "int", "b": "int", "c": None, "d": "int"}, 2: {"a": "string", "b": "int", "c": "int", "e": "int"}}
+    found = [("ns", "t", v, p, f, kind) for v, fs in facts_of.items() for p, (f, kind) in enumerate(fs.items())]
+    found += [("ns", "t", 1, 1, "b", "string"), ("ns", "t", 2, 1, "b", "long")]
+    changes = versions.schema_changes(spark.createDataFrame(found, facts.SCHEMA_FIELDS))
+    assert rows(changes.select("version", "change", "field")) == [
+        (2, "added", "e"), (2, "dropped", "d"), (2, "retyped", "a"), (2, "retyped", "c"),
+    ]
+    upstream = spark.createDataFrame(
+        [("ns", "t", field, "s") for field in "acde"], "namespace STRING, name STRING, field STRING, source STRING"
+    )
+    assert rows(versions.renamed_fields(changes, upstream)) == [("ns", "t", 2, "s", "d", "e")]
+
+
 @pytest.mark.parametrize("span", [1, 2, 3, 4096])
 def test_changes_across_spans_and_gaps(spark, rows, monkeypatch, span):
     monkeypatch.setattr(versions, "SPAN", span)

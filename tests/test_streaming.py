@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from millrace.operators.lineage import runs
 from millrace.sources import facts
-from millrace.streaming.run_states import current_run_states, follow_run_events, stream_of
+from millrace.streaming.run_states import compact, current_run_states, follow_run_events, stream_of
 
 DAY = datetime(2024, 1, 1)
 
@@ -61,3 +61,29 @@ def test_small_batches_equal_one_batch(spark, folder, rows):
     _follow(spark, folder)
     assert rows(current_run_states(spark, f"{folder}/log")) == rows(_batch(spark, folder))
     assert spark.read.parquet(f"{folder}/log").select("batch").distinct().count() == 5
+
+
+def test_compacted_log_gives_the_same_states(spark, folder, rows):
+    """Compactions between arrivals change nothing, late events included; closed batches are not read any more."""
+    log = f"{folder}/log"
+    for turn in range(3):
+        for i in range(3):
+            n = turn * 3 + i
+            _write(spark, f"{folder}/events", [(n, n % 2, "RUNNING", 10 - n), (100 + n, 5, "START", -n)])
+        _follow(spark, folder)
+        before = rows(_batch(spark, folder))
+        assert rows(current_run_states(spark, log)) == before
+        assert compact(spark, log) == turn * 3 + 1
+        assert compact(spark, log) is None
+        assert rows(current_run_states(spark, log)) == before
+    assert compact(spark, log, upto=8) == 8 and rows(current_run_states(spark, log)) == before
+    spark.read.parquet(f"{log}/batch=8").write.mode("append").parquet(f"{log}/batch=0")
+    assert rows(current_run_states(spark, log)) == before
+
+
+def test_half_written_generation_is_not_read(spark, folder, rows):
+    _write(spark, f"{folder}/events", [(1, 1, "START", 0)])
+    _follow(spark, folder)
+    assert compact(spark, f"{folder}/log") is None  # the only batch may still be written
+    spark.read.parquet(f"{folder}/log").drop("batch").write.parquet(f"{folder}/log-folded/left-over")
+    assert rows(current_run_states(spark, f"{folder}/log")) == rows(_batch(spark, folder))
