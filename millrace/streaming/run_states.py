@@ -22,6 +22,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.lineage.runs import fold_events, merge_folds, run_states
 
+GENERATION = "upto bigint, path string"
+
 
 def follow_run_events(run_events: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
     """Start folding a stream of run events into ``log``; stops when all present files are read."""
@@ -29,6 +31,8 @@ def follow_run_events(run_events: DataFrame, log: str, checkpoint: str) -> Strea
     def write(batch: DataFrame, batch_id: int) -> None:
         fold_events(batch).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
+    # An empty list of generations, unless there is one.
+    run_events.sparkSession.createDataFrame([], GENERATION).write.mode("ignore").parquet(f"{log}-generations")
     return (
         run_events.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
@@ -40,11 +44,11 @@ def follow_run_events(run_events: DataFrame, log: str, checkpoint: str) -> Strea
 def newest_generation(spark: SparkSession, log: str) -> tuple[int, str] | None:
     """Last batch and path of the newest generation of a log, if it was ever compacted."""
     try:
-        entered = spark.read.parquet(f"{log}-generations")
+        entered = spark.read.schema(GENERATION).parquet(f"{log}-generations")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
+        return None  # a log that nothing has followed yet
     newest = entered.agg(F.max(F.struct("upto", "path")).alias("newest")).first().newest
     return None if newest is None else (newest.upto, newest.path)
 
