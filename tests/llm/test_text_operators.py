@@ -8,6 +8,7 @@ from pathlib import Path
 from urllib.parse import urlsplit
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from cases import documents, messy, words
@@ -316,6 +317,20 @@ def test_filter_has_no_false_negatives_and_few_false_positives():
     assert (model.count(other, 1) > 0).mean() < 0.05
 
 
+def test_totals_above_32_bits_are_exact():
+    codes = np.array([3, 9], np.uint64)
+    block = {
+        "order": pa.array([1, 1], pa.int32()),
+        "slice": pa.array([0, 0], pa.int32()),
+        "codes": pa.array([codes.tobytes()] * 2, pa.binary()),
+        "counts": pa.array([np.array([2**32 - 1, 5], np.uint32).tobytes()] * 2, pa.binary()),
+    }
+    added = lm_score._added(pa.table(block))
+    assert added["total"].to_pylist() == [2 * (2**32 - 1) + 10]
+    (found,) = lm_score._listed(iter(added.select(["codes", "counts"]).to_batches()))
+    assert found.to_pydict() == {"code": [3, 9], "n": [2 * (2**32 - 1), 10]}
+
+
 def test_repeated_windows_and_lines():
     draw = random.Random(8)
     for _ in range(200):
