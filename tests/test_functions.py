@@ -13,6 +13,7 @@ from millrace.functions.namespaces import dataset_name, dataset_namespace, names
 
 LEGAL = re.compile(r"[a-zA-Z0-9_@+:;=/.-]{1,1024}\Z")
 
+# Stored namespaces and what they become.
 CASES = [
     ("postgres://pg1:5432,pg2:5432", "postgres://pg1:5432+pg2:5432"),
     ("postgres://pg2:5432,pg1:5432", "postgres://pg1:5432+pg2:5432"),
