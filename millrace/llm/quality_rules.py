@@ -1,12 +1,13 @@
 """Quality rules: fixed rules, then robust multivariate outliers.
 
 Statistics of a document are transformed to a short vector. For each language and source the location
-and scatter of the vectors are minimum-covariance-determinant estimates: from several starts, the share
-``COVER`` of rows with the smallest distances gives the next estimate until it stands still, and the
-start with the smallest determinant wins. A document far from its group by Mahalanobis distance goes.
+and scatter of the vectors are minimum-covariance-determinant estimates: from several starts, the half of
+the rows with the smallest distances gives the next estimate until it stands still, and the start with the
+smallest determinant wins. A document far from its group by Mahalanobis distance goes. Starts are medians
+with spreads that up to half of the rows cannot move, so a group may hold copies of one junk text by the third.
 
 A concentration step is one aggregation: distances fall into fixed narrow bins, sums of the vectors and
-of their products are made for each bin, and the bins up to the share are added up. So no group is ever
+of their products are made for each bin, and the bins up to the half are added up. So no group is ever
 gathered or sorted, and its largest part in one place is a row for each bin. Rows count towards their
 (language, source), their language and all documents; a group of fewer than ``MIN_ROWS`` good rows
 takes the estimate of its language, or else of all.
@@ -15,6 +16,7 @@ takes the estimate of its language, or else of all.
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,8 @@ from millrace.llm.counts import FIELDS, text_counts
 from millrace.llm.text import carried
 from millrace.workspace import materialise
 
-#: Share of a group's rows that the estimate covers.
-COVER = 0.75
+#: Parts of a group by number of rows, between which the shortest half of each statistic is looked for.
+CUTS = 20
 #: Rows below which a group is too sparse for an estimate of its own.
 MIN_ROWS = 200
 #: Concentration steps at most; they end when no determinant changes any more.
@@ -80,35 +82,44 @@ def quantile(p: float, freedom: int) -> float:
     return high
 
 
-def _estimate(means: np.ndarray, products: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+def half(rows: int) -> int:
+    """So many rows of a group are covered: the least number that no smaller share of junk can move."""
+    return min(rows, (rows + SIZE + 1) // 2)
+
+
+@cache
+def consistency(rows: int) -> float:
+    """What makes the scatter of the covered rows right for normal vectors."""
+    share = half(rows) / rows
+    return share / chi_square(quantile(share, SIZE), SIZE + 2) if share < 1 else 1.0
+
+
+def _estimate(means: np.ndarray, products: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inverse scatter and log determinant of each row of second moments, with the smallest spreads kept."""
     scatter = np.zeros((len(means), SIZE, SIZE))
     for k, (i, j) in enumerate(UPPER):
         scatter[:, i, j] = scatter[:, j, i] = products[:, k] - means[:, i] * means[:, j]
-    scatter = factor * scatter + np.diag(np.square(SPREAD))
+    scatter = factor[:, None, None] * scatter + np.diag(np.square(SPREAD))
     return np.linalg.inv(scatter), np.linalg.slogdet(scatter)[1]
 
 
 _MODEL = "level int, lang string, source string, start int, rows long, mean array<double>, inverse array<double>, logdet double"
 
 
-def _modelled(factor: float):
-    def run(batches):
-        for frame in batches:
-            if not len(frame):
-                continue
-            n = frame["covered"].to_numpy(float)[:, None]
-            means = frame[[f"s{i}" for i in range(SIZE)]].to_numpy(float) / n
-            products = frame[[f"p{i}_{j}" for i, j in UPPER]].to_numpy(float) / n
-            inverse, logdet = _estimate(means, products, factor)
-            yield pd.DataFrame(
-                {
-                    "level": frame["level"], "lang": frame["lang"], "source": frame["source"], "start": frame["start"],
-                    "rows": frame["rows"], "mean": list(means), "inverse": list(inverse.reshape(len(frame), -1)), "logdet": logdet,
-                }
-            )
-
-    return run
+def _modelled(batches):
+    for frame in batches:
+        if not len(frame):
+            continue
+        n = frame["covered"].to_numpy(float)[:, None]
+        means = frame[[f"s{i}" for i in range(SIZE)]].to_numpy(float) / n
+        products = frame[[f"p{i}_{j}" for i, j in UPPER]].to_numpy(float) / n
+        inverse, logdet = _estimate(means, products, np.array([consistency(int(x)) for x in frame["rows"]]))
+        yield pd.DataFrame(
+            {
+                "level": frame["level"], "lang": frame["lang"], "source": frame["source"], "start": frame["start"],
+                "rows": frame["rows"], "mean": list(means), "inverse": list(inverse.reshape(len(frame), -1)), "logdet": logdet,
+            }
+        )
 
 
 def distance(mean: Column, inverse: Column) -> Column:
@@ -137,7 +148,7 @@ def _moments(rows: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
-def _step(rows: DataFrame, models: DataFrame, factor: float) -> DataFrame:
+def _step(rows: DataFrame, models: DataFrame) -> DataFrame:
     """One concentration step of every group and start."""
     model = models.select(*[F.col(k).alias(f"m_{k}") for k in KEYS], "start", "mean", "inverse")
     joined = rows.join(
@@ -149,21 +160,21 @@ def _step(rows: DataFrame, models: DataFrame, factor: float) -> DataFrame:
     whole = Window.partitionBy(*KEYS, "start")
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     covered = binned.withColumn("all", F.sum("rows").over(whole)).withColumn("before", F.sum("rows").over(upto) - F.col("rows"))
-    covered = covered.filter(F.col("before") < F.ceil(F.col("all") * COVER))
+    covered = covered.filter(F.col("before") < F.least(F.col("all"), F.floor((F.col("all") + SIZE + 1) / 2)))
     sums = covered.groupBy(*KEYS, "start").agg(
         F.sum("rows").alias("covered"),
         F.first("all").alias("rows"),
         *[F.sum(f"s{i}").alias(f"s{i}") for i in range(SIZE)],
         *[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in UPPER],
     )
-    return sums.mapInPandas(_modelled(factor), _MODEL)
+    return sums.mapInPandas(_modelled, _MODEL)
 
 
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """``level, lang, source, rows, mean, inverse`` of rows ``lang, source, x0, ...``.
 
-    Starts: the median with the spread between quartiles, and the plain mean and scatter. Sums are of
-    vectors moved to the overall median, so little is lost to rounding.
+    Starts: the median with the width of the shortest half of each part, and the median with the smallest
+    spreads. Neither follows junk that is less than half of a group, as the mean and the quartiles do.
     """
     parts = [f"x{i}" for i in range(SIZE)]
     levels = [
@@ -172,24 +183,24 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         F.struct(F.lit(2).alias("level"), F.col("lang"), F.col("source")),
     ]
     rows, _ = materialise(rows.select(F.explode(F.array(*levels)).alias("g"), *parts).select("g.*", *parts), "vectors")
-    plain = _moments(rows, KEYS).withColumns({"start": F.lit(0), "covered": F.col("rows")})
-    plain = plain.mapInPandas(_modelled(1.0), _MODEL)
-    quartiles = rows.groupBy(*KEYS).agg(
+    cuts = rows.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in parts],
+        *[F.percentile_approx(x, [k / CUTS for k in range(CUTS + 1)], 1000).alias(x) for x in parts],
     )
-    spread = [F.pow((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(2)) + F.lit(SPREAD[i] ** 2) for i, x in enumerate(parts)]
-    diagonal = [1 / spread[i] if i == j else F.lit(0.0) for i in range(SIZE) for j in range(SIZE)]
-    median = quartiles.select(
-        *KEYS, F.lit(1).alias("start"), "rows", F.array(*[F.col(x)[1] for x in parts]).alias("mean"),
-        F.array(*diagonal).alias("inverse"), F.lit(0.0).alias("logdet"),
-    )
-    models, _ = materialise(plain.unionByName(median), "starts")
-    inner = quantile(COVER, SIZE)
-    factor = COVER / chi_square(inner, SIZE + 2)  # makes the estimate right for normal vectors
+
+    def start(number: int, widths: list[Column]) -> DataFrame:
+        diagonal = [1 / (widths[i] ** 2 + SPREAD[i] ** 2) if i == j else F.lit(0.0) for i in range(SIZE) for j in range(SIZE)]
+        return cuts.select(
+            *KEYS, F.lit(number).alias("start"), "rows", F.array(*[F.col(x)[CUTS // 2] for x in parts]).alias("mean"),
+            F.array(*diagonal).alias("inverse"), F.lit(0.0).alias("logdet"),
+        )
+
+    shortest = [F.least(*[F.col(x)[k + CUTS // 2] - F.col(x)[k] for k in range(CUTS // 2 + 1)]) / 1.349 for x in parts]
+    cuts, _ = materialise(cuts, "cuts")
+    models, _ = materialise(start(0, shortest).unionByName(start(1, [F.lit(0.0)] * SIZE)), "starts")
     before = None
     for _ in range(steps):
-        models, _ = materialise(_step(rows, models, factor), "step")
+        models, _ = materialise(_step(rows, models), "step")
         now = models.agg(F.sum("logdet")).first()[0] or 0.0
         if before is not None and abs(now - before) <= 1e-6 * max(1.0, abs(now)):
             break
