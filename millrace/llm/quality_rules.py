@@ -36,13 +36,17 @@ STEPS = 20
 #: Bins of the squared distance: so many for each doubling.
 BINS = 16
 #: A document of the modelled shape is rejected with this probability, were the vectors normal.
-REJECTED = 1e-9
+REJECTED = 1e-3
 #: Words that every share is smoothed with, so a short text has no extreme share by chance.
 SMOOTHING = 60.0
 #: The smallest spread that counts for each part of the vector: what differs by less is alike.
-SPREAD = (0.04, 0.03, 0.05, 0.03, 0.02, 0.03)
-SIZE = len(SPREAD)
-UPPER = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
+SPREAD = (0.04, 0.03, 0.05, 0.03, 0.02, 0.03, 0.03, 0.03)
+#: Parts of the vector that are about shape; those of digits and of distinct words follow.
+SIZE = 6
+
+
+def _upper(size: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(size) for j in range(i, size)]
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -62,6 +66,8 @@ def vector(counts: str = "counts") -> list[Column]:
         c["n_repeat_words"] / (words + k),
         c["n_upper"] / (chars + 5 * k),
         F.log1p(c["n_marks"] / (words + k)),
+        c["n_digits"] / (chars + 5 * k),
+        F.log(c["n_distinct"] + k) / F.log(words + k),
     ]
 
 
@@ -82,24 +88,30 @@ def quantile(p: float, freedom: int) -> float:
     return high
 
 
-def half(rows: int) -> int:
+def _parts(columns: list[str], letter: str = "x") -> list[str]:
+    """The names of the parts among the columns, ``x0`` and on."""
+    return [f"{letter}{i}" for i in range(sum(f"{letter}{i}" in columns for i in range(len(SPREAD))))]
+
+
+def half(rows: int, size: int) -> int:
     """So many rows of a group are covered: the least number that no smaller share of junk can move."""
-    return min(rows, (rows + SIZE + 1) // 2)
+    return min(rows, (rows + size + 1) // 2)
 
 
 @cache
-def consistency(rows: int) -> float:
+def consistency(rows: int, size: int) -> float:
     """What makes the scatter of the covered rows right for normal vectors."""
-    share = half(rows) / rows
-    return share / chi_square(quantile(share, SIZE), SIZE + 2) if share < 1 else 1.0
+    share = half(rows, size) / rows
+    return share / chi_square(quantile(share, size), size + 2) if share < 1 else 1.0
 
 
 def _estimate(means: np.ndarray, products: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inverse scatter and log determinant of each row of second moments, with the smallest spreads kept."""
-    scatter = np.zeros((len(means), SIZE, SIZE))
-    for k, (i, j) in enumerate(UPPER):
+    size = means.shape[1]
+    scatter = np.zeros((len(means), size, size))
+    for k, (i, j) in enumerate(_upper(size)):
         scatter[:, i, j] = scatter[:, j, i] = products[:, k] - means[:, i] * means[:, j]
-    scatter = factor[:, None, None] * scatter + np.diag(np.square(SPREAD))
+    scatter = factor[:, None, None] * scatter + np.diag(np.square(SPREAD[:size]))
     return np.linalg.inv(scatter), np.linalg.slogdet(scatter)[1]
 
 
@@ -111,9 +123,10 @@ def _modelled(batches):
         if not len(frame):
             continue
         n = frame["covered"].to_numpy(float)[:, None]
-        means = frame[[f"s{i}" for i in range(SIZE)]].to_numpy(float) / n
-        products = frame[[f"p{i}_{j}" for i, j in UPPER]].to_numpy(float) / n
-        inverse, logdet = _estimate(means, products, np.array([consistency(int(x)) for x in frame["rows"]]))
+        sums = _parts(list(frame.columns), "s")
+        means = frame[sums].to_numpy(float) / n
+        products = frame[[f"p{i}_{j}" for i, j in _upper(len(sums))]].to_numpy(float) / n
+        inverse, logdet = _estimate(means, products, np.array([consistency(int(x), len(sums)) for x in frame["rows"]]))
         yield pd.DataFrame(
             {
                 "level": frame["level"], "lang": frame["lang"], "source": frame["source"], "start": frame["start"],
@@ -122,12 +135,12 @@ def _modelled(batches):
         )
 
 
-def distance(mean: Column, inverse: Column) -> Column:
+def distance(mean: Column, inverse: Column, size: int) -> Column:
     """Squared Mahalanobis distance of the columns ``x0`` and on."""
-    from_mean = [F.col(f"x{i}") - mean[i] for i in range(SIZE)]
+    from_mean = [F.col(f"x{i}") - mean[i] for i in range(size)]
     total = F.lit(0.0)
-    for i, j in UPPER:
-        total = total + from_mean[i] * from_mean[j] * inverse[i * SIZE + j] * (1 if i == j else 2)
+    for i, j in _upper(size):
+        total = total + from_mean[i] * from_mean[j] * inverse[i * size + j] * (1 if i == j else 2)
     return F.greatest(total, F.lit(0.0))
 
 
@@ -141,31 +154,33 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
 
 
 def _moments(rows: DataFrame, groups: list[str]) -> DataFrame:
+    size = len(_parts(rows.columns))
     return rows.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.sum(f"x{i}").alias(f"s{i}") for i in range(SIZE)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in UPPER],
+        *[F.sum(f"x{i}").alias(f"s{i}") for i in range(size)],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in _upper(size)],
     )
 
 
 def _step(rows: DataFrame, models: DataFrame) -> DataFrame:
     """One concentration step of every group and start."""
+    size = len(_parts(rows.columns))
     model = models.select(*[F.col(k).alias(f"m_{k}") for k in KEYS], "start", "mean", "inverse")
     joined = rows.join(
         model,
         (rows.level == model.m_level) & rows.lang.eqNullSafe(model.m_lang) & rows.source.eqNullSafe(model.m_source),
     )
-    binned = joined.withColumn("bin", F.floor(F.log2(distance(F.col("mean"), F.col("inverse")) + 1e-6) * BINS))
+    binned = joined.withColumn("bin", F.floor(F.log2(distance(F.col("mean"), F.col("inverse"), size) + 1e-6) * BINS))
     binned = _moments(binned, [*KEYS, "start", "bin"])
     whole = Window.partitionBy(*KEYS, "start")
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     covered = binned.withColumn("all", F.sum("rows").over(whole)).withColumn("before", F.sum("rows").over(upto) - F.col("rows"))
-    covered = covered.filter(F.col("before") < F.least(F.col("all"), F.floor((F.col("all") + SIZE + 1) / 2)))
+    covered = covered.filter(F.col("before") < F.least(F.col("all"), F.floor((F.col("all") + size + 1) / 2)))
     sums = covered.groupBy(*KEYS, "start").agg(
         F.sum("rows").alias("covered"),
         F.first("all").alias("rows"),
-        *[F.sum(f"s{i}").alias(f"s{i}") for i in range(SIZE)],
-        *[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in UPPER],
+        *[F.sum(f"s{i}").alias(f"s{i}") for i in range(size)],
+        *[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in _upper(size)],
     )
     return sums.mapInPandas(_modelled, _MODEL)
 
@@ -176,7 +191,8 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     Starts: the median with the width of the shortest half of each part, and the median with the smallest
     spreads. Neither follows junk that is less than half of a group, as the mean and the quartiles do.
     """
-    parts = [f"x{i}" for i in range(SIZE)]
+    parts = _parts(rows.columns)
+    size = len(parts)
     levels = [
         F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")),
         F.struct(F.lit(1).alias("level"), F.col("lang"), F.lit(None).cast("string").alias("source")),
@@ -189,7 +205,7 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     )
 
     def start(number: int, widths: list[Column]) -> DataFrame:
-        diagonal = [1 / (widths[i] ** 2 + SPREAD[i] ** 2) if i == j else F.lit(0.0) for i in range(SIZE) for j in range(SIZE)]
+        diagonal = [1 / (widths[i] ** 2 + SPREAD[i] ** 2) if i == j else F.lit(0.0) for i in range(size) for j in range(size)]
         return cuts.select(
             *KEYS, F.lit(number).alias("start"), "rows", F.array(*[F.col(x)[CUTS // 2] for x in parts]).alias("mean"),
             F.array(*diagonal).alias("inverse"), F.lit(0.0).alias("logdet"),
@@ -197,7 +213,7 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 
     shortest = [F.least(*[F.col(x)[k + CUTS // 2] - F.col(x)[k] for k in range(CUTS // 2 + 1)]) / 1.349 for x in parts]
     cuts, _ = materialise(cuts, "cuts")
-    models, _ = materialise(start(0, shortest).unionByName(start(1, [F.lit(0.0)] * SIZE)), "starts")
+    models, _ = materialise(start(0, shortest).unionByName(start(1, [F.lit(0.0)] * size)), "starts")
     before = None
     for _ in range(steps):
         models, _ = materialise(_step(rows, models), "step")
@@ -233,7 +249,7 @@ def judged(
     failed = base_failed(F.col("counts.n_words"), F.col("counts.n_repeat_words"))
     more = {"failed": failed} | {f"x{i}": x for i, x in enumerate(vector())}
     rows = rows.withColumns(more)
-    good = rows.filter(~F.col("failed")).select("lang", "source", *[f"x{i}" for i in range(SIZE)])
+    good = rows.filter(~F.col("failed")).select("lang", "source", *[f"x{i}" for i in range(len(SPREAD))])
     models, _ = materialise(estimates(good, steps).filter(F.col("rows") >= min_rows), "estimates")
 
     def of(level: int, prefix: str) -> DataFrame:
@@ -257,7 +273,7 @@ def judged(
     groups, _ = materialise(groups, "groups")
     rows = counted.withColumns(more) if again else rows
     placed = rows.join(groups, rows.lang.eqNullSafe(groups.g_lang) & rows.source.eqNullSafe(groups.g_source))
-    placed = placed.withColumn("distance", distance(F.col("mean"), F.col("inverse")))
-    cutoff = quantile(1 - rejected, SIZE)
+    placed = placed.withColumn("distance", distance(F.col("mean"), F.col("inverse"), len(SPREAD)))
+    cutoff = quantile(1 - rejected, len(SPREAD))
     kept = ~F.col("failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return placed.select("row", "counts", F.col("failed").alias("base_failed"), "distance", kept.alias("kept"))

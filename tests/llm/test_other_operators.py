@@ -52,11 +52,15 @@ def test_concentration_finds_the_bulk(spark):
     assert 0.5 < scatter[0, 0] < 1.5 and 2.5 < scatter[1, 1] < 5.5
 
 
-def test_a_third_of_a_group_may_be_copies_of_junk(spark):
+def prose(k):
     def word(n, size):
         return "".join(chr(97 + n // 26**i % 26) for i in range(size))
 
-    rows = [(k, PROSE + " ".join(word(101 * k + j, 3 + j % 4) for j in range(k % 50 + 5)), "en", "s") for k in range(400)]
+    return PROSE + " ".join(word(101 * k + j, 3 + j % 4) for j in range(k % 50 + 5))
+
+
+def test_a_third_of_a_group_may_be_copies_of_junk(spark):
+    rows = [(k, prose(k), "en", "s") for k in range(400)]
     junk = " ".join(f"w{j}###" for j in range(80))
     df = documents(spark, rows + [(k, junk, "en", "s") for k in range(400, 600)])
     found = quality_rules.judged(df, steps=5).select("row.doc_id", "base_failed", "kept").collect()
@@ -64,6 +68,14 @@ def test_a_third_of_a_group_may_be_copies_of_junk(spark):
     assert {r.doc_id for r in found if r.kept} == set(range(400))
 
 
+def test_texts_of_digits_are_outliers(spark):
+    rows = [(k, prose(k), "en", "s") for k in range(400)]
+    digits = [(k, " ".join(str(1000 + 37 * k + 7 * j) for j in range(60)), "en", "s") for k in range(400, 405)]
+    found = quality_rules.judged(documents(spark, rows + digits), steps=5).select("row.doc_id", "base_failed", "kept").collect()
+    assert not any(r.base_failed for r in found) and len(found) == 405
+    assert {r.doc_id for r in found if r.kept} == set(range(400))
+
+
 def test_classifier_learns_and_shrinks(spark):
     good = [(k, PROSE * (k % 4 + 1) + f"Tail {k}.", "en", f"h{k % 7}") for k in range(100, 400)]
     bad = [(k, f"BUY!! {k} NOW!! " * (k % 4 + 2), "en", "junk" if k % 3 else "h1") for k in range(400, 520)]
