@@ -10,7 +10,7 @@ A concentration step is one aggregation: distances fall into fixed narrow bins,
 of their products are made for each bin, and the bins up to the half are added up. So no group is ever
 gathered or sorted, and its largest part in one place is a row for each bin. Rows count towards their
 (language, source), their language and all documents; a group of fewer than ``MIN_ROWS`` good rows
-takes the estimate of its language, or else of all.
+takes the estimate of its language, or else of all, which a table of ``LEAST_ROWS`` good rows has.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from millrace.workspace import materialise
 CUTS = 20
 #: Rows below which a group is too sparse for an estimate of its own.
 MIN_ROWS = 200
+#: Rows that the estimate of all documents needs; with so few, the smallest spreads are most of it.
+LEAST_ROWS = 12
 #: Concentration steps at most; they end when no determinant changes any more.
 STEPS = 20
 #: Bins of the squared distance: so many for each doubling.
@@ -233,8 +235,8 @@ def judged(
 
     ``row`` holds the ``carry`` columns. A null text counts as empty and fails the fixed rules, as does
     every text of fewer than 10 words. A null language or source is a group of its own. Repeated rows
-    count as often as they come and get equal verdicts. Without enough good rows anywhere (fewer than
-    ``min_rows`` in all) only the fixed rules decide. An empty table gives an empty result.
+    count as often as they come and get equal verdicts. With fewer than ``LEAST_ROWS`` good rows in all
+    there is no estimate, and only the fixed rules decide. An empty table gives an empty result.
     """
     carry = carry or ["doc_id"]
     counted = df.select(
@@ -250,7 +252,7 @@ def judged(
     more = {"failed": failed} | {f"x{i}": x for i, x in enumerate(vector())}
     rows = rows.withColumns(more)
     good = rows.filter(~F.col("failed")).select("lang", "source", *[f"x{i}" for i in range(len(SPREAD))])
-    models, _ = materialise(estimates(good, steps).filter(F.col("rows") >= min_rows), "estimates")
+    models, _ = materialise(estimates(good, steps).filter(F.col("rows") >= F.when(F.col("level") == 0, LEAST_ROWS).otherwise(min_rows)), "estimates")
 
     def of(level: int, prefix: str) -> DataFrame:
         names = {"lang": f"{prefix}_lang", "source": f"{prefix}_source", "mean": f"{prefix}_mean", "inverse": f"{prefix}_inverse"}

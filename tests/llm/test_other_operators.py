@@ -76,6 +76,14 @@ def test_texts_of_digits_are_outliers(spark):
     assert {r.doc_id for r in found if r.kept} == set(range(400))
 
 
+def test_few_rows_are_judged_by_the_estimate_of_all(spark):
+    rows = [(k, prose(k), "en", f"s{k % 3}") for k in range(40)]
+    odd = [(k, " ".join(f"w{k}{j}###" for j in range(80)), "en", "s1") for k in range(40, 43)]
+    found = quality_rules.judged(documents(spark, rows + odd), steps=5).select("row.doc_id", "base_failed", "kept").collect()
+    assert not any(r.base_failed for r in found) and len(found) == 43
+    assert {r.doc_id for r in found if r.kept} == set(range(40))
+
+
 def test_classifier_learns_and_shrinks(spark):
     good = [(k, PROSE * (k % 4 + 1) + f"Tail {k}.", "en", f"h{k % 7}") for k in range(100, 400)]
     bad = [(k, f"BUY!! {k} NOW!! " * (k % 4 + 2), "en", "junk" if k % 3 else "h1") for k in range(400, 520)]
