@@ -110,6 +110,11 @@ def lin11_downstream(spark: SparkSession, d: str) -> DataFrame:
     return graph.downstream(bindings.dataset_edges(spark, d), depth=3, starts=bindings.hidden_datasets(spark, d))
 
 
+def lin11_downstream_to_the_end(spark: SparkSession, d: str) -> DataFrame:
+    """Everything downstream of the views."""
+    return graph.downstream(bindings.dataset_edges(spark, d), starts=bindings.hidden_datasets(spark, d))
+
+
 def lin11_node_graph(spark: SparkSession, d: str) -> DataFrame:
     """Jobs and data sets before and after the suppliers in debt."""
     return graph.lineage_graph(bindings.job_io(spark, d), bindings.suppliers_in_debt(spark, d))
@@ -198,6 +203,7 @@ QUERIES: dict[str, Query] = {
         lin1_datasets, lin2_jobs, lin3_schema_history, lin4_schema_diff, lin4_renames, lin5_runs, lin6_versions,
         lin6_version_runs, lin7_run_states, lin7_failed, lin7_stream, lin8_direct_edges, lin8_subtypes,
         lin9_indirect_edges, lin10_fan_in, lin11_upstream, lin11_upstream_of_marts, lin11_downstream,
+        lin11_downstream_to_the_end,
         lin8_current_edges, lin11_node_graph, lin12_column_sources, lin13_dataset_form, lin13_round_trip, lin14_job_io, lin15_freshness, lin16_normalise,
         lin17_accepted, lin17_reasons, lin18_collisions, lin19_job_parts, lin20_identity, lin21_placeholders,
         lin22_shared_application, lin23_without_views,

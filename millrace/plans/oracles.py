@@ -300,6 +300,8 @@ LINEAGE = {
         SELECT 'part_' || a AS dataset, 'part_' || b AS upstream, hops FROM reached""",
     "lin11_downstream": f"""{PART_EDGES}, {_reached(VIEWS.format('i'), 'i', 'o', 3)}
         SELECT 'part_' || a AS dataset, 'part_' || b AS downstream, hops FROM reached""",
+    "lin11_downstream_to_the_end": f"""{PART_EDGES}, {_reached(VIEWS.format('i'), 'i', 'o')}
+        SELECT 'part_' || a AS dataset, 'part_' || b AS downstream, hops FROM reached""",
     "lin12_column_sources": f"""{PART_EDGES}, walk AS (
           SELECT o AS a, i AS b, strength, 1 AS hops FROM links WHERE o NOT IN (SELECT i FROM links)
           UNION

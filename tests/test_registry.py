@@ -26,6 +26,12 @@ def test_equal_to_sql(spark, connection, name):
     assert difference(result, connection.sql(registry.oracle_sql()[name])) is None
 
 
+def test_downstream_to_the_end_passes_three_hops(spark):
+    found = registry.queries()["lin11_downstream_to_the_end"](spark, DIRECTORY)
+    assert found.filter("hops > 3").count() > 0
+    assert found.filter("hops <= 3").count() == registry.queries()["lin11_downstream"](spark, DIRECTORY).count()
+
+
 def test_entry(spark):
     assert registry.entry(spark).count() == 3
 
