@@ -35,4 +35,38 @@ SQL = {
             SELECT *, CAST(row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id) AS INTEGER) AS rank
             FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_collocations": r"""
+        WITH texts AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        pieces AS (
+            SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+            FROM texts),
+        starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM pieces),
+        spans AS (SELECT lang, words, pos, unnest(range(1, least(4, len(words) - pos + 1) + 1)) AS length FROM starts),
+        counts AS (
+            SELECT lang, words[pos:pos + length - 1] AS words, length, count(*) AS f
+            FROM spans GROUP BY ALL),
+        totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE length = 1 GROUP BY lang),
+        phrases AS (SELECT lang, words, length, f AS a FROM counts WHERE length > 1 AND f >= 30),
+        cuts AS (SELECT *, unnest(range(1, length)) AS k FROM phrases),
+        scored AS (
+            SELECT c.lang, c.words, c.length, c.a, k, x.f AS l, y.f AS r,
+                2000000 * CAST(c.a AS HUGEINT) // (CAST(x.f AS HUGEINT) + y.f) AS score
+            FROM cuts c
+            JOIN counts x ON x.lang = c.lang AND x.words = c.words[1:k]
+            JOIN counts y ON y.lang = c.lang AND y.words = c.words[k + 1:]),
+        weakest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+        inner_starts AS (SELECT *, unnest(range(2, length)) AS many FROM phrases WHERE length > 2),
+        inner_spans AS (SELECT *, unnest(range(1, length - many + 2)) AS pos FROM inner_starts),
+        longer AS (
+            SELECT lang, words[pos:pos + many - 1] AS words, max(a) AS f FROM inner_spans GROUP BY ALL),
+        ranked AS (
+            SELECT w.lang, row_number() OVER (
+                    PARTITION BY w.lang ORDER BY score DESC, a DESC, array_to_string(w.words, ' ')) AS rank,
+                array_to_string(w.words, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score
+            FROM weakest w LEFT JOIN longer g ON g.lang = w.lang AND g.words = w.words
+            WHERE g.f IS NULL OR 100 * g.f < 80 * a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }

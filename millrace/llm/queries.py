@@ -12,6 +12,7 @@ from millrace.llm import (
     language_id,
     lm_score,
     mixing,
+    phrases,
     pieces,
     quality_classifier,
     quality_rules,
@@ -106,10 +107,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_lm_score, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_mixing,
-        op7_language_id, op8_chat_formatting, op9_simhash_dedup, op10_topk,
+        op7_language_id, op8_chat_formatting, op9_simhash_dedup, op10_topk, op11_collocations,
     )
 }
