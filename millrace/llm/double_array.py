@@ -73,12 +73,11 @@ def _bytes_of(numbers: np.ndarray, width: int) -> np.ndarray:
 def build(sequences: list[list[bytes]]) -> Trie:
     """The trie of distinct sequences of one length; the sequence at position ``k`` has number ``k``."""
     words: dict[bytes, int] = {}
-    numbers = np.array([[words.setdefault(w, len(words)) for w in s] for s in sequences], np.int64)
-    numbers = numbers.reshape(len(sequences), -1)
-    width = max(1, (max(len(words), 1).bit_length() + 7) // 8)
-    if not len(sequences):
+    if not sequences:
         empty = np.full(2 * RADIX, -1, np.int32)
-        return Trie(words, width, np.zeros(2 * RADIX, np.int32), empty, empty.copy(), 0)
+        return Trie(words, 1, np.zeros(2 * RADIX, np.int32), empty, empty.copy(), 0)
+    numbers = np.array([[words.setdefault(w, len(words)) for w in s] for s in sequences], np.int64)
+    width = (len(words).bit_length() + 7) // 8
     path = _bytes_of(numbers, width)
     order = np.lexsort(path.T[::-1])
     path = path[order]

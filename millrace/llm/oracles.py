@@ -69,4 +69,29 @@ SQL = {
             FROM weakest w LEFT JOIN longer g ON g.lang = w.lang AND g.words = w.words
             WHERE g.f IS NULL OR 100 * g.f < 80 * a)
         SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op12_minhash_dedup": r"""
+        WITH RECURSIVE cut AS (
+            SELECT row_number() OVER () AS number, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        sets AS (
+            SELECT number, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS s
+            FROM cut),
+        hashed AS (SELECT number, len(s) AS n, unnest(s) AS shingle FROM sets),
+        shared AS (
+            SELECT x.number AS a, y.number AS b, count(*) AS both, any_value(x.n) AS na, any_value(y.n) AS nb
+            FROM hashed x JOIN hashed y ON x.shingle = y.shingle AND x.number < y.number GROUP BY ALL),
+        near AS (SELECT a, b FROM shared WHERE 100 * both >= 85 * (na + nb - both)),
+        links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+        reached AS (
+            SELECT number AS start, number AS at FROM sets
+            UNION
+            SELECT start, b FROM reached JOIN links ON a = at),
+        lowest AS (
+            SELECT start, min(doc_id) AS component_id FROM reached JOIN sets ON number = at GROUP BY start)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id,
+            doc_id IS NOT DISTINCT FROM component_id AS kept
+        FROM sets JOIN lowest ON start = number""",
 }

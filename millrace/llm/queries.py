@@ -11,6 +11,7 @@ from millrace.llm import (
     chat,
     language_id,
     lm_score,
+    minhash,
     mixing,
     phrases,
     pieces,
@@ -19,6 +20,7 @@ from millrace.llm import (
     simhash,
     topk,
     url_filter,
+    whitening,
 )
 
 BLOCK = ["net/", "example.com/de/"]
@@ -111,10 +113,24 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_copies(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "row.doc_id", "n_shingles", F.col("component").alias("component_id"),
+        F.col("row.doc_id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(_table(spark, sf_dir, "embeddings"))
+    return found.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_lm_score, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_mixing,
         op7_language_id, op8_chat_formatting, op9_simhash_dedup, op10_topk, op11_collocations,
+        op12_minhash_dedup, op13_whitening,
     )
 }
