@@ -81,16 +81,16 @@ SQL = {
             FROM cut),
         hashed AS (SELECT number, len(s) AS n, unnest(s) AS shingle FROM sets),
         shared AS (
-            SELECT x.number AS a, y.number AS b, count(*) AS both, any_value(x.n) AS na, any_value(y.n) AS nb
+            SELECT x.number AS a, y.number AS b, count(*) AS common, any_value(x.n) AS na, any_value(y.n) AS nb
             FROM hashed x JOIN hashed y ON x.shingle = y.shingle AND x.number < y.number GROUP BY ALL),
-        near AS (SELECT a, b FROM shared WHERE 100 * both >= 85 * (na + nb - both)),
+        near AS (SELECT a, b FROM shared WHERE 100 * common >= 85 * (na + nb - common)),
         links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
         reached AS (
-            SELECT number AS start, number AS at FROM sets
+            SELECT number AS start, number AS reach FROM sets
             UNION
-            SELECT start, b FROM reached JOIN links ON a = at),
+            SELECT start, b FROM reached JOIN links ON a = reach),
         lowest AS (
-            SELECT start, min(doc_id) AS component_id FROM reached JOIN sets ON number = at GROUP BY start)
+            SELECT start, min(doc_id) AS component_id FROM reached JOIN sets ON number = reach GROUP BY start)
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id,
             doc_id IS NOT DISTINCT FROM component_id AS kept
         FROM sets JOIN lowest ON start = number""",
