@@ -13,6 +13,9 @@ WORD_BREAKS = "[ \\t\\n\\r\\f]+"
 
 # Modulus and multipliers of the repeatable point sequence used for the circle estimate.
 # The modulus is a prime below 2**30, so every product below fits a signed 64-bit integer.
+MIX_MODULUS = 2_147_483_647
+MIX_FACTORS = (1_597_334_677, 747_796_405, 1_181_783_497)
+MIX_SHIFTS = (15, 13, 16)
 POINT_MODULUS = 1_000_000_007
 POINT_X = 754_877_669
 POINT_Y = 569_840_296
@@ -84,3 +87,19 @@ def in_quarter_circle(number: Column) -> Column:
     x = (step * POINT_X) % POINT_MODULUS
     y = (step * POINT_Y) % POINT_MODULUS
     return x * x + y * y <= POINT_MODULUS * POINT_MODULUS
+
+
+def uniform(key: Column, seed: int) -> Column:
+    """A number from 0 to below 1, drawn by ``seed`` for each whole ``key``; a NULL key has none.
+
+    Counter-based: key and seed are mixed by whole-number arithmetic, so the value depends on nothing else, neither
+    on partitions nor on the order of rows nor on the engine. There are ``MIX_MODULUS`` different values.
+    """
+    mixed = (
+        F.pmod(key, F.lit(MIX_MODULUS)) * MIX_FACTORS[0] % MIX_MODULUS
+        + F.pmod(whole_quotient(key, MIX_MODULUS), F.lit(MIX_MODULUS)) * MIX_FACTORS[1] % MIX_MODULUS
+        + seed * MIX_FACTORS[2] % MIX_MODULUS
+    ) % MIX_MODULUS
+    for shift, factor in zip(MIX_SHIFTS, MIX_FACTORS, strict=True):
+        mixed = mixed.bitwiseXOR(F.shiftright(mixed, shift)) * factor % MIX_MODULUS
+    return mixed.cast("double") / MIX_MODULUS

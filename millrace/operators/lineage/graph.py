@@ -39,8 +39,12 @@ class _Rounds:
         return self._spark.read.schema(self._schema).parquet(self._path)
 
     def newest(self) -> DataFrame:
+        return self.of(self.number)
+
+    def of(self, number: int) -> DataFrame:
+        """What one round has found."""
         schema = T.StructType(self._schema.fields[:-1])
-        return self._spark.read.schema(schema).parquet(f"{self._path}/round={self.number}")
+        return self._spark.read.schema(schema).parquet(f"{self._path}/round={number}")
 
 
 def _not_in(reached: DataFrame, found: DataFrame, state: Sequence[str], *measures: Column) -> DataFrame:
@@ -149,15 +153,8 @@ def _walk_columns(
     return _walk(edges.join(starts, list(near)).select(*near, *far, "strength"), advance, depth)
 
 
-def column_sources(column_edges: DataFrame, depth: int | None = None, starts: DataFrame | None = None) -> DataFrame:
-    """From every mart column to the raw columns it comes from, with hops and effective subtype.
-
-    Mart columns are ``starts`` (``out_dataset, out_column``), or else the columns no edge reads.
-    Raw columns are those no edge writes. A path aggregates if one of its edges does, and
-    transforms if one of its edges does and none aggregates. ``hops`` is the length of the
-    shortest path of that subtype. The walk begins at the marts or at the raw columns,
-    whichever are fewer, and gives the same answer from either side.
-    """
+def _direct_edges(column_edges: DataFrame) -> DataFrame:
+    """Different direct edges with the ``strength`` of their subtype, written down."""
     strength = F.array_position(F.array(*[F.lit(kind) for kind in DIRECT_SUBTYPES]), F.col("subtype")).cast("int")
     edges, _ = materialise(
         column_edges.where((F.col("type") == DIRECT) & F.col("subtype").isin(*DIRECT_SUBTYPES))
@@ -165,16 +162,87 @@ def column_sources(column_edges: DataFrame, depth: int | None = None, starts: Da
         .distinct(),
         "edges",
     )
+    return edges
+
+
+def _ends(edges: DataFrame, starts: DataFrame | None) -> tuple[DataFrame, int, DataFrame, int]:
+    """Mart columns and raw columns of direct edges, written down, and how many they are."""
     written, read = edges.select(*OUT).distinct(), edges.select(*IN).distinct()
     mart_columns = written.join(_renamed(read, IN, OUT), list(OUT), "left_anti") if starts is None else starts
     marts, mart_count = materialise(mart_columns.select(*OUT).distinct(), "marts")
     raws, raw_count = materialise(read.join(_renamed(written, OUT, IN), list(IN), "left_anti"), "raws")
+    return marts, mart_count, raws, raw_count
+
+
+def _subtype(strength: str) -> Column:
+    return F.element_at(F.array(*[F.lit(subtype) for subtype in DIRECT_SUBTYPES]), F.col(strength))
+
+
+def column_sources(column_edges: DataFrame, depth: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """From every mart column to the raw columns it comes from, with hops and effective subtype.
+
+    Mart columns are ``starts`` (``out_dataset, out_column``), or else the columns no edge reads.
+    Raw columns are those no edge writes. A path aggregates if one of its edges does, and
+    transforms if one of its edges does and none aggregates. ``hops`` is the length of the
+    shortest path of that subtype. The walk begins at the marts or at the raw columns,
+    whichever are fewer, and gives the same answer from either side.
+    """
+    edges = _direct_edges(column_edges)
+    marts, mart_count, raws, raw_count = _ends(edges, starts)
     if mart_count <= raw_count:
         paths = _walk_columns(edges, marts, OUT, IN, depth).join(raws, list(IN), "left_semi")
     else:
         paths = _walk_columns(edges, raws, IN, OUT, depth).join(marts, list(OUT), "left_semi")
-    kind: Column = F.element_at(F.array(*[F.lit(subtype) for subtype in DIRECT_SUBTYPES]), F.col("strength"))
-    return paths.select(*OUT, *IN, kind.alias("subtype"), "hops")
+    return paths.select(*OUT, *IN, _subtype("strength").alias("subtype"), "hops")
+
+
+def column_paths(column_edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """One shortest path for every row of ``column_sources``, a row for each column on it.
+
+    ``out_dataset, out_column`` is the mart column, ``in_dataset, in_column`` the raw one, ``subtype`` that of the
+    whole path; ``position`` counts from 0 at the mart column, and ``dataset, column`` is what stands there. Of
+    several shortest paths the one whose columns, seen from the raw end, come first by name is taken.
+
+    Every state of the walk keeps the smallest state that it was reached from. The paths are then read backward,
+    a hop at a time, and each hop meets only the states of its own round.
+    """
+    edges = _direct_edges(column_edges)
+    marts, _, raws, _ = _ends(edges, starts)
+    state = [*OUT, *IN, "strength"]
+    nobody = F.lit(None).cast("struct<in_dataset: string, in_column: string, strength: int>")
+    step = edges.select(
+        *[F.col(old).alias(new) for old, new in zip(OUT, IN)],
+        *[F.col(name).alias(f"next_{name}") for name in IN],
+        F.col("strength").alias("next_strength"),
+    )
+    found = _Rounds(edges.join(marts, list(OUT)).select(*state).distinct().withColumn("before", nobody), "paths")
+    while found.newest_rows:
+        reached = found.newest().join(step, list(IN)).select(
+            *OUT,
+            *[F.col(f"next_{name}").alias(name) for name in IN],
+            F.greatest("strength", "next_strength").alias("strength"),
+            F.struct(*IN, "strength").alias("before"),
+        )
+        found.add(_not_in(reached, found.all(), state, F.min("before").alias("before")))
+    ends, rows = materialise(found.all().join(raws, list(IN), "left_semi"), "ends")
+    whole = [*OUT, F.struct(*IN, "strength").alias("end")]
+    first = ends.select(*whole, F.lit(0).alias("position"), F.col("out_dataset").alias("dataset"), F.col("out_column").alias("column"))
+    parts, going = [first], None
+    for number in range(found.number if rows else 0, 0, -1):
+        # Paths that end in this round, and those that come back from the next one.
+        here = ends.where(F.col("round") == number).select(*whole, *IN, "strength")
+        here = here if going is None else here.unionByName(going)
+        met, _ = materialise(here.join(found.of(number), state).select(*OUT, "end", *IN, "before"), "hop")
+        parts.append(
+            met.select(*OUT, "end", F.lit(number).alias("position"), F.col("in_dataset").alias("dataset"), F.col("in_column").alias("column"))
+        )
+        going = met.select(*OUT, "end", "before.*")
+    found_paths = parts[0]
+    for part in parts[1:]:
+        found_paths = found_paths.unionByName(part)
+    return found_paths.select(
+        *OUT, "end.in_dataset", "end.in_column", _subtype("end.strength").alias("subtype"), "position", "dataset", "column"
+    )
 
 
 def without_hidden(dataset_edges: DataFrame, hidden: DataFrame) -> DataFrame:

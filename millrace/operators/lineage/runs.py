@@ -1,7 +1,7 @@
 """Runs of jobs: state, duration, and how many versions a job has had.
 
-The fold from events to runs only takes minima, maxima and counts, so it can be applied to
-events, to partial folds, or to a mixture of both, in any order. Batch and stream share it.
+The fold from events to runs only takes minima, maxima and counts, so the order of the events does
+not matter, and a state store can carry it on. Batch and stream share it.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def different_events(run_events: DataFrame) -> DataFrame:
 
 
 def fold_events(run_events: DataFrame) -> DataFrame:
-    """One row per run with all that a later merge needs. ``events`` counts deliveries."""
+    """One row per run with all that its state needs. ``events`` counts deliveries."""
     return run_events.groupBy("run_id").agg(
         F.min("job").alias("job"),
         F.min(_in_state(START)).alias("started_at"),
@@ -37,17 +37,6 @@ def fold_events(run_events: DataFrame) -> DataFrame:
     )
 
 
-def merge_folds(folds: DataFrame) -> DataFrame:
-    """Partial folds of the same runs, merged to one row per run."""
-    return folds.groupBy("run_id").agg(
-        F.min("job").alias("job"),
-        F.min("started_at").alias("started_at"),
-        F.min("first_ts").alias("first_ts"),
-        F.max("last").alias("last"),
-        F.sum("events").alias("events"),
-    )
-
-
 def run_states(folds: DataFrame) -> DataFrame:
     """State, start, last event and duration of every run.
 

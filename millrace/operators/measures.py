@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import in_quarter_circle, mean, split_words, total
+from millrace.functions.columns import in_quarter_circle, mean, split_words, total, uniform
 
 
 def totals_by(df: DataFrame, key: str, amount: str) -> DataFrame:
@@ -71,13 +71,13 @@ def word_counts(lines: DataFrame, text: str = "value") -> DataFrame:
 def circle_estimate(spark: SparkSession, points: int, slices: int | None = None, seed: int | None = None) -> DataFrame:
     """``inside, points, pi``: four times the share of points in the quarter circle.
 
-    The points follow a fixed sequence; with a ``seed`` they are drawn at random, which depends
-    on the number of slices.
+    The points follow a fixed sequence; with a ``seed`` each point is drawn by its number, so the
+    estimate does not depend on the number of slices either.
     """
     rows = spark.range(0, points, 1, slices) if slices else spark.range(points)
     if seed is None:
         return circle_share(rows)
-    drawn = rows.select(F.rand(seed).alias("x"), F.rand(seed + 1).alias("y"))
+    drawn = rows.select(uniform(F.col("id"), seed).alias("x"), uniform(F.col("id"), seed + 1).alias("y"))
     return _share_of_hits(drawn.select((F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1).alias("hit")))
 
 

@@ -281,6 +281,48 @@ def column_edges(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def looped_dataset_edges(spark: SparkSession, directory: str) -> DataFrame:
+    """The part edges, and back from the part at half the key to every part of size 10."""
+    key = F.col("p_partkey")
+    parts = table(spark, directory, "part").where((F.col("p_size") == 10) & (key > 1))
+    back = parts.select(
+        label("part_", whole_quotient(key, 2)).alias("out_dataset"), label("part_", key).alias("in_dataset")
+    )
+    return dataset_edges(spark, directory).unionByName(back)
+
+
+def schema_changes_in_time(spark: SparkSession, directory: str) -> DataFrame:
+    """When each schema version of a supplier's data set began: at its first returned line."""
+    returned = table(spark, directory, "lineitem").where(F.col("l_returnflag") == "R")
+    return returned.groupBy(
+        F.lit(JOB_NAMESPACE).alias("namespace"), label("supplier_", F.col("l_suppkey")).alias("name"), F.col("l_linenumber").alias("version")
+    ).agg(F.min("l_shipdate").alias("since"))
+
+
+def supplier_runs(spark: SparkSession, directory: str) -> DataFrame:
+    """Every order line as a run that reads the data set of its supplier."""
+    return table(spark, directory, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("run_id"),
+        F.lit(JOB_NAMESPACE).alias("namespace"),
+        label("supplier_", F.col("l_suppkey")).alias("name"),
+        F.col("l_shipdate").alias("started_at"),
+    )
+
+
+def retyped_batches(spark: SparkSession, directory: str) -> list[DataFrame]:
+    """Four batches of orders whose columns change their types: whole numbers, wider ones, fractions, text."""
+    order, share = F.col("order_id"), F.col("order_id") % 4
+    whole = F.col("customer_id").cast("int")
+    amounts = [F.floor("amount").cast("int"), F.floor("amount"), F.col("amount"), F.lit(0).cast("smallint")]
+    codes = [whole, whole, F.col("customer_id"), F.concat(F.lit("c"), F.col("customer_id"))]
+    return [
+        orders(spark, directory).where(share == k).select(
+            order.cast("int").alias("order_id") if k == 0 else order, amount.alias("amount"), code.alias("code")
+        )
+        for k, (amount, code) in enumerate(zip(amounts, codes, strict=True))
+    ]
+
+
 def hidden_datasets(spark: SparkSession, directory: str) -> DataFrame:
     """Parts of two types, taken as views that were never written."""
     views = table(spark, directory, "part").where(F.col("p_type").isin("ECONOMY", "PROMO"))

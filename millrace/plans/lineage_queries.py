@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.jobs import job_part, known_job
-from millrace.operators.lineage import audits, catalog, edges, graph, runs, versions
-from millrace.plans import bindings
+from millrace.operators.lineage import asof, audits, catalog, content, edges, graph, order, runs, versions
+from millrace.plans import bindings, staging
 from millrace.streaming.run_states import current_run_states, follow_run_events, stream_of
 from millrace.workspace import fresh_path
 
@@ -38,6 +38,16 @@ def lin4_renames(spark: SparkSession, d: str) -> DataFrame:
     return versions.renamed_fields(changes, bindings.declared_sources(spark, d))
 
 
+def lin4_renames_by_content(spark: SparkSession, d: str) -> DataFrame:
+    """Renames in the three versions of the customers table, from the data alone."""
+    return content.history_of_renames(staging.schema_versions(bindings.customers(spark, d)))
+
+
+def lin3_schema_of_run(spark: SparkSession, d: str) -> DataFrame:
+    """The schema version of its supplier's data set that every order line saw."""
+    return asof.schema_of_runs(bindings.supplier_runs(spark, d), bindings.schema_changes_in_time(spark, d))
+
+
 def lin5_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.runs_per_job(bindings.run_events(spark, d))
 
@@ -62,10 +72,10 @@ def lin7_failed(spark: SparkSession, d: str) -> DataFrame:
 
 def lin7_stream(spark: SparkSession, d: str) -> DataFrame:
     """The run states again, from a stream over the files of the events table."""
-    log = fresh_path(spark, "runs")
+    states = fresh_path(spark, "runs")
     events = stream_of(spark, d + "/{events.parquet}", bindings.run_events_of)
-    follow_run_events(events, log, fresh_path(spark, "progress")).awaitTermination()
-    return current_run_states(spark, log)
+    follow_run_events(events, states, fresh_path(spark, "progress")).awaitTermination()
+    return current_run_states(spark, states, events.schema)
 
 
 def lin8_direct_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -115,6 +125,21 @@ def lin11_downstream_to_the_end(spark: SparkSession, d: str) -> DataFrame:
     return graph.downstream(bindings.dataset_edges(spark, d), starts=bindings.hidden_datasets(spark, d))
 
 
+def lin11_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that feed themselves over others."""
+    return order.cycles(bindings.looped_dataset_edges(spark, d))
+
+
+def lin11_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The level of every part, cycles included."""
+    return order.levels(bindings.looped_dataset_edges(spark, d))
+
+
+def lin11_rerun_order(spark: SparkSession, d: str) -> DataFrame:
+    """What has to be made again after the views have failed, and when."""
+    return order.rerun_order(bindings.dataset_edges(spark, d), bindings.hidden_datasets(spark, d))
+
+
 def lin11_node_graph(spark: SparkSession, d: str) -> DataFrame:
     """Jobs and data sets before and after the suppliers in debt."""
     return graph.lineage_graph(bindings.job_io(spark, d), bindings.suppliers_in_debt(spark, d))
@@ -124,6 +149,11 @@ def lin12_column_sources(spark: SparkSession, d: str) -> DataFrame:
     return graph.column_sources(bindings.column_edges(spark, d))
 
 
+def lin12_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The columns on the way from every mart column to its raw columns."""
+    return graph.column_paths(bindings.column_edges(spark, d))
+
+
 def lin13_dataset_form(spark: SparkSession, d: str) -> DataFrame:
     """What every output column takes from a data set, as one text per row."""
     form = edges.to_dataset_form(bindings.line_edges(spark, d))
@@ -200,11 +230,11 @@ def lin23_without_views(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        lin1_datasets, lin2_jobs, lin3_schema_history, lin4_schema_diff, lin4_renames, lin5_runs, lin6_versions,
+        lin1_datasets, lin2_jobs, lin3_schema_history, lin4_schema_diff, lin4_renames, lin4_renames_by_content, lin3_schema_of_run, lin5_runs, lin6_versions,
         lin6_version_runs, lin7_run_states, lin7_failed, lin7_stream, lin8_direct_edges, lin8_subtypes,
         lin9_indirect_edges, lin10_fan_in, lin11_upstream, lin11_upstream_of_marts, lin11_downstream,
-        lin11_downstream_to_the_end,
-        lin8_current_edges, lin11_node_graph, lin12_column_sources, lin13_dataset_form, lin13_round_trip, lin14_job_io, lin15_freshness, lin16_normalise,
+        lin11_downstream_to_the_end, lin11_cycles, lin11_levels, lin11_rerun_order,
+        lin8_current_edges, lin11_node_graph, lin12_column_sources, lin12_paths, lin13_dataset_form, lin13_round_trip, lin14_job_io, lin15_freshness, lin16_normalise,
         lin17_accepted, lin17_reasons, lin18_collisions, lin19_job_parts, lin20_identity, lin21_placeholders,
         lin22_shared_application, lin23_without_views,
     )

@@ -66,6 +66,8 @@ LINE_NUMBER = "l_orderkey * 8 + l_linenumber"
 POINT_MODULUS = 1_000_000_007
 POINT_X = 754_877_669
 POINT_Y = 569_840_296
+MIX_MODULUS = 2_147_483_647
+MIX_FACTORS = (1_597_334_677, 747_796_405, 1_181_783_497)
 
 ENRICHED = """SELECT id, name || ' <' || email || '>' AS contact, upper(name) AS name_upper,
   string_split(email, '@')[2] AS email_domain, lower(country) AS country_lower, CAST(id AS VARCHAR) AS id_str
@@ -80,6 +82,10 @@ WAREHOUSE = {
     "src1_range": f"WITH {SALES.format('o_orderkey', 'orders')} SELECT id, region, amount FROM sales",
     "src2_parquet": "SELECT * FROM orders",
     "src3_merged": f"{RAW}, {DRIFT} {MERGED}",
+    "src3_widened": """SELECT o_orderkey AS order_id,
+          CASE o_orderkey % 4 WHEN 2 THEN o_totalprice WHEN 3 THEN 0 ELSE floor(o_totalprice) END AS amount,
+          CASE o_orderkey % 4 WHEN 3 THEN 'c' ELSE '' END || o_custkey AS code
+        FROM orders""",
     "src4_table": f"{RAW} SELECT id, name, email, country FROM raw_customers",
     "src5_csv": "SELECT CAST(c_custkey AS INT) AS id, c_name AS name FROM customer",
     "src5_external": "SELECT CAST(c_custkey AS INT) AS id, c_name AS name FROM customer",
@@ -101,6 +107,8 @@ WAREHOUSE = {
     "snk6_ddl": "SELECT 'stage_one' AS table_name, count(*) AS cnt FROM customer",
     "snk7_filecount": "SELECT CAST(8 AS BIGINT) AS files, count(*) AS row_count FROM orders",
     "snk8_clean_rerun": f"{RAW}, {DRIFT} {MERGED}",
+    "snk8_partition_rerun": """SELECT o_orderkey, o_totalprice + CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS o_totalprice,
+        o_orderstatus FROM orders""",
     "prj1_subset": f"{RAW} SELECT id, name, country FROM raw_customers",
     "prj2_rename": f"{RAW} SELECT id, name AS full_name, country FROM raw_customers",
     "prj3_concat": f"{RAW} SELECT id, name || ' <' || email || '>' AS contact FROM raw_customers",
@@ -134,6 +142,16 @@ WAREHOUSE = {
     "agg3_distinct": f"""SELECT o_orderpriority, count(*) AS orders_count, count(DISTINCT o_custkey) AS unique_customers,
         {MONEY.format('o_totalprice')} AS revenue, {MONEY.format('o_totalprice')} / count(o_totalprice) AS avg_check
         FROM orders GROUP BY o_orderpriority""",
+    "agg3_by_batches": f"""{RAW}, {JOINED} SELECT country, count(*) AS orders_count, count(DISTINCT customer_id) AS unique_customers,
+        {AMOUNT} AS revenue, {AMOUNT} / count(amount) AS avg_check, min(order_ts) AS first_order_ts, max(order_ts) AS last_order_ts
+        FROM joined GROUP BY country""",
+    "scl14_random": f"""WITH a AS (SELECT o_orderkey, (o_orderkey % {MIX_MODULUS} * {MIX_FACTORS[0]} % {MIX_MODULUS}
+            + o_orderkey // {MIX_MODULUS} % {MIX_MODULUS} * {MIX_FACTORS[1]} % {MIX_MODULUS}
+            + CAST(42 AS BIGINT) * {MIX_FACTORS[2]} % {MIX_MODULUS}) % {MIX_MODULUS} AS x FROM orders),
+        b AS (SELECT o_orderkey, xor(x, x >> 15) * {MIX_FACTORS[0]} % {MIX_MODULUS} AS x FROM a),
+        c AS (SELECT o_orderkey, xor(x, x >> 13) * {MIX_FACTORS[1]} % {MIX_MODULUS} AS x FROM b),
+        d AS (SELECT o_orderkey, xor(x, x >> 16) * {MIX_FACTORS[2]} % {MIX_MODULUS} AS x FROM c)
+        SELECT o_orderkey, CAST(x AS DOUBLE) / {MIX_MODULUS} AS drawn FROM d""",
     "agg4_null_share": f"""{RAW}, {WIDE} SELECT CAST(round(
         100.0 * sum(CASE WHEN product_category IS NULL THEN 1 ELSE 0 END) / count(*), 1) AS DOUBLE) AS null_pct FROM wide""",
     "agg5_null_profile": f"{RAW}, {DRIFT} {PROFILE}",
@@ -211,6 +229,21 @@ PART_EDGES = """WITH RECURSIVE links AS (
   UNION SELECT p_partkey, p_partkey // 3, p_size % 3 FROM part WHERE p_partkey <> p_partkey // 3)"""
 
 
+LOOPED_EDGES = """WITH RECURSIVE links AS (
+  SELECT p_partkey AS o, p_partkey // 2 AS i FROM part WHERE p_partkey <> p_partkey // 2
+  UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey <> p_partkey // 3
+  UNION SELECT p_partkey // 2, p_partkey FROM part WHERE p_size = 10 AND p_partkey > 1),
+reach AS (SELECT o AS a, i AS b FROM links UNION SELECT r.a, l.i FROM reach r JOIN links l ON l.o = r.b),
+cycles AS (
+  SELECT x.a AS node, least('part_' || x.a, min('part_' || x.b)) AS cycle
+  FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a)"""
+#: Longest ways in a graph `steps` (o reads i).
+LEVELS = """depths AS (
+  SELECT i AS node, 0 AS level FROM steps WHERE i NOT IN (SELECT o FROM steps)
+  UNION SELECT s.o, d.level + 1 FROM depths d JOIN steps s ON s.i = d.node),
+levels AS (SELECT node, CAST(max(level) AS INT) AS level FROM depths GROUP BY node)"""
+
+
 VIEWS = "{} IN (SELECT p_partkey FROM part WHERE p_type IN ('ECONOMY', 'PROMO'))"
 
 
@@ -259,6 +292,21 @@ LINEAGE = {
                min(field) FILTER (change = 'added') AS new_field
         FROM sourced GROUP BY namespace, name, version, source
         HAVING count(*) FILTER (change = 'dropped') = 1 AND count(*) FILTER (change = 'added') = 1""",
+    "lin4_renames_by_content": f"""{RAW}, overlap AS (
+          SELECT field, count(DISTINCT value) FILTER (value IN (SELECT name FROM raw_customers)) AS shared,
+            count(DISTINCT value) + (SELECT count(DISTINCT name) FROM raw_customers) AS summed
+          FROM (SELECT 'name' AS field, name AS value FROM raw_customers
+                UNION ALL SELECT 'email', email FROM raw_customers) GROUP BY field)
+        SELECT CAST(3 AS INT) AS version, field AS old_field, 'full_name' AS new_field FROM overlap
+        WHERE shared >= 0.5 * (summed - shared) AND shared > 0
+        QUALIFY row_number() OVER (ORDER BY shared / (summed - shared) DESC, field) = 1""",
+    "lin3_schema_of_run": """WITH changes AS (
+          SELECT l_suppkey AS key, l_linenumber AS version, min(l_shipdate) AS since FROM lineitem
+          WHERE l_returnflag = 'R' GROUP BY l_suppkey, l_linenumber),
+        last AS (SELECT key, since, max(version) AS version FROM changes GROUP BY key, since)
+        SELECT l_orderkey * 8 + l_linenumber AS run_id, 'warehouse' AS namespace, 'supplier_' || l_suppkey AS name,
+          l_shipdate AS started_at, version
+        FROM lineitem ASOF LEFT JOIN last ON l_suppkey = key AND l_shipdate >= since""",
     "lin5_runs": f"{RUN_EVENTS} SELECT job, count(DISTINCT run_id) AS runs FROM run_events GROUP BY job",
     "lin6_versions": f"""{RUN_EVENTS}, counted AS (
           SELECT job, count(DISTINCT version) AS versions, count(DISTINCT run_id) AS runs FROM run_events GROUP BY job)
@@ -302,6 +350,20 @@ LINEAGE = {
         SELECT 'part_' || a AS dataset, 'part_' || b AS downstream, hops FROM reached""",
     "lin11_downstream_to_the_end": f"""{PART_EDGES}, {_reached(VIEWS.format('i'), 'i', 'o')}
         SELECT 'part_' || a AS dataset, 'part_' || b AS downstream, hops FROM reached""",
+    "lin11_cycles": f"{LOOPED_EDGES} SELECT 'part_' || node AS dataset, cycle FROM cycles",
+    "lin11_levels": f"""{LOOPED_EDGES},
+        nodes AS (SELECT o AS n FROM links UNION SELECT i FROM links),
+        whole AS (SELECT n, coalesce(cycle, 'part_' || n) AS name FROM nodes LEFT JOIN cycles ON node = n),
+        steps AS (
+          SELECT DISTINCT x.name AS o, y.name AS i FROM links JOIN whole x ON x.n = o JOIN whole y ON y.n = i
+          WHERE x.name <> y.name),
+        {LEVELS}
+        SELECT 'part_' || n AS dataset, level FROM whole JOIN levels ON node = name""",
+    "lin11_rerun_order": f"""{PART_EDGES}, steps AS (SELECT DISTINCT o, i FROM links), {LEVELS},
+        again AS (
+          SELECT p_partkey AS n FROM part WHERE p_type IN ('ECONOMY', 'PROMO')
+          UNION SELECT o FROM again JOIN steps ON i = n)
+        SELECT 'part_' || n AS dataset, level FROM again JOIN levels ON node = n""",
     "lin12_column_sources": f"""{PART_EDGES}, walk AS (
           SELECT o AS a, i AS b, strength, 1 AS hops FROM links WHERE o NOT IN (SELECT i FROM links)
           UNION
@@ -311,6 +373,29 @@ LINEAGE = {
           list_extract(['IDENTITY', 'TRANSFORMATION', 'AGGREGATION'], CAST(strength + 1 AS INT)) AS subtype,
           CAST(min(hops) AS INT) AS hops
         FROM walk WHERE b NOT IN (SELECT o FROM links) GROUP BY a, b, strength""",
+    "lin12_paths": f"""{PART_EDGES}, walk AS (
+          SELECT o AS a, i AS b, strength AS s, 1 AS hops FROM links WHERE o NOT IN (SELECT i FROM links)
+          UNION
+          SELECT w.a, l.i, greatest(w.s, l.strength), w.hops + 1 FROM walk w JOIN links l ON l.o = w.b),
+        states AS (SELECT a, b, s, min(hops) AS hops FROM walk GROUP BY a, b, s),
+        before AS (
+          SELECT x.a, x.b, x.s, p.b AS pb, p.s AS ps FROM states x
+          JOIN states p ON p.a = x.a AND p.hops = x.hops - 1
+          JOIN links l ON l.o = p.b AND l.i = x.b AND greatest(p.s, l.strength) = x.s
+          QUALIFY row_number() OVER (
+            PARTITION BY x.a, x.b, x.s ORDER BY 'table_' || (p.b // 10), 'c' || (p.b % 10), p.s) = 1),
+        back AS (
+          SELECT a, b AS raw, s AS kind, hops AS position, b AS at_b, s AS at_s FROM states WHERE b NOT IN (SELECT o FROM links)
+          UNION ALL
+          SELECT k.a, k.raw, k.kind, k.position - 1, pb, ps FROM back k
+          JOIN before f ON f.a = k.a AND f.b = k.at_b AND f.s = k.at_s),
+        places AS (SELECT a, raw, kind, position, at_b FROM back
+          UNION ALL SELECT a, b, s, 0, a FROM states WHERE b NOT IN (SELECT o FROM links))
+        SELECT 'table_' || (a // 10) AS out_dataset, 'c' || (a % 10) AS out_column, 'table_' || (raw // 10) AS in_dataset,
+          'c' || (raw % 10) AS in_column,
+          list_extract(['IDENTITY', 'TRANSFORMATION', 'AGGREGATION'], CAST(kind + 1 AS INT)) AS subtype,
+          CAST(position AS INT) AS position, 'table_' || (at_b // 10) AS dataset, 'c' || (at_b % 10) AS "column"
+        FROM places""",
     "lin13_dataset_form": f"""{LINE_EDGES} SELECT out_dataset, in_dataset, out_column, count(*) AS edges,
           string_agg(pair, ';' ORDER BY pair) AS pairs
         FROM (SELECT DISTINCT out_dataset, in_dataset, out_column, concat_ws('>', in_column, type, subtype) AS pair FROM edges)

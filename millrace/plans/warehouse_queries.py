@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import contact, email_domain, label, moment, money, pick, seconds_after, total
-from millrace.operators import measures
+from millrace.functions.columns import contact, email_domain, label, moment, money, pick, seconds_after, total, uniform
+from millrace.operators import marts, measures
 from millrace.operators import orders as order_ops
 from millrace.plans import bindings, flows, staging
-from millrace.sinks.writers import drop_tables, recreate_database, replace_table, write_files
+from millrace.sinks.writers import drop_tables, recreate_database, replace_table, rewrite_partitions, write_files
 from millrace.sources import generated
 from millrace.sources.tables import data_files, read_delimited, read_lines, read_merged, rows_per_file, table
+from millrace.sources.widened import read_widened
 from millrace.workspace import fresh_database, fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,14 @@ def src3_merged(spark: SparkSession, d: str) -> DataFrame:
     return read_merged(spark, path, *flows.EVENT_COLUMNS, schema=schema)
 
 
+def src3_widened(spark: SparkSession, d: str) -> DataFrame:
+    """Batches whose columns changed their types, appended to one path and read as one table."""
+    path = fresh_path(spark, "retyped")
+    for batch in bindings.retyped_batches(spark, d):
+        batch.write.mode("append").parquet(path)
+    return read_widened(spark, path, "order_id", "amount", "code")
+
+
 def src4_table(spark: SparkSession, d: str) -> DataFrame:
     name = f"{fresh_database(spark, 'src4')}.raw_customers"
     bindings.customers(spark, d).write.saveAsTable(name)
@@ -183,6 +192,17 @@ def snk8_clean_rerun(spark: SparkSession, d: str) -> DataFrame:
     return flows.append_batches(batches, path)
 
 
+def snk8_partition_rerun(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by status; a rerun of one status replaces its rows, and the others stay as they are."""
+    path = fresh_path(spark, "slices")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    rewrite_partitions(orders, path, "o_orderstatus")
+    again = orders.where(F.col("o_orderstatus") == "F").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    for _ in range(2):
+        rewrite_partitions(again, path, "o_orderstatus")
+    return spark.read.schema(orders.schema).parquet(path).select(*orders.columns)
+
+
 # Projections
 
 
@@ -340,6 +360,16 @@ def agg3_distinct(spark: SparkSession, d: str) -> DataFrame:
     return measures.order_metrics_by(orders, "o_orderpriority")
 
 
+def agg3_by_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The country mart after three batches of orders, each merged with what is kept."""
+    second, third = bindings.batch_bounds(spark, d)
+    orders = order_ops.with_customer(bindings.exact_orders(spark, d), bindings.customers(spark, d))
+    key, kept = F.col("order_id"), None
+    for batch in (key < second, key.between(second, third - 1), key >= third):
+        kept = marts.merged_mart(orders.where(batch), "country", kept)
+    return marts.mart(kept, "country")
+
+
 def agg4_null_share(spark: SparkSession, d: str) -> DataFrame:
     return measures.null_share(_enriched(spark, d), "product_category", "null_pct")
 
@@ -362,6 +392,11 @@ def agg8_wordcount(spark: SparkSession, d: str) -> DataFrame:
     return measures.word_counts(table(spark, d, "documents"), "text")
 
 
+def scl14_random(spark: SparkSession, d: str) -> DataFrame:
+    """A drawn number for every order, the same however the orders are split."""
+    return table(spark, d, "orders").select("o_orderkey", uniform(F.col("o_orderkey"), 42).alias("drawn"))
+
+
 def agg9_pi_lattice(spark: SparkSession, d: str) -> DataFrame:
     """One point per order line, by its key."""
     return measures.circle_share(_line_numbers(spark, d))
@@ -441,14 +476,14 @@ def pip6_staging(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        src1_range, src2_parquet, src3_merged, src4_table, src5_csv, src5_external, src6_text, src7_slices,
+        src1_range, src2_parquet, src3_merged, src3_widened, src4_table, src5_csv, src5_external, src6_text, src7_slices,
         src8_values, src9_files,
         snk1_overwrite, snk2_append, snk3_ctas, snk4_replace_schema, snk4_replace_itself, snk5_insert, snk6_ddl,
-        snk7_filecount, snk8_clean_rerun,
+        snk7_filecount, snk8_clean_rerun, snk8_partition_rerun,
         prj1_subset, prj2_rename, prj3_concat, prj4_functions, prj5_ratio, prj6_default, prj7_computed, prj8_position,
         flt1_lt, flt2_between, flt3_ge, flt4_null, flt5_contains, flt6_like, flt7_since, flt8_states,
         jn1_inner, jn2_modulo_left, jn3_three_way, jn4_left_agg, jn5_join_group,
-        agg1_sum_count, agg2_metrics, agg3_distinct, agg4_null_share, agg5_null_profile, agg6_row_count, agg7_reduce,
+        agg1_sum_count, agg2_metrics, agg3_distinct, agg3_by_batches, scl14_random, agg4_null_share, agg5_null_profile, agg6_row_count, agg7_reduce,
         agg8_wordcount, agg9_pi_lattice,
         top1_topk, top2_sorted, set1_union_by_name,
         pip1_generate_aggregate, pip2_chain, pip2_chain_views, pip3_rerun, pip4_versions, pip5_drift, pip6_staging,

@@ -12,6 +12,16 @@ def write_files(df: DataFrame, path: str, files: int | None = None, mode: str =
     (df if files is None else df.repartition(files)).write.mode(mode).parquet(path)
 
 
+def rewrite_partitions(df: DataFrame, path: str, *partitions: str) -> None:
+    """Replace exactly the partitions that ``df`` has rows of; the files of the others stay as they are.
+
+    The new files are written beside the old ones and take their place at the end, so ``df`` may read
+    the partitions that it replaces, and a rerun of one slice leaves what one run of it leaves. A slice
+    that has become empty has no row and keeps its old files.
+    """
+    df.write.option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).mode("overwrite").parquet(path)
+
+
 def replace_table(df: DataFrame, name: str) -> None:
     """Create or replace a table with the rows and the schema of ``df``.
 

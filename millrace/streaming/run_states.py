@@ -1,92 +1,66 @@
 """Run states kept up to date from a growing directory of run events.
 
-Each micro-batch is folded to one row per run and written as one partition of a log. The fold
-is the one the batch job uses and does not care about order, so the stream needs no state store
-and no watermark: an event that arrives late is merged when the log is read, never dropped. A
-batch that is replayed after a failure overwrites its own partition.
-
-The log is compacted now and then: closed batches are merged into one generation beside it, and
-readers merge that with the batches after it. A generation counts once it is entered in the list of
-generations, so a compaction that fails half-way leaves nothing that is read.
+Spark's state store holds the fold of every run: a streaming aggregation in update mode gives, for
+the runs that a micro-batch touches, their whole state so far. These rows replace the older ones in a
+table of run states, which is cut by a hash of the run into partitions; only touched partitions are
+written again. A micro-batch that is replayed after a failure gives the same rows and so the same table.
+
+An event that arrives late changes its run like any other, and an event delivered again is known by its
+id; for that no state is ever given up. The state store is on the workers' disks (RocksDB) if the session
+says so; state and table grow with the runs and event ids, not with the number of micro-batches.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.operators.lineage.runs import fold_events, merge_folds, run_states
+from millrace.operators.lineage.runs import different_events, fold_events, run_states
+from millrace.sinks.writers import rewrite_partitions
+from millrace.workspace import materialise
 
-GENERATION = "upto bigint, path string"
+#: Partitions of the table of run states.
+PARTITIONS = 64
 
 
-def follow_run_events(run_events: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
-    """Start folding a stream of run events into ``log``; stops when all present files are read."""
+def _empty_folds(spark: SparkSession, run_events: DataFrame) -> DataFrame:
+    return fold_events(spark.createDataFrame([], run_events.schema)).withColumn("part", F.lit(0))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        fold_events(batch).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
-    # An empty list of generations, unless there is one.
-    run_events.sparkSession.createDataFrame([], GENERATION).write.mode("ignore").parquet(f"{log}-generations")
+def follow_run_events(run_events: DataFrame, states: str, checkpoint: str, partitions: int = PARTITIONS) -> StreamingQuery:
+    """Start keeping the folds of a stream of run events in the table ``states``; stops when all present files are read."""
+    spark = run_events.sparkSession
+    schema = _empty_folds(spark, run_events).schema
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        part = F.pmod(F.xxhash64("run_id"), F.lit(partitions)).cast("int")
+        touched, rows = materialise(batch.withColumn("part", part), "touched")
+        if rows:
+            before = spark.read.schema(schema).parquet(states)
+            others = before.join(touched.select("part").distinct(), "part", "left_semi").join(
+                touched.select("run_id"), "run_id", "left_anti"
+            )
+            rewrite_partitions(touched.unionByName(others).repartition("part"), states, "part")
+
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("part").parquet(states)
     return (
-        run_events.writeStream.foreachBatch(write)
+        fold_events(different_events(run_events))
+        .writeStream.outputMode("update")
+        .foreachBatch(replace)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def newest_generation(spark: SparkSession, log: str) -> tuple[int, str] | None:
-    """Last batch and path of the newest generation of a log, if it was ever compacted."""
-    try:
-        entered = spark.read.schema(GENERATION).parquet(f"{log}-generations")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None  # a log that nothing has followed yet
-    newest = entered.agg(F.max(F.struct("upto", "path")).alias("newest")).first().newest
-    return None if newest is None else (newest.upto, newest.path)
-
-
-def folds(spark: SparkSession, log: str) -> DataFrame:
-    """The newest generation and the batches after it."""
-    batches, newest = spark.read.parquet(log), newest_generation(spark, log)
-    if newest is None:
-        return batches.drop("batch")
-    upto, path = newest
-    return spark.read.parquet(path).unionByName(batches.where(F.col("batch") > upto).drop("batch"))
-
-
-def compact(spark: SparkSession, log: str, upto: int | None = None) -> int | None:
-    """Merge the batches up to ``upto`` into one generation; its last batch, or None if there was nothing to do.
-
-    By default all batches but the last, which a running stream may still write. The batches up to
-    the returned one are not read any more and may be removed.
-    """
-    batches, newest = spark.read.parquet(log), newest_generation(spark, log)
-    if upto is None:
-        last = batches.agg(F.max("batch")).first()[0]
-        upto = None if last is None else batches.where(F.col("batch") < last).agg(F.max("batch")).first()[0]
-    if upto is None or (newest is not None and newest[0] >= upto):
-        return None
-    closed = batches.where(F.col("batch") <= upto)
-    if newest is not None:
-        closed = closed.where(F.col("batch") > newest[0]).drop("batch").unionByName(spark.read.parquet(newest[1]))
-    path = f"{log}-folded/{uuid.uuid4().hex}"
-    merge_folds(closed).write.parquet(path)
-    entry = spark.range(1).select(F.lit(upto).cast("bigint").alias("upto"), F.lit(path).alias("path"))
-    entry.coalesce(1).write.mode("append").parquet(f"{log}-generations")
-    return upto
-
-
-def current_run_states(spark: SparkSession, log: str) -> DataFrame:
-    """State of every run according to all batches written so far."""
-    return run_states(merge_folds(folds(spark, log)))
+def current_run_states(spark: SparkSession, states: str, run_events_schema: T.StructType) -> DataFrame:
+    """State of every run according to all events followed so far."""
+    empty = spark.createDataFrame([], run_events_schema)
+    return run_states(spark.read.schema(_empty_folds(spark, empty).schema).parquet(states))
 
 
 def stream_of(
