@@ -9,7 +9,7 @@ value that falls into each; an empty bin copies a filled one that a hash of its
 Every member of a bucket is joined to the smallest one, a star, so a bucket of n makes n - 1 candidate
 edges. A star can miss a link between two of its rays; so what is checked are the components of the
 candidate edges, not the edges: one task compares the full sets of a component, by one centre against all
-that follow in order of size, and returns a forest of the links. A component of more than ``cap`` sets or
+that follow in order of size, and returns stars that join what is linked. A component of more than ``cap`` sets or
 ``TOKENS`` shingles is checked bucket by bucket, and a bucket above these bounds in pairs of blocks. So
 every two texts that share a bucket are compared on their full sets, at any size, and no group of pairs
 is ever written.
@@ -33,7 +33,7 @@ from millrace.workspace import materialise
 BANDS, ROWS = 64, 8
 BINS = BANDS * ROWS
 #: Sets and shingles that one task compares.
-CAP, TOKENS = 512, 1 << 22
+CAP, TOKENS = 1 << 13, 1 << 22
 
 _BIN_SHIFT = np.uint64(64 - (BINS - 1).bit_length())
 _ODD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -129,9 +129,10 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def forest(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join exactly what the pairs of unequal sides (of any, if there is one side) join.
+    """Stars that join exactly what the pairs of unequal sides (of any, if there is one side) join.
 
-    A pair is linked if ``100 * intersection >= percent * union``.
+    A pair is linked if ``100 * intersection >= percent * union``. Every set that is linked at all, but for the
+    one of the smallest node it is joined with, gives one row: that node, and its own.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable")
@@ -141,7 +142,6 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
     mark = np.zeros(int(local.max()) + 1, np.int32)
     root = np.arange(len(sets))
     two = (side != side[0]).any()
-    found = []
     for k in range(len(sets) - 1):
         # Sets that follow are no smaller, and too large ones cannot be similar enough.
         end = int(np.searchsorted(sizes * percent, 100 * sizes[k], side="right"))
@@ -158,8 +158,10 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
         for other in np.flatnonzero(near & rest) + k + 1:
             if root[other] != root[k]:
                 root[root == root[other]] = root[k]
-                found.append((int(nodes[k]), int(nodes[other])))
-    return found
+    least = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, nodes)
+    centres = least[root]
+    return [(int(c), int(n)) for c, n in zip(centres, nodes, strict=True) if c != n]
 
 
 def _confirmed(percent: int):
