@@ -3,6 +3,11 @@
 The quality classifier and the quality rules drop documents, SimHash keeps one of each group of near
 copies, mixing takes sources to their target weights (a document may come up to three times), and
 encoding turns each text into piece ids.
+
+Each stage takes documents as they are read from files, with further columns if there are any, and passes
+its columns on. No stage writes a text but in what it returns: rows are told apart by their place in their file.
+Null texts, sources, languages and ids, repeated rows, ties and texts of any length are dealt with as the
+operators state; an empty table stays one through all stages.
 """
 
 from __future__ import annotations
@@ -29,12 +34,12 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id."""
-    return simhash.without_copies(docs)
+    return simhash.without_copies(docs, scan=True)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.mixed_rows(docs, size=mixing.word_count("text"))
+    return mixing.mixed_rows(docs, size=mixing.word_count("text"), scan=True)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,11 +37,16 @@ def renames_by_content(before: DataFrame, after: DataFrame, least: float = 0.5,
     new = [name for name in after.columns if name not in before.columns]
     if not gone or not new:
         return before.sparkSession.createDataFrame([], "old_field STRING, new_field STRING")
-    old = column_sketches(before, gone, log_hashes).agg(F.collect_list(F.struct("field", "sketch")).alias("old"))
-    now = column_sketches(after, new, log_hashes).agg(F.collect_list(F.struct("field", "sketch")).alias("now"))
-    # One row each, a struct for every column: what is paired is bounded by the schemas.
+    old = column_sketches(before, gone, log_hashes).withColumn("went", F.lit(True))
+    now = column_sketches(after, new, log_hashes).withColumn("went", F.lit(False))
+    column = F.struct("field", "sketch")
+    # One row with a struct for every column: what is paired is bounded by the schemas.
     pairs = (
-        old.join(now, F.lit(True))
+        old.unionByName(now)
+        .agg(
+            F.collect_list(F.when(F.col("went"), column)).alias("old"),
+            F.collect_list(F.when(~F.col("went"), column)).alias("now"),
+        )
         .select(F.explode("old").alias("o"), "now")
         .select("o", F.explode("now").alias("n"))
         .select(

@@ -2,7 +2,8 @@
 
 The driver only counts rounds. Every round is one distributed join whose new rows become one
 partition of a table in the shared folder, so plans do not grow and a lost executor costs the
-current round at most. State is one row per (start, node) or (start, node, subtype), never one
+current round at most. The table is dealt by the state of a row, so a round shuffles what it reaches and
+never what was found before. State is one row per (start, node) or (start, node, subtype), never one
 row per path: diamonds do not multiply rows, and cycles end.
 
 Both sides of every join on a node are scans of such tables, so a node with a third of all edges
@@ -13,62 +14,78 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.sources.facts import DIRECT, DIRECT_SUBTYPES
-from millrace.workspace import fresh_path, materialise, write_counted
+from millrace.workspace import fresh_database, materialise
+
+
+#: Edges of a graph for each bucket of the rows found in it.
+BUCKET_EDGES = 50_000
 
 
 class _Rounds:
-    """A table of rows found so far, one partition per round."""
+    """Rows found so far: a table with one partition per round, dealt by the ``state`` columns.
+
+    The table is bucketed by the state, so what was found before is joined with what a round reaches where
+    it lies: only the new rows are shuffled. ``edges`` is the number of edges of the graph, from which the
+    number of buckets follows.
+    """
 
-    def __init__(self, first: DataFrame, label: str):
+    def __init__(self, first: DataFrame, label: str, edges: int, state: Sequence[str] | None = None):
         self._spark = first.sparkSession
-        self._path = fresh_path(self._spark, label)
-        self._schema = T.StructType([*first.schema, T.StructField("round", T.IntegerType())])
+        self._state = list(state or first.columns)
+        self._buckets = min(int(self._spark.conf.get("spark.sql.shuffle.partitions")), edges // BUCKET_EDGES + 1)
+        self._table = f"{fresh_database(self._spark, label)}.found"
+        self._columns = first.columns
         self.number = 0
         self.add(first)
 
     def add(self, rows: DataFrame) -> None:
         self.number += 1
-        self.newest_rows = write_counted(rows, f"{self._path}/round={self.number}")
+        seen = Observation()
+        writer = (
+            rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+            .withColumn("round", F.lit(self.number))
+            .write.partitionBy("round")
+            .bucketBy(self._buckets, *self._state)
+        )
+        writer.mode("append").saveAsTable(self._table)
+        self.newest_rows = seen.get["rows"]
+
+    def add_new(self, reached: DataFrame, *measures: Column) -> None:
+        """Add the different rows of ``reached`` whose state was not found before, with measures over them."""
+        self.add(_not_in(reached, self.all(), self._state, *measures))
 
     def all(self) -> DataFrame:
-        return self._spark.read.schema(self._schema).parquet(self._path)
+        return self._spark.table(self._table)
 
     def newest(self) -> DataFrame:
         return self.of(self.number)
 
     def of(self, number: int) -> DataFrame:
         """What one round has found."""
-        schema = T.StructType(self._schema.fields[:-1])
-        return self._spark.read.schema(schema).parquet(f"{self._path}/round={number}")
+        return self.all().where(F.col("round") == number).select(*self._columns)
 
 
 def _not_in(reached: DataFrame, found: DataFrame, state: Sequence[str], *measures: Column) -> DataFrame:
-    """Different rows of ``reached`` whose state is not in ``found``, with measures over them.
-
-    Both are grouped together by the state, which is one shuffle without a sort and removes
-    repeated rows on the way.
-    """
-    both = reached.withColumn("known", F.lit(0)).unionByName(
-        found.select(*state).withColumn("known", F.lit(1)), allowMissingColumns=True
-    )
-    grouped = both.groupBy(*state).agg(F.max("known").alias("known"), *measures)
-    return grouped.where(F.col("known") == 0).drop("known")
+    """Different rows of ``reached`` whose state is not in ``found``, with measures over them."""
+    different = reached.groupBy(*state).agg(*measures) if measures else reached.select(*state).distinct()
+    return different.join(found.select(*state), list(state), "left_anti")
 
 
-def _walk(first: DataFrame, advance: Callable[[DataFrame], DataFrame], depth: int | None = None) -> DataFrame:
+def _walk(
+    first: DataFrame, advance: Callable[[DataFrame], DataFrame], edges: int, depth: int | None = None
+) -> DataFrame:
     """Breadth first: what one hop reaches, then only what every further hop reaches anew.
 
     Ends when a round finds nothing new; only a given ``depth`` ends it before. Adds ``hops``.
     """
     state = first.columns
-    found = _Rounds(first.distinct(), "hops")
+    found = _Rounds(first.distinct(), "hops", edges)
     while found.newest_rows and (depth is None or found.number < depth):
-        found.add(_not_in(advance(found.newest()).select(*state), found.all(), state))
+        found.add_new(advance(found.newest()).select(*state))
     return found.all().withColumnRenamed("round", "hops")
 
 
@@ -78,7 +95,8 @@ def _all_pairs(links: DataFrame, depth: int | None = None) -> DataFrame:
     A shortest path longer than ``span`` passes a node that is exactly ``span`` hops from its
     start, so only pairs of exactly that length are extended.
     """
-    found, span = _Rounds(links.distinct().withColumn("hops", F.lit(1)), "pairs"), 1
+    links, edges = materialise(links.distinct(), "links")
+    found, span = _Rounds(links.withColumn("hops", F.lit(1)), "pairs", edges, ("start", "node")), 1
     while found.newest_rows and (depth is None or span < depth):
         reach = span if depth is None else min(span, depth - span)
         known = found.all().drop("round")
@@ -89,7 +107,7 @@ def _all_pairs(links: DataFrame, depth: int | None = None) -> DataFrame:
             .where(F.col("l.start") != F.col("r.node"))
             .select("l.start", "r.node", (F.col("l.hops") + F.col("r.hops")).alias("hops"))
         )
-        found.add(_not_in(longer, known, ("start", "node"), F.min("hops").alias("hops")))
+        found.add_new(longer, F.min("hops").alias("hops"))
         span += reach
     return found.all().drop("round")
 
@@ -107,7 +125,7 @@ def upstream(dataset_edges: DataFrame, depth: int | None = None, starts: DataFra
     if starts is None:
         pairs = _all_pairs(links, depth)
     else:
-        edges, _ = materialise(links.distinct(), "edges")
+        edges, many = materialise(links.distinct(), "edges")
         step = edges.select(F.col("start").alias("node"), F.col("node").alias("next"))
 
         def advance(frontier: DataFrame) -> DataFrame:
@@ -115,7 +133,7 @@ def upstream(dataset_edges: DataFrame, depth: int | None = None, starts: DataFra
             return onward.select("start", F.col("next").alias("node"))
 
         wanted, _ = materialise(starts.select(F.col("dataset").alias("start")).distinct(), "starts")
-        pairs = _walk(edges.join(wanted, "start"), advance, depth)
+        pairs = _walk(edges.join(wanted, "start"), advance, many, depth)
     return pairs.select(F.col("start").alias("dataset"), F.col("node").alias("upstream"), "hops")
 
 
@@ -134,7 +152,7 @@ def _renamed(df: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame
 
 
 def _walk_columns(
-    edges: DataFrame, starts: DataFrame, near: Sequence[str], far: Sequence[str], depth: int | None
+    edges: DataFrame, many: int, starts: DataFrame, near: Sequence[str], far: Sequence[str], depth: int | None
 ) -> DataFrame:
     """Follow edges from their ``near`` end at ``starts`` to the ``far`` end, keeping the strongest subtype."""
     step = edges.select(
@@ -150,19 +168,18 @@ def _walk_columns(
             F.greatest("strength", "next_strength").alias("strength"),
         )
 
-    return _walk(edges.join(starts, list(near)).select(*near, *far, "strength"), advance, depth)
+    return _walk(edges.join(starts, list(near)).select(*near, *far, "strength"), advance, many, depth)
 
 
-def _direct_edges(column_edges: DataFrame) -> DataFrame:
-    """Different direct edges with the ``strength`` of their subtype, written down."""
+def _direct_edges(column_edges: DataFrame) -> tuple[DataFrame, int]:
+    """Different direct edges with the ``strength`` of their subtype, written down, and how many they are."""
     strength = F.array_position(F.array(*[F.lit(kind) for kind in DIRECT_SUBTYPES]), F.col("subtype")).cast("int")
-    edges, _ = materialise(
+    return materialise(
         column_edges.where((F.col("type") == DIRECT) & F.col("subtype").isin(*DIRECT_SUBTYPES))
         .select(*OUT, *IN, strength.alias("strength"))
         .distinct(),
         "edges",
     )
-    return edges
 
 
 def _ends(edges: DataFrame, starts: DataFrame | None) -> tuple[DataFrame, int, DataFrame, int]:
@@ -187,12 +204,12 @@ def column_sources(column_edges: DataFrame, depth: int | None = None, starts: Da
     shortest path of that subtype. The walk begins at the marts or at the raw columns,
     whichever are fewer, and gives the same answer from either side.
     """
-    edges = _direct_edges(column_edges)
+    edges, many = _direct_edges(column_edges)
     marts, mart_count, raws, raw_count = _ends(edges, starts)
     if mart_count <= raw_count:
-        paths = _walk_columns(edges, marts, OUT, IN, depth).join(raws, list(IN), "left_semi")
+        paths = _walk_columns(edges, many, marts, OUT, IN, depth).join(raws, list(IN), "left_semi")
     else:
-        paths = _walk_columns(edges, raws, IN, OUT, depth).join(marts, list(OUT), "left_semi")
+        paths = _walk_columns(edges, many, raws, IN, OUT, depth).join(marts, list(OUT), "left_semi")
     return paths.select(*OUT, *IN, _subtype("strength").alias("subtype"), "hops")
 
 
@@ -206,7 +223,7 @@ def column_paths(column_edges: DataFrame, starts: DataFrame | None = None) -> Da
     Every state of the walk keeps the smallest state that it was reached from. The paths are then read backward,
     a hop at a time, and each hop meets only the states of its own round.
     """
-    edges = _direct_edges(column_edges)
+    edges, many = _direct_edges(column_edges)
     marts, _, raws, _ = _ends(edges, starts)
     state = [*OUT, *IN, "strength"]
     nobody = F.lit(None).cast("struct<in_dataset: string, in_column: string, strength: int>")
@@ -215,7 +232,7 @@ def column_paths(column_edges: DataFrame, starts: DataFrame | None = None) -> Da
         *[F.col(name).alias(f"next_{name}") for name in IN],
         F.col("strength").alias("next_strength"),
     )
-    found = _Rounds(edges.join(marts, list(OUT)).select(*state).distinct().withColumn("before", nobody), "paths")
+    found = _Rounds(edges.join(marts, list(OUT)).select(*state).distinct().withColumn("before", nobody), "paths", many, state)
     while found.newest_rows:
         reached = found.newest().join(step, list(IN)).select(
             *OUT,
@@ -223,7 +240,7 @@ def column_paths(column_edges: DataFrame, starts: DataFrame | None = None) -> Da
             F.greatest("strength", "next_strength").alias("strength"),
             F.struct(*IN, "strength").alias("before"),
         )
-        found.add(_not_in(reached, found.all(), state, F.min("before").alias("before")))
+        found.add_new(reached, F.min("before").alias("before"))
     ends, rows = materialise(found.all().join(raws, list(IN), "left_semi"), "ends")
     whole = [*OUT, F.struct(*IN, "strength").alias("end")]
     first = ends.select(*whole, F.lit(0).alias("position"), F.col("out_dataset").alias("dataset"), F.col("out_column").alias("column"))
@@ -250,7 +267,7 @@ def without_hidden(dataset_edges: DataFrame, hidden: DataFrame) -> DataFrame:
 
     A visible data set is then fed directly by the nearest visible ones behind the hidden ones.
     """
-    edges, _ = materialise(dataset_edges.select("out_dataset", "in_dataset").distinct(), "edges")
+    edges, many = materialise(dataset_edges.select("out_dataset", "in_dataset").distinct(), "edges")
     gone, _ = materialise(hidden.select(F.col("dataset").alias("out_dataset")).distinct(), "hidden")
     hidden_inputs = _renamed(gone, ["out_dataset"], ["in_dataset"])
     visible = edges.join(gone, "out_dataset", "left_anti")
@@ -266,7 +283,7 @@ def without_hidden(dataset_edges: DataFrame, hidden: DataFrame) -> DataFrame:
         return frontier.join(step, "in_dataset").select("out_dataset", F.col("next").alias("in_dataset"))
 
     behind = _walk(
-        visible.join(hidden_inputs, "in_dataset", "left_semi").select("out_dataset", "in_dataset"), advance
+        visible.join(hidden_inputs, "in_dataset", "left_semi").select("out_dataset", "in_dataset"), advance, many
     ).drop("hops")
     return (
         visible.unionByName(behind)
@@ -283,13 +300,13 @@ def lineage_graph(job_io: DataFrame, starts: DataFrame, depth: int | None = None
     reads or writes it, or from a job to one of its data sets. Versions of a job are one node.
     """
     is_input = F.col("role") == "INPUT"
-    job = F.struct(F.lit("JOB").alias("type"), F.col("job").alias("id"))
-    dataset = F.struct(F.lit("DATASET").alias("type"), F.col("dataset").alias("id"))
+    job = F.concat(F.lit("JOB/"), "job")
+    dataset = F.concat(F.lit("DATASET/"), "dataset")
     forward = job_io.select(
         F.when(is_input, dataset).otherwise(job).alias("node"), F.when(is_input, job).otherwise(dataset).alias("next")
     )
-    forward, _ = materialise(forward.distinct(), "links")
-    wanted, _ = materialise(starts.select(F.struct("type", "id").alias("start")).distinct(), "starts")
+    forward, many = materialise(forward.distinct(), "links")
+    wanted, _ = materialise(starts.select(F.concat("type", F.lit("/"), "id").alias("start")).distinct(), "starts")
 
     def reached(links: DataFrame, direction: str) -> DataFrame:
         def advance(frontier: DataFrame) -> DataFrame:
@@ -297,8 +314,14 @@ def lineage_graph(job_io: DataFrame, starts: DataFrame, depth: int | None = None
             return onward.select("start", F.col("next").alias("node"))
 
         first = links.join(wanted, F.col("node") == F.col("start")).select("start", F.col("next").alias("node"))
-        return _walk(first, advance, depth).withColumn("direction", F.lit(direction))
+        return _walk(first, advance, many, depth).withColumn("direction", F.lit(direction))
 
     backward = forward.select(F.col("next").alias("node"), F.col("node").alias("next"))
     both = reached(backward, "UPSTREAM").unionByName(reached(forward, "DOWNSTREAM"))
-    return both.select(F.col("start.id").alias("start"), "node.id", "node.type", "direction", "hops")
+
+    def cut(node: str, what: str) -> Column:
+        return F.regexp_extract(node, "(?s)^([^/]*)/(.*)$", 1 if what == "type" else 2)
+
+    return both.select(
+        cut("start", "id").alias("start"), cut("node", "id").alias("id"), cut("node", "type").alias("type"), "direction", "hops"
+    )

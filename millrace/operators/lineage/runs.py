@@ -37,6 +37,17 @@ def fold_events(run_events: DataFrame) -> DataFrame:
     )
 
 
+def merge_folds(folds: DataFrame) -> DataFrame:
+    """Partial folds of the same runs, of different events, merged to one row per run."""
+    return folds.groupBy("run_id").agg(
+        F.min("job").alias("job"),
+        F.min("started_at").alias("started_at"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last").alias("last"),
+        F.sum("events").alias("events"),
+    )
+
+
 def run_states(folds: DataFrame) -> DataFrame:
     """State, start, last event and duration of every run.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
@@ -27,11 +28,43 @@ def final_plan(df):
     return plan(df)
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """The plans of all frames that are given to writers."""
+    plans = []
+    for name in ("parquet", "saveAsTable", "csv", "text", "save"):
+        kept = getattr(DataFrameWriter, name)
+
+        def write(self, *args, _kept=kept, **options):
+            plans.append(plan(self._df))
+            return _kept(self, *args, **options)
+
+        monkeypatch.setattr(DataFrameWriter, name, write)
+    return plans
+
+
 @pytest.mark.parametrize("name", {**warehouse_queries.QUERIES, **lineage_queries.QUERIES})
-def test_no_python_rows_and_no_cartesian_product(spark, name):
-    text = plan(registry.queries()[name](spark, DIRECTORY))
-    for node in ("EvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert node not in text
+def test_no_python_rows_and_no_cartesian_product(spark, name, written):
+    """Neither in the plan of the answer nor in that of a step that is written on the way."""
+    written.append(plan(registry.queries()[name](spark, DIRECTORY)))
+    for text in written:
+        for node in ("EvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups", "CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert node not in text
+
+
+def test_a_round_does_not_move_what_was_found(spark, conf, written):
+    """Of the rows found before and the rows reached now only the latter are shuffled."""
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    links = spark.range(1, 3000).selectExpr("'d' || id AS out_dataset", "'d' || (id DIV 2) AS in_dataset")
+    rounds = graph._Rounds(links, "moved", edges=10**9)
+    reached, _ = materialise(links.limit(50), "reached")
+    written.clear()
+    rounds.add_new(reached)
+    text = written[-1]
+    assert "LeftAnti" in text and "Bucketed: true" in text
+    found = text[text.rindex("Exchange") :] if text.rindex("Exchange") > text.index("LeftAnti") else text
+    assert text.count("Exchange hashpartitioning") == 1 and "reached" in found
+    assert rounds.newest_rows == 0 and rounds.all().count() == 2999
 
 
 def test_literal_bounds_reach_the_scan(spark):
