@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.links import components
-from millrace.llm.text import as_bytes, carried, hashes
+from millrace.llm.text import as_bytes, carried, hashes, identified, if_small
 from millrace.workspace import materialise
 
 BITS = 64
@@ -199,19 +199,22 @@ def near_copies(
 
 
 def without_copies(
-    df: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, scan: bool = False
 ) -> DataFrame:
     """The rows of ``df`` with one of each component: that of the smallest id.
 
     Of several rows with that id the one with the smallest fingerprint stays, and of those any one;
-    a component without any id keeps the row with its smallest fingerprint.
+    a component without any id keeps the row with its smallest fingerprint. ``scan`` says that ``df`` is a scan of
+    files, whose rows need not be written to be told apart.
     """
-    numbered, _ = materialise(
-        df.select(carried(df.columns), F.monotonically_increasing_id().alias("number")), "numbered"
-    )
-    slim = numbered.select(F.col(f"row.`{id_column}`").alias("id"), F.col(f"row.`{text}`").alias("text"), "number")
-    found = near_copies(slim, "id", "text", width, radius, carry=["id", "number"])
+    rows = identified(df, scan)
+    slim = rows.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"), "_file", "_place")
+    found = near_copies(slim, "id", "text", width, radius, carry=["id", "_file", "_place"])
+    found, _ = materialise(found.select("row", "fp", "root"), "found")
     # One row for each component and task before the shuffle, whatever the size of the component.
-    order = F.struct(F.col("row.id").isNull(), "row.id", "fp", "row.number")
-    kept, _ = materialise(found.groupBy("root").agg(F.min(order).alias("first")).select("first.number"), "kept")
-    return numbered.join(kept, "number", "left_semi").select("row.*")
+    order = F.struct(F.col("row.id").isNull().alias("none"), "row.id", "fp", "row._file", "row._place")
+    firsts = found.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    # The few rows that go are joined with the texts, not the many that stay.
+    dropped = found.join(firsts, "root").filter((F.col("row._file") != F.col("first._file")) | (F.col("row._place") != F.col("first._place")))
+    dropped, many = materialise(dropped.select("row._file", "row._place"), "dropped")
+    return rows.join(if_small(dropped, many), ["_file", "_place"], "left_anti").select(*[f"`{name}`" for name in df.columns])

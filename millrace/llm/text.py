@@ -11,9 +11,11 @@ from itertools import repeat
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.workspace import materialise
+
 #: The seed of Spark's ``xxhash64``; hashes made here equal those that Spark computes.
 SEED = 42
 
@@ -61,3 +63,22 @@ def duplicate_lines(text: bytes) -> int:
     """Lines with a word that equal an earlier line."""
     lines = [line for line in text.split(b"\n") if line.strip()]
     return len(lines) - len(set(lines))
+
+
+#: A table of at most so many rows of a few numbers is broadcast: about 200 MB.
+SMALL_ROWS = 1 << 21
+
+
+def identified(df: DataFrame, scan: bool = False) -> DataFrame:
+    """``df`` with ``_file`` and ``_place`` for each row: a hash of its file's path, and its number in it.
+
+    ``scan`` says that ``df`` is read from files, with nothing but projections and filters; any other frame is
+    written first, so a row keeps its place when it is read again.
+    """
+    rows = df if scan else materialise(df, "rows")[0]
+    return rows.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if its counted ``rows`` are few; otherwise Spark chooses the join."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
