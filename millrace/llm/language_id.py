@@ -12,6 +12,7 @@ All counts are grouped aggregations of one number for each language, so nothing
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,13 +79,58 @@ def trained(documents: DataFrame, text: str = "text", lang: str = "lang") -> tup
     return names, np.log(model / model.sum(axis=1, keepdims=True))
 
 
+_HIDDEN = re.compile(rb"<(script|style|nav|footer|aside|head)\b")
+_ENTITY = re.compile(rb"&[#A-Za-z0-9]+;")
+_SPACES = re.compile(rb"\s*>")
+
+
+def visible(html: bytes) -> bytes:
+    """Text of a page without scripts, styles, comments, menus, footers, tags and entities.
+
+    One pass over the tags. An element or a comment that is not closed hides nothing but its tag, and what is no tag
+    because no ``>`` follows stays.
+    """
+    lower, out, at = html.lower(), [], 0
+    unclosed: set[bytes] = set()  # what nothing closes from here on: it is not looked for again
+
+    def end_of(name: bytes, start: int) -> int:
+        while name not in unclosed:
+            start = lower.find(b"</" + name, start)
+            if start < 0:
+                unclosed.add(name)
+                break
+            start += len(name) + 2
+            closing = _SPACES.match(lower, start)
+            if closing:
+                return closing.end()
+        return -1
+
+    while True:
+        tag = lower.find(b"<", at)
+        end = lower.find(b">", tag) + 1 if tag >= 0 else 0
+        if not end:
+            out.append(html[at:])
+            break
+        out.append(html[at:tag])
+        hidden = _HIDDEN.match(lower, tag)
+        if lower.startswith(b"<!--", tag):
+            close = lower.find(b"-->", tag + 4) if b"--" not in unclosed else -1
+            if close < 0:
+                unclosed.add(b"--")
+            end = close + 3 if close >= 0 else end
+        elif hidden:
+            end = max(end, end_of(hidden[1], end))
+        at = end
+    return _ENTITY.sub(b" ", b" ".join(out))
+
+
 def _likelihoods(shared):
     @F.arrow_udf("array<double>")
     def score(texts: pa.Array) -> pa.Array:
         model = shared.value
         out = np.zeros((len(texts), len(model)))
         for k, text in enumerate(texts):
-            places = trigrams(text.as_buffer().to_pybytes())
+            places = trigrams(visible(text.as_buffer().to_pybytes()))
             if len(places):
                 found = np.array([row[places].sum() for row in model])
                 out[k] = found * min(1.0, EVIDENCE / len(places))
@@ -94,17 +140,9 @@ def _likelihoods(shared):
     return score
 
 
-def visible(html: Column) -> Column:
-    """Text of a page without scripts, styles, comments, menus, footers and tags."""
-    hidden = r"(?is)<(script|style|nav|footer|aside|head)\b[^>]*>.*?</\1\s*>|<!--.*?-->"
-    text = F.regexp_replace(F.coalesce(html.cast("string"), F.lit("")), hidden, " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    return F.regexp_replace(text, r"&[#A-Za-z0-9]+;", " ")
-
-
 def declared(html: Column) -> Column:
     """The primary language tag of the ``html`` element, lower-case; empty if it has none."""
-    tag = F.regexp_extract(F.coalesce(html.cast("string"), F.lit("")), r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-z]+)", 1)
+    tag = F.regexp_extract(F.coalesce(html.cast("string"), F.lit("")), r"(?is)<html\b[^<>]*?\slang\s*=\s*[\"']?\s*([a-z]+)", 1)
     return F.lower(tag)
 
 
@@ -139,7 +177,7 @@ def identified(
 
     ``row`` holds the ``carry`` columns (default: the id). ``lang`` is the language of the largest
     ``posterior`` (ties: the first by code point), ``text_lang`` that of the text alone. A null or empty
-    page has no text evidence, a null url an empty host that is shared with other such rows. Repeated rows
+    page has no text evidence, pages of any length are read whole in one pass, a null url an empty host that is shared with other such rows. Repeated rows
     count as often as they come. Without a labelled document ``lang`` and ``posterior`` are null.
     """
     spark = pages.sparkSession
@@ -149,7 +187,7 @@ def identified(
         url_host(F.col(f"`{url}`").cast("string")).alias("host"),
         declared(F.col(f"`{html}`")).alias("declared"),
         suffix(F.col(f"`{url}`").cast("string")).alias("suffix"),
-        visible(F.col(f"`{html}`")).alias("text"),
+        as_bytes(f"`{html}`").alias("html"),
     )
     if not names:
         nothing = F.lit(None).cast("string")
@@ -160,7 +198,7 @@ def identified(
     shared = spark.sparkContext.broadcast(model.astype(np.float32))
     size = len(names)
     rows, count = materialise(
-        parts.withColumn("likelihood", _likelihoods(shared)(as_bytes("text"))).drop("text").withColumn("domain", domain(F.col("host"))),
+        parts.withColumn("likelihood", _likelihoods(shared)(F.col("html"))).drop("html").withColumn("domain", domain(F.col("host"))),
         "pages",
     )
 
