@@ -33,6 +33,10 @@ LARGEST = 2.0**40
 #: Rows that a task multiplies at once.
 ROWS = 4096
 _EPS = np.finfo(float).eps
+COLUMNS = (
+    ("component", "int"), ("n", "long"), ("deviation", "long"),
+    ("whitened", "double"), ("explained", "double"), ("identity_error", "double"),
+)
 
 
 def whole_entries(vector: str | Column, scale: int = 64, offset: int = 1_000_000) -> Column:
@@ -301,24 +305,21 @@ def whitened(
     is no more than rounding has no scale and is not returned, so n equal rows, one row or an empty table
     give an empty result. Vectors of any length are used whole; the driver holds their covariance.
     """
-    spark = df.sparkSession
-    schema = "component INT, n LONG, deviation LONG, whitened DOUBLE, explained DOUBLE, identity_error DOUBLE"
     names = carry or ["vec_id"]
     vectors, _ = materialise(
         df.select(carried(names), whole_entries(vector, scale, offset).alias("x")).filter(F.col("x").isNotNull()), "entries"
     )
     sizes = vectors.groupBy(F.size("x").alias("size")).agg(F.count(F.lit(1)).alias("rows"))
     usual = sizes.orderBy(F.desc("rows"), F.desc("size")).first()
-    empty = df.select(carried(names)).limit(0)
+    nothing = df.select(carried(names), *[F.lit(None).cast(kind).alias(name) for name, kind in COLUMNS]).limit(0)
     if usual is None:
-        made = spark.createDataFrame([], schema)
-        return empty.join(made, F.lit(True))
+        return nothing
     size, rows = usual
     vectors = vectors.filter(F.size("x") == size)
     sums, matrix = _covariance(vectors, size, rows)
     values, units = leading_pairs(matrix, most)
     if not len(values):
-        return empty.join(spark.createDataFrame([], schema), F.lit(True))
+        return nothing
     transform = units / np.sqrt(values)
     error = _identity_error(vectors, sums, rows, transform)
     shares = F.array(*[F.lit(float(v)) for v in values / np.trace(matrix)])

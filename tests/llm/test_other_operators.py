@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from collections import defaultdict
 
 import corpus_pipeline
@@ -127,32 +128,66 @@ def test_top_products_against_all(spark):
     assert topk.nearest(df, F.lit(False)).count() == 0
 
 
-@pytest.mark.parametrize(("turns", "rows"), [(256, 1024), (2, 2)])
+@pytest.mark.parametrize(("turns", "rows"), [(256, 1024), (2, 2), (256, 3)])
 def test_perspectives(spark, turns, rows):
+    """Every turn stands in its place, repeated ones too, whatever the parts and pieces."""
     said = [(1, 0, "system", "Be nice."), (1, 1, "ann", "Hi"), (1, 2, "bob", "Hé"), (1, 3, "cat", None), (1, 3, "ann", "yes"),
             (1, 2, "bob", "Hé"), (2, 0, "system", "alone"), (None, 5, "ann", "x"), (None, None, None, "y"),
-            *[(3, 7, "ann", f"t{k}") for k in range(20)]]
+            (4, 1, "", ""), (4, None, "ann", "again"), (4, None, "ann", "again"),
+            *[(3, 7, "ann", f"t{k % 15}") for k in range(20)]]
     df = spark.createDataFrame([(*r, 1) for r in said], "conv_id LONG, turn LONG, role STRING, text STRING, part INT")
     found = defaultdict(list)
-    for r in chat.rotated(df, turns=turns, rows=rows).collect():
+    for r in chat.rotated(df.repartition(3), turns=turns, rows=rows).collect():
         found[r.conversation, r.perspective].append(r)
-    distinct = {(c, t, role or "unknown", text or "") for c, t, role, text in said}
-    assert set(found) == {(c, role) for c, _, role, _ in distinct if role != "system"}
+    turns_of = [(c, t, role or "unknown", text or "") for c, t, role, text in said]
+    assert set(found) == {(c, role) for c, _, role, _ in turns_of if role != "system"}
     for (conversation, me), parts in found.items():
         parts.sort(key=lambda r: (r.part is None, r.part or 0, r.piece))
-        turns_ = [x for x in distinct if x[0] == conversation]
-        mine = [r.text[s.start : s.end] for r in parts for s in r.mask]
-        assert sorted(mine) == sorted(t for _, _, role, t in turns_ if role == me)
+        order = sorted((x for x in turns_of if x[0] == conversation), key=lambda x: (x[1] is None, x[1] or 0, x[2], x[3]))
+        head = {"system": "system", me: "assistant"}
         whole = "".join(r.text for r in parts)
-        assert whole.count("<|im_start|>") == len(turns_) == sum(r.n_turns for r in parts)
-        assert whole.count("<|im_start|>assistant\n") == len(mine)
-        if len({(t, role) for _, t, role, _ in turns_}) == len(turns_) and turns == 256:
-            order = sorted(turns_, key=lambda x: (x[1] is None, x[1] or 0, x[2]))
-            head = {"system": "system", me: "assistant"}
-            assert whole == "".join(f"<|im_start|>{head.get(r, f'user name={r}')}\n{t}<|im_end|>\n" for _, _, r, t in order)
+        assert whole == "".join(f"<|im_start|>{head.get(r, f'user name={r}')}\n{t}<|im_end|>\n" for _, _, r, t in order)
+        assert [r.text[s.start : s.end] for r in parts for s in r.mask] == [t for _, _, r, t in order if r == me]
+        assert sum(r.n_turns for r in parts) == len(order) and all(r.n_turns <= rows or r.piece == 0 for r in parts)
     assert chat.rotated(df.limit(0)).count() == 0
 
 
+def test_five_thousand_rows_in_one_turn(spark):
+    said = [(1, None if k % 2 else 3, ("ann", "bob")[k % 3 % 2], f"t{k * 7919 % 4001:05}") for k in range(5000)]
+    df = spark.createDataFrame(said, "conv_id LONG, turn LONG, role STRING, text STRING").repartition(5)
+    order = sorted(said, key=lambda x: (x[1] is None, x[1] or 0, x[2], x[3]))
+    for me in ("ann", "bob"):
+        parts = chat.rotated(df).filter(f"perspective = '{me}'").collect()
+        parts.sort(key=lambda r: (r.part is None, r.part or 0, r.piece))
+        assert len(parts) > 2 and max(r.n_turns for r in parts) <= chat.ROWS
+        assert [r.text[s.start : s.end] for r in parts for s in r.mask] == [t for _, _, r, t in order if r == me]
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a<b>c</b>d", "a c d"), ("x<script>hidden <b>y</b></SCRIPT >z", "x z"), ("<!-- c --><p>t", "  t"),
+        ("<nav>open", " open"), ("a<nav>b<nav>c</nav>d", "a d"), ("1 < 2", "1 < 2"), ("a&amp;b&#39;c & d;", "a b c & d;"),
+        ("<navigation>seen</navigation>", " seen "), ("a<!-- b", "a<!-- b"), ("a<!-- b > c", "a  c"), ("", ""),
+        ("<style>a</styles></style>b", " b"), ("é<i>ß", "é ß"),
+    ],
+)
+def test_visible_text(html, text):
+    assert language_id.visible(html.encode()).decode() == text
+
+
+@pytest.mark.parametrize("piece", ["<nav>", "<nav ", "<", "<!--", "</nav", "<script></nav>", "<html ", "&", "<nav></navx>"])
+def test_long_pages_of_unclosed_tags_take_linear_time(spark, piece):
+    html = piece * (5_000_000 // len(piece))
+    started = time.perf_counter()
+    language_id.visible(html.encode())
+    assert time.perf_counter() - started < 20
+    df = spark.createDataFrame([(html[:1_000_000],)], "html STRING")
+    started = time.perf_counter()
+    assert df.select(language_id.declared(F.col("html"))).first()[0] == ""
+    assert time.perf_counter() - started < 20
+
+
 def test_languages_of_pages(spark):
     english, german = PROSE, "Es war ein schöner Tag und nichts geschah in der kleinen Stadt am Fluss bis zum Mittag. "
     docs = [(k, (english if k % 2 else german) * 3, "en" if k % 2 else "de", "s") for k in range(20)]
