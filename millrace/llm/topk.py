@@ -1,15 +1,20 @@
-"""Exact top-k by inner product over a paged metric tree.
-
-The tree has routing objects (centres fitted on a bounded sample), pages below them and entries in the
-pages. A page holds its covering radius, an entry its distance to the routing object. For a query ``q``
-and an entry ``x`` below ``o`` the triangle inequality gives ``q.x <= q.o + |q| d(x, o)``, so a page is
-passed over when ``q.o + |q| radius`` is below the k-th score found so far, and in a page that is read
-only the entries far enough from ``o`` are computed: they are stored by falling distance.
-
-Best first, in two waves: each query reads the page with the largest product with its routing object,
-which gives it a k-th score, and then all further pages whose bound still reaches that score. Pages meet
-queries in one shuffle by page, page entries first; a task holds one page and a batch of queries.
-A routing object with many entries, say a vector that a third of all rows share, has several pages.
+"""Exact top-k by inner product over a metric tree, best first.
+
+The tree has routing objects, below each of them a node of further routing objects or a page of entries,
+level by level until a page holds at most ``page`` entries; so it grows with the rows. A routing object
+has its covering radius and its distance to the object above it, an entry its distance to the object of its
+page. The objects of a node are fitted on a bounded sample of what lies there; every row is indexed.
+
+For a query ``q``, an object ``o`` and anything ``x`` at distance ``d`` from it, ``q.x <= q.o + |q| d``. So
+a subtree whose ``q.o + |q| radius`` is below the k-th score found so far is passed over; an object that its stored
+distance to the object above, plus its radius, already rules out is not even computed; and of a page only
+the entries far enough from its object are, which stand by falling distance.
+
+Every query keeps the nodes it has not looked into, with their bounds. In each wave it looks into the
+best of them, twice as many as in the wave before; what it finds raises its k-th score, and nodes below that
+are dropped. The search ends when no query has a node left. Nodes meet their queries in one shuffle, the
+node's own rows first; a task holds one node or page and a batch of queries. Vectors that many rows share,
+which no distance tells apart, lie in several pages of radius 0.
 """
 
 from __future__ import annotations
@@ -23,14 +28,14 @@ from pyspark.sql import functions as F
 
 from millrace.workspace import materialise
 
-#: Rows that the routing objects are fitted to at most, the first by hash.
-SAMPLE = 8192
-#: Routing objects at most, and entries of a page.
-ROUTES, PAGE = 512, 2048
-
-_ENTRY = "page long, kind int, number long, id long, v array<long>, distance double"
-_HIT = "query long, query_id long, number long, id long, score long"
-
+#: Rows that the objects of a node are fitted to at most, the first by hash, and objects of a node.
+SAMPLE, FAN = 1024, 32
+#: Entries of a page.
+PAGE = 256
+#: Rows of a node that one task gives to its objects.
+DEALT = 1 << 16
+#: Levels; a node still larger below is cut into pages as it is.
+DEEPEST = 12
 
 def whole_numbers(vector: str | Column, scale: int = 256) -> Column:
     """Each component ``x`` as ``floor(scale * x)``; null if the vector or a component is null or not finite."""
@@ -50,14 +55,25 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _doubles(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    flat = pa.array(np.ascontiguousarray(rows).reshape(-1))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), flat)
+
+
 def centres(sample: np.ndarray, count: int) -> np.ndarray:
-    """Routing objects: some steps of k-means from evenly spread rows."""
-    found = sample[np.linspace(0, len(sample) - 1, count).astype(int)]
+    """Routing objects: some steps of k-means from different, evenly spread rows."""
+    sample = sample.astype(float)
+    different = np.unique(sample, axis=0)
+    found = different[np.linspace(0, len(different) - 1, min(count, len(different))).astype(int)]
     for _ in range(4):
         place = _nearest(sample, found)[0]
         sums = np.zeros_like(found)
         np.add.at(sums, place, sample)
-        rows = np.bincount(place, minlength=count)
+        rows = np.bincount(place, minlength=len(found))
         found = np.where(rows[:, None] > 0, sums / np.maximum(rows, 1)[:, None], found)
     return found
 
@@ -71,59 +87,177 @@ def _nearest(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place, np.linalg.norm(rows - found[place], axis=1)
 
 
-def _routed(shared, width: int):
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Pieces of batches in which the first ``keys`` columns are the same, with their values."""
+    for batch in batches:
+        if batch.num_rows:
+            marks = np.column_stack([np.asarray(batch.column(k)) for k in range(keys)])
+            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                yield tuple(int(x) for x in marks[start]), batch.slice(start, end - start)
+
+
+# The tree
+
+
+def _fitted(width: int):
+    """The sample of a node to its objects, numbered."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = centres(_matrix(table["v"].combine_chunks(), width), FAN)
+        node = table["node"][0].as_py()
+        return pa.table(
+            {
+                "node": pa.array([node] * len(found), pa.int64()),
+                "child": pa.array(np.arange(len(found), dtype=np.int64) + node * FAN + 1),
+                "o": _lists(found),
+            }
+        )
+
+    return run
+
+
+def _dealt(width: int):
+    """Sorted ``node, part, kind, child, o, number, id, v`` to entries below their nearest object."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place, distance = _nearest(_matrix(batch.column(2), width).astype(float), shared.value)
+        at, held, objects, children = None, [], None, None
+        for (node, part, kind), run_ in _runs(batches, 3):
+            if (node, part) != at:
+                at, held, objects = (node, part), [], None
+            if kind == 0:
+                held.append(run_)
+                continue
+            if objects is None:
+                objects = np.concatenate([_doubles(x.column(4), width) for x in held])
+                children = np.concatenate([np.asarray(x.column(3)) for x in held])
+            place, distance = _nearest(_matrix(run_.column(7), width).astype(float), objects)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(place.astype(np.int64)), pa.array(distance)], ["number", "id", "v", "route", "distance"]
+                [pa.array(children[place]), run_.column(5), run_.column(6), run_.column(7), pa.array(distance)],
+                ["node", "number", "id", "v", "distance"],
             )
 
     return run
 
 
-def _bound(product: np.ndarray, length: np.ndarray, distance, reach: float) -> np.ndarray:
+def _tree(rows: DataFrame, count: int, width: int, page: int) -> tuple[DataFrame, DataFrame]:
+    """Routing entries ``parent, node, o, radius, above, parts`` (0 parts: an inner node) and pages ``node, part, number, id, v, distance``.
+
+    Nodes are numbered as in a heap; the root is node 0.
+    """
+    open_ = rows.select(F.lit(0).cast("long").alias("node"), "number", "id", "v")
+    above = None  # the objects of the nodes that are split
+    sizes = rows.sparkSession.createDataFrame([(0, count)], "node long, rows long")
+    routing, pages = [], []
+    for level in range(DEEPEST):
+        by_hash = [F.xxhash64("v", "id"), F.col("number")]
+        sample = open_.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(64)))
+        for group in (["node", "part"], ["node"]):
+            sample = sample.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by_hash))).filter(F.col("rank") <= SAMPLE)
+        objects = sample.select("node", "v").groupBy("node").applyInArrow(_fitted(width), "node long, child long, o array<double>")
+        objects, _ = materialise(objects, "objects")
+        tasks = sizes.select("node", F.ceil(F.col("rows") / DEALT).cast("int").alias("tasks"))
+        empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("child", "long"), ("o", "array<double>"))]
+        entry = [F.lit(None).cast(kind).alias(name) for name, kind in (("number", "long"), ("id", "long"), ("v", "array<long>"))]
+        met = (
+            objects.join(tasks, "node")
+            .select("node", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("part"), F.lit(0).alias("kind"), "child", "o", *entry)
+            .unionByName(
+                open_.join(tasks, "node").select(
+                    "node", F.pmod(F.xxhash64("number"), F.col("tasks")).cast("int").alias("part"), F.lit(1).alias("kind"), *empty, "number", "id", "v"
+                )
+            )
+        )
+        met = met.repartition("node", "part").sortWithinPartitions("node", "part", "kind")
+        dealt, _ = materialise(
+            met.mapInArrow(_dealt(width), "node long, number long, id long, v array<long>, distance double"), "dealt"
+        )
+        found = dealt.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.max("distance").alias("radius"))
+        # What distances do not tell apart, and what is too deep, is cut as it is.
+        whole = (F.col("rows") <= page) | (F.col("radius") <= 1e-9) | F.lit(level == DEEPEST - 1)
+        found = found.withColumn("parts", F.when(whole, F.ceil(F.col("rows") / page)).otherwise(0).cast("int"))
+        entries = found.join(objects.select(F.col("child").alias("node"), F.col("node").alias("parent"), "o"), "node")
+        if above is None:
+            entries = entries.withColumn("above", F.lit(None).cast("double"))
+        else:
+            entries = entries.join(above.select(F.col("node").alias("parent"), F.col("o").alias("upper")), "parent")
+            squares = F.aggregate(F.zip_with("o", "upper", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
+            entries = entries.withColumn("above", F.sqrt(squares))
+        entries, _ = materialise(entries.select("parent", "node", "o", "radius", "above", "parts", "rows"), "routing")
+        routing.append(entries.drop("rows"))
+        placed = dealt.join(entries.select("node", "parts"), "node")
+        pages.append(
+            placed.filter("parts > 0").select("node", F.pmod(F.xxhash64("number"), F.col("parts")).cast("int").alias("part"), "number", "id", "v", "distance")
+        )
+        sizes, above = entries.filter("parts = 0").select("node", "rows"), entries.filter("parts = 0").select("node", "o")
+        open_, left = materialise(placed.filter("parts = 0").select("node", "number", "id", "v"), "open")
+        if not left:
+            break
+
+    def joined(parts: list[DataFrame]) -> DataFrame:
+        whole_ = parts[0]
+        for one in parts[1:]:
+            whole_ = whole_.unionByName(one)
+        return whole_
+
+    return joined(routing), materialise(joined(pages), "pages")[0]
+
+
+# The search
+
+
+def _bound(product, length, distance):
     """Upper bound of a product, raised by what rounding may have taken from it."""
-    return product + length * distance + 1e-9 * length * (distance + reach) + 1e-3
+    return product + length * distance + 1e-9 * (np.abs(product) + length * distance) + 1e-3
 
 
-def _asking(shared, radii, pages: list[int], width: int, first: bool):
-    """Queries ``number, id, v, kth`` to rows of the pages they read in a wave.
+_OPEN = "query long, node long, part int, product double, bound double"
 
-    ``pages[k]`` is the number of pages of a routing object; its pages are numbered from ``starts[k]``.
-    """
-    starts = np.concatenate([[0], np.cumsum(pages)])[:-1]
+
+def _expanded(width: int):
+    """Sorted ``node, kind, child, o, radius, above, parts, query, v, product, kth`` to what the queries may still look into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        objects = shared.value
-        reach = float(np.linalg.norm(objects, axis=1).max())
-        for batch in batches:
-            if not batch.num_rows:
+        at, held, own = None, [], None
+        for (node, kind), part in _runs(batches, 2):
+            if node != at:
+                at, held, own = node, [], None
+            if kind == 0:
+                held.append(part)
                 continue
-            q = _matrix(batch.column(2), width).astype(float)
-            product = q @ objects.T
-            best = np.argmax(product, axis=1)
-            wanted = np.arange(len(objects))[None, :] == best[:, None]
-            if not first:
-                kth = batch.column(3).to_numpy(zero_copy_only=False).astype(float)
-                length = np.linalg.norm(q, axis=1)[:, None]
-                bound = _bound(product, length, np.asarray(radii)[None, :], reach)
-                wanted = ~wanted & ~(bound < kth[:, None])  # without a k-th score every page is read
-            rows, routes = np.nonzero(wanted)
-            many = np.asarray(pages)[routes]
-            rows, routes = np.repeat(rows, many), np.repeat(routes, many)
-            offset = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
-            for k in range(0, len(rows), 4096):
-                at = pa.array(rows[k : k + 4096])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((starts[routes] + offset)[k : k + 4096].astype(np.int64)),
-                        pa.array(np.ones(len(at), np.int32)),
-                        batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at),
-                        batch.column(3).cast(pa.float64()).take(at),
-                    ],
-                    ["page", "kind", "number", "id", "v", "distance"],
-                )
+            if not held:
+                continue
+            if own is None:
+                table = pa.Table.from_batches(held)
+                own = {
+                    "node": table["child"].to_numpy(), "o": _doubles(table["o"].combine_chunks(), width),
+                    "radius": table["radius"].to_numpy(), "parts": table["parts"].to_numpy(),
+                    "above": table["above"].to_pandas().to_numpy(float),  # missing at the root: nan
+                }
+            q = _matrix(part.column(8), width).astype(float)
+            kth = part.column(10).to_numpy()[:, None]
+            length = np.linalg.norm(q, axis=1)[:, None]
+            # By the stored distances alone: objects that need not be computed.
+            far = np.nan_to_num(own["above"], nan=np.inf)[None, :] + own["radius"][None, :]
+            with np.errstate(invalid="ignore"):
+                maybe = ~(_bound(np.nan_to_num(part.column(9).to_numpy())[:, None], length, far) < kth) | (length == 0)
+            columns = np.flatnonzero(maybe.any(axis=0))
+            product = np.full(maybe.shape, -np.inf)
+            product[:, columns] = q @ own["o"][columns].T
+            bound = _bound(product, length, own["radius"][None, :])
+            rows, children = np.nonzero(maybe & ~(bound < kth))
+            values = product[rows, children], bound[rows, children]
+            many = np.maximum(1, own["parts"][children])
+            again = np.repeat(np.arange(len(rows)), many)
+            piece = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
+            piece[own["parts"][children][again] == 0] = -1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(7).take(pa.array(rows[again])), pa.array(own["node"][children][again]), pa.array(piece.astype(np.int32)),
+                    pa.array(values[0][again]), pa.array(values[1][again]),
+                ],
+                ["query", "node", "part", "product", "bound"],
+            )
 
     return run
 
@@ -135,21 +269,23 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q.astype(object) @ x.astype(object).T).astype(np.int64)
 
 
-def _read(shared, pages: list[int], width: int, k: int):
-    """Pages and their queries, sorted by ``page, kind``, to the best ``k`` entries of each query in each page."""
-    route_of = np.repeat(np.arange(len(pages)), pages)
+_HIT = "query long, query_id long, number long, id long, score long"
+
+
+def _read(width: int, k: int):
+    """Sorted ``node, part, kind, number, id, v, distance, kth`` to the best ``k`` entries of each query in each page.
+
+    Of a query ``distance`` is its product with the object of the page.
+    """
 
     def answers(page: dict, batch: pa.RecordBatch) -> pa.RecordBatch:
-        objects = shared.value
-        q = _matrix(batch.column(4), width)
-        kth = batch.column(5).to_numpy(zero_copy_only=False).astype(float)
-        product = q.astype(float) @ objects[page["route"]]
-        length = np.linalg.norm(q.astype(float), axis=1)
-        bound = _bound(product[:, None], length[:, None], page["distance"][None, :], float(np.linalg.norm(objects[page["route"]])))
-        open_ = ~(bound < kth[:, None])
+        q = _matrix(batch.column(5), width)
+        product, kth = (batch.column(x).to_numpy(zero_copy_only=False)[:, None] for x in (6, 7))
+        length = np.linalg.norm(q.astype(float), axis=1)[:, None]
+        open_ = ~(_bound(product, length, page["distance"][None, :]) < kth)
         reach = int(np.flatnonzero(open_.any(axis=0)).max(initial=-1)) + 1  # entries stand by falling distance
         scores = _products(q, page["v"][:reach])
-        usable = open_[:, :reach] & (page["number"][None, :reach] != batch.column(2).to_numpy()[:, None])
+        usable = open_[:, :reach] & (page["number"][None, :reach] != batch.column(3).to_numpy()[:, None])
         out = []
         for row in range(len(q)):
             at = np.flatnonzero(usable[row])
@@ -162,42 +298,30 @@ def _read(shared, pages: list[int], width: int, k: int):
         rows, at, own = (np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*out, strict=True))
         ids = pa.array(page["id"][at], mask=page["null"][at])
         return pa.RecordBatch.from_arrays(
-            [batch.column(2).take(pa.array(rows)), batch.column(3).take(pa.array(rows)), pa.array(page["number"][at]), ids, pa.array(own)],
+            [batch.column(3).take(pa.array(rows)), batch.column(4).take(pa.array(rows)), pa.array(page["number"][at]), ids, pa.array(own)],
             ["query", "query_id", "number", "id", "score"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, page, at = [], None, None
-
-        def built() -> dict:
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            order = np.argsort(-table.column(5).to_numpy(zero_copy_only=False), kind="stable")
-            null = table.column(3).is_null().to_numpy(zero_copy_only=False)
-            return {
-                "route": route_of[at],
-                "number": table.column(2).to_numpy()[order],
-                "id": table.column(3).fill_null(0).to_numpy()[order],
-                "null": null[order],
-                "v": _matrix(table.column(4), width)[order],
-                "distance": table.column(5).to_numpy(zero_copy_only=False)[order],
-            }
-
-        for batch in batches:
-            if not batch.num_rows:
+        at, held, page = None, [], None
+        for (node, part, kind), rows in _runs(batches, 3):
+            if (node, part) != at:
+                at, held, page = (node, part), [], None
+            if kind == 0:
+                held.append(rows)
                 continue
-            marks = np.column_stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))])
-            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
-            edges = [0, *cuts.tolist(), len(marks)]
-            for begin, end in zip(edges[:-1], edges[1:], strict=True):
-                part = batch.slice(begin, end - begin)
-                if marks[begin, 0] != at:
-                    held, page, at = [], None, int(marks[begin, 0])
-                if marks[begin, 1] == 0:
-                    held.append(part)
-                elif held:
-                    page = page or built()
-                    for k_ in range(0, part.num_rows, 256):
-                        yield answers(page, part.slice(k_, 256))
+            if page is None:
+                table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                order = np.argsort(-table.column(6).to_numpy(zero_copy_only=False), kind="stable")
+                page = {
+                    "number": table.column(3).to_numpy()[order],
+                    "id": table.column(4).fill_null(0).to_numpy()[order],
+                    "null": table.column(4).is_null().to_numpy(zero_copy_only=False)[order],
+                    "v": _matrix(table.column(5), width)[order],
+                    "distance": table.column(6).to_numpy(zero_copy_only=False)[order],
+                }
+            for start in range(0, rows.num_rows, 256):
+                yield answers(page, rows.slice(start, 256))
 
     return run
 
@@ -222,45 +346,59 @@ def nearest(
         ).filter(F.col("v").isNotNull()),
         "vectors",
     )
-    empty = spark.createDataFrame([], "query_id long, rank int, id long, score long")
     if not count:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, id long, score long")
     width = rows.agg(F.max(F.size("v"))).first()[0]
-    sample = rows.orderBy(F.xxhash64("v", "id"), "number").limit(SAMPLE).select("v").toArrow()
-    sample = _matrix(sample.column(0).combine_chunks(), width).astype(float)
-    shared = spark.sparkContext.broadcast(centres(sample, max(1, min(ROUTES, count // page, len(sample)))))
-    entries, _ = materialise(
-        rows.select("number", "id", "v").mapInArrow(
-            _routed(shared, width), "number long, id long, v array<long>, route long, distance double"
-        ),
-        "entries",
-    )
-    found = entries.groupBy("route").agg(F.count(F.lit(1)).alias("rows"), F.max("distance").alias("radius")).collect()  # ROUTES rows
-    radii, pages = np.zeros(len(shared.value)), [0] * len(shared.value)
-    for one in found:
-        radii[one.route], pages[one.route] = one.radius, -(-one.rows // (2 * page))
-    starts = F.lit([int(x) for x in np.concatenate([[0], np.cumsum(pages)])[:-1]])
-    many, route = F.lit([max(1, x) for x in pages]), F.col("route").cast("int")
-    number = starts[route] + F.pmod(F.xxhash64("number"), many[route])
-    tree = entries.select(number.alias("page"), F.lit(0).alias("kind"), "number", "id", "v", "distance")
-
-    def wave(queries: DataFrame, first: bool) -> DataFrame:
-        asked = queries.mapInArrow(_asking(shared, radii, pages, width, first), _ENTRY)
-        met = tree.unionByName(asked).repartition("page").sortWithinPartitions("page", "kind")
-        hits = met.mapInArrow(_read(shared, pages, width, k), _HIT)
-        return hits
-
+    if not width:  # vectors without components: all products are 0
+        rows, width = rows.withColumn("v", F.array(F.lit(0).cast("long"))), 1
+    routing, pages = _tree(rows, count, width, page)
+    queries, asking = materialise(rows.filter("asks").select(F.col("number").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q")), "queries")
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"), "number")
+    hits = spark.createDataFrame([], _HIT)
+    lowest = F.lit(float("-inf"))
+    # Every query begins at the root.
+    open_ = queries.select("query", F.lit(0).cast("long").alias("node"), F.lit(-1).alias("part"), F.lit(0.0).alias("product"), F.lit(float("inf")).alias("bound"))
+    left, looks = asking, 1
+    while left:
+        reached = hits.groupBy("query").agg(F.count(F.lit(1)).alias("many"), F.min("score").cast("double").alias("low"))
+        kths = queries.join(reached, "query", "left").select(
+            "query", "query_id", "q", F.when(F.col("many") >= k, F.col("low")).otherwise(lowest).alias("kth")
+        )
+        kths, _ = materialise(kths, "kths")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "node", "part"))
+        ranked, _ = materialise(open_.withColumn("rank", rank), "ranked")
+        looked = ranked.filter(F.col("rank") <= looks).join(kths, "query")
+        inner = looked.filter("part < 0").select(
+            "node", F.lit(1).alias("kind"), *_missing(("child", "long"), ("o", "array<double>"), ("radius", "double"), ("above", "double"), ("parts", "int")),
+            "query", F.col("q").alias("v"), "product", "kth",
+        )
+        objects = routing.select(
+            F.col("parent").alias("node"), F.lit(0).alias("kind"), F.col("node").alias("child"), "o", "radius", "above", "parts",
+            *_missing(("query", "long"), ("v", "array<long>"), ("product", "double"), ("kth", "double")),
+        )
+        wanted = objects.join(inner.select("node").distinct(), "node", "left_semi")
+        met = wanted.unionByName(inner).repartition("node").sortWithinPartitions("node", "kind")
+        children = met.mapInArrow(_expanded(width), _OPEN)
+        asked = looked.filter("part >= 0").select(
+            "node", "part", F.lit(1).alias("kind"), F.col("query").alias("number"), F.col("query_id").alias("id"),
+            F.col("q").alias("v"), F.col("product").alias("distance"), "kth",
+        )
+        entries = pages.join(asked.select("node", "part").distinct(), ["node", "part"], "left_semi").select(
+            "node", "part", F.lit(0).alias("kind"), "number", "id", "v", "distance", lowest.alias("kth")
+        )
+        read = entries.unionByName(asked).repartition("node", "part").sortWithinPartitions("node", "part", "kind")
+        found = hits.unionByName(read.mapInArrow(_read(width, k), _HIT))
+        hits, _ = materialise(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank"), "hits")
+        now = hits.groupBy("query").agg(F.count(F.lit(1)).alias("many"), F.min("score").cast("double").alias("low"))
+        now = now.filter(F.col("many") >= k).select("query", "low")
+        further = ranked.filter(F.col("rank") > looks).drop("rank").unionByName(children)
+        open_, left = materialise(
+            further.join(now, "query", "left").filter(F.col("low").isNull() | (F.col("bound") >= F.col("low"))).drop("low"), "open"
+        )
+        looks *= 4
+    ranked = hits.withColumn("rank", F.row_number().over(best))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
-    def top(hits: DataFrame) -> DataFrame:
-        return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    queries = rows.filter("asks").select("number", "id", "v", F.lit(float("-inf")).alias("kth"))
-    early, _ = materialise(top(wave(queries, True)).drop("rank"), "early")
-    reached = early.groupBy("query").agg(F.count(F.lit(1)).alias("hits"), F.min("score").cast("double").alias("low"))
-    kth = F.when(F.col("hits") >= k, F.col("low")).otherwise(float("-inf"))
-    again = queries.drop("kth").join(reached, F.col("number") == F.col("query"), "left").select(
-        "number", "id", "v", F.coalesce(kth, F.lit(float("-inf"))).alias("kth")
-    )
-    hits = early.unionByName(wave(again, False))
-    return top(hits).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+def _missing(*columns: tuple[str, str]) -> list[Column]:
+    return [F.lit(None).cast(kind).alias(name) for name, kind in columns]
