@@ -128,6 +128,62 @@ def test_top_products_against_all(spark):
     assert topk.nearest(df, F.lit(False)).count() == 0
 
 
+def _clusters(spark, many=1500, groups=40):
+    draw = np.random.default_rng(6)
+    middle = draw.normal(0, 30, (groups, 8))
+    vectors = middle[np.arange(many) % groups] + draw.normal(0, 0.2, (many, 8))
+    vectors[5::7] = vectors[5]  # a vector that many rows share
+    return spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(vectors)], "vec_id LONG, embedding ARRAY<FLOAT>")
+
+
+def test_the_tree_covers_its_rows(spark):
+    df = _clusters(spark).select(F.col("vec_id").alias("number"), F.col("vec_id").alias("id"), topk.whole_numbers("embedding").alias("v"))
+    routing, pages = topk._tree(df, 1500, 8, page=20)
+    nodes = {r.node: r for r in routing.collect()}
+    found = defaultdict(list)
+    for r in pages.collect():
+        found[r.node, r.part].append(r)
+    assert sorted(r.number for rows in found.values() for r in rows) == list(range(1500))
+    assert len({r.parent for r in nodes.values()}) > 1  # more than one level
+    for (node, part), rows in found.items():
+        entry = nodes[node]
+        assert 0 <= part < entry.parts and (len(rows) <= 20 or entry.radius == 0)
+        for r in rows:
+            distance = np.linalg.norm(np.array(r.v, float) - np.array(entry.o))
+            assert distance == pytest.approx(r.distance, abs=1e-6) and r.distance <= entry.radius
+            above = node  # every object on the way up covers the row
+            while above:
+                assert np.linalg.norm(np.array(r.v, float) - np.array(nodes[above].o)) <= nodes[above].radius + 1e-6
+                above = nodes[above].parent
+    for r in nodes.values():
+        if r.parent:
+            assert r.above == pytest.approx(np.linalg.norm(np.array(r.o) - np.array(nodes[r.parent].o)))
+        assert r.node // topk.FAN - (r.node % topk.FAN == 0) == r.parent
+
+
+def test_bounds_pass_pages_over(spark, monkeypatch):
+    """On clustered vectors the pages that are read hold far fewer entries than there are pairs."""
+    looked, sizes, plain = [], {}, topk.materialise
+
+    def seen(df, label):
+        found = plain(df, label)
+        if label == "ranked":
+            wave = 4 ** sum(1 for _ in looked)
+            looked.append([(r.node, r.part) for r in found[0].filter(F.col("rank") <= wave).collect() if r.part >= 0])
+        if label == "pages":
+            sizes.update({(r.node, r.part): r["count"] for r in found[0].groupBy("node", "part").count().collect()})
+        return found
+
+    monkeypatch.setattr(topk, "materialise", seen)
+    df = _clusters(spark)
+    hits = topk.nearest(df, F.col("vec_id") % 50 == 0, page=20).collect()
+    read = sum(sizes[x] for wave in looked for x in wave)
+    assert len(hits) == 30 * 5 and 0 < read < 0.4 * 30 * 1500
+    data = {r.vec_id: np.floor(256 * np.array(r.embedding)).astype(int) for r in df.collect()}
+    for r in hits:
+        assert r.score == int(data[r.query_id] @ data[r.id])
+
+
 @pytest.mark.parametrize(("turns", "rows"), [(256, 1024), (2, 2), (256, 3)])
 def test_perspectives(spark, turns, rows):
     """Every turn stands in its place, repeated ones too, whatever the parts and pieces."""
