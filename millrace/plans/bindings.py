@@ -96,6 +96,16 @@ def run_events(spark: SparkSession, directory: str) -> DataFrame:
     return run_events_of(table(spark, directory, "events"))
 
 
+def job_versions(spark: SparkSession, directory: str) -> DataFrame:
+    """Events as reported versions of their jobs; the same query is written with more or fewer blanks."""
+    blanks = F.when(F.col("event_id") % 2 == 0, " ").otherwise("\n  ")
+    return table(spark, directory, "events").select(
+        label("job_", whole_quotient(F.col("event_id"), 4) % 20).alias("job"),
+        label("v", F.col("event_id") % 97).alias("version"),
+        F.concat(F.lit("SELECT * FROM t"), blanks, F.lit("WHERE k = "), F.get_json_object("props", "$.k")).alias("query_text"),
+    )
+
+
 def schema_fields(spark: SparkSession, directory: str) -> DataFrame:
     """One data set per supplier, one version per line number, a field per part bucket.
 

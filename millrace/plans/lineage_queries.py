@@ -62,6 +62,11 @@ def lin6_version_runs(spark: SparkSession, d: str) -> DataFrame:
     return events.groupBy("job", "version").agg(F.count_distinct("run_id").alias("runs"))
 
 
+def lin6_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Different queries of every job, by their texts, beside the versions reported for them."""
+    return runs.versions_by_query(bindings.job_versions(spark, d))
+
+
 def lin7_run_states(spark: SparkSession, d: str) -> DataFrame:
     return runs.run_states(runs.fold_events(runs.different_events(bindings.run_events(spark, d))))
 
@@ -231,7 +236,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         lin1_datasets, lin2_jobs, lin3_schema_history, lin4_schema_diff, lin4_renames, lin4_renames_by_content, lin3_schema_of_run, lin5_runs, lin6_versions,
-        lin6_version_runs, lin7_run_states, lin7_failed, lin7_stream, lin8_direct_edges, lin8_subtypes,
+        lin6_version_runs, lin6_queries, lin7_run_states, lin7_failed, lin7_stream, lin8_direct_edges, lin8_subtypes,
         lin9_indirect_edges, lin10_fan_in, lin11_upstream, lin11_upstream_of_marts, lin11_downstream,
         lin11_downstream_to_the_end, lin11_cycles, lin11_levels, lin11_rerun_order,
         lin8_current_edges, lin11_node_graph, lin12_column_sources, lin12_paths, lin13_dataset_form, lin13_round_trip, lin14_job_io, lin15_freshness, lin16_normalise,

@@ -314,6 +314,8 @@ LINEAGE = {
           ELSE 'one version, one run' END AS history FROM counted""",
     "lin6_version_runs": f"""{RUN_EVENTS} SELECT job, version, count(DISTINCT run_id) AS runs FROM run_events
         GROUP BY job, version""",
+    "lin6_queries": """SELECT 'job_' || (event_id // 4 % 20) AS job, count(DISTINCT json_extract_string(props, '$.k')) AS queries,
+          count(DISTINCT event_id % 97) AS versions FROM events GROUP BY event_id // 4 % 20""",
     "lin7_run_states": f"{RUN_EVENTS} {RUN_STATES}",
     "lin7_failed": f"{RUN_EVENTS} SELECT run_id, job FROM ({RUN_STATES}) WHERE state = 'FAIL'",
     "lin7_stream": f"{RUN_EVENTS} {RUN_STATES}",

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.lineage import catalog, edges, graph, runs, versions
+from millrace.operators.lineage import catalog, edges, graph, order, runs, versions
 from millrace.sources.facts import read_facts
 
 Facts = Callable[[str], DataFrame]
@@ -35,6 +35,9 @@ QUESTIONS: dict[str, Callable[[Facts], DataFrame]] = {
     "indirect_edges": lambda facts: edges.indirect_edges(facts("job_outputs"), facts("job_keys")),
     "subtype_counts": lambda facts: edges.subtype_counts(_current(facts)),
     "fan_in": lambda facts: edges.fan_in(_current(facts)),
+    "column_paths": lambda facts: graph.column_paths(_current(facts)),
+    "cycles": lambda facts: order.cycles(facts("dataset_edges")),
+    "levels": lambda facts: order.levels(facts("dataset_edges")),
     "column_sources": lambda facts: graph.column_sources(_current(facts)),
     "job_inputs_outputs": lambda facts: catalog.job_io_counts(facts("job_io")),
     "jobs_per_application": lambda facts: catalog.jobs_per_application(facts("jobs")),
@@ -55,6 +58,7 @@ def _graph(facts: Facts, starts: DataFrame, depth: int | None) -> DataFrame:
 FROM_STARTS: dict[str, Callable[[Facts, DataFrame, int | None], DataFrame]] = {
     "upstream": lambda facts, starts, depth: graph.upstream(facts("dataset_edges"), depth, starts),
     "downstream": lambda facts, starts, depth: graph.downstream(facts("dataset_edges"), depth, starts),
+    "rerun_order": lambda facts, starts, depth: order.rerun_order(facts("dataset_edges"), starts),
     "lineage_graph": _graph,
 }
 

@@ -6,6 +6,7 @@ import runpy
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.plans.questions import ask
 from millrace.sources import facts
@@ -33,6 +34,34 @@ def test_mart(spark, monkeypatch, capsys, database):
     assert spark.table(f"{database}.mart_top_countries").count() == 2
 
 
+def test_flows_of_one_database(spark, monkeypatch, capsys, database, folder):
+    run(monkeypatch, "flow", database, "stage", "--generate")
+    assert spark.table(f"{database}.stg_customers_enriched").count() == 100
+    run(monkeypatch, "flow", database, "stats")
+    assert spark.table(f"{database}.agg_customer_stats").count() > 0
+    run(monkeypatch, "flow", database, "enriched", "--modulus", 60)
+    assert spark.table(f"{database}.customer_orders_enriched").count() == 500
+    capsys.readouterr()
+    run(monkeypatch, "flow", database, "schemas")
+    assert capsys.readouterr().out.splitlines()[-1] == "id, full_name, country"
+    run(monkeypatch, "flow", database, "summary")
+    assert "100 100 100" in capsys.readouterr().out
+    run(monkeypatch, "flow", database, "repeated", "--runs", 2)
+    run(monkeypatch, "flow", database, "drift", "--path", f"{folder}/drift")
+    assert spark.read.option("mergeSchema", "true").parquet(f"{folder}/drift").count() == 500
+    with pytest.raises(SystemExit):
+        run(monkeypatch, "flow", database, "drift")
+
+
+def test_mart_by_batches(spark, monkeypatch, database):
+    run(monkeypatch, "flow", database, "batches", "--generate")
+    found = {r.country: r.orders_count for r in spark.table(f"{database}.mart_by_batches").collect()}
+    totals = {r.country: r.orders for r in spark.table(f"{database}.raw_customers").alias("c").join(
+        spark.table(f"{database}.raw_orders").alias("o"), F.col("c.id") == F.col("o.customer_id")
+    ).groupBy("country").agg(F.count(F.lit(1)).alias("orders")).collect()}
+    assert found == totals
+
+
 def test_lineage_questions_of_fact_tables(spark, monkeypatch, folder, rows):
     def put(name, found):
         spark.createDataFrame(found, facts.TABLES[name]).write.parquet(f"{folder}/facts/{name}")
@@ -51,6 +80,8 @@ def test_lineage_questions_of_fact_tables(spark, monkeypatch, folder, rows):
     assert asked("lineage_graph", "--start", "raw") == [
         ("raw", "j", "JOB", "DOWNSTREAM", 1), ("raw", "stage", "DATASET", "DOWNSTREAM", 2),
     ]
+    assert asked("levels") == [("mart", 2), ("other", 1), ("raw", 0), ("stage", 1)] and asked("cycles") == []
+    assert asked("rerun_order", "--start", "stage") == [("mart", 2), ("stage", 1)]
     assert asked("versions_by_query") == [("j", 2, 3), ("k", 0, 1)]
     with pytest.raises(ValueError, match="given data sets"):
         ask(spark, f"{folder}/facts", "upstream")
