@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import re
 import time
 from collections import defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -289,3 +291,94 @@ def test_stages_keep_the_columns_and_pass_on_what_they_keep(spark):
     ids = corpus_pipeline.STAGES[-1][1](spark, docs, DIRECTORY)
     assert ids.columns == ["doc_id", "source", "lang", "ids"] and ids.count() == docs.count()
     assert corpus_pipeline.run(spark, DIRECTORY).count() > 0
+
+
+
+def plain_languages(docs, pages):
+    """The fusion, page by page: text, declared language and suffix, then domain and host without the page itself."""
+    names = sorted({lang for _, text, lang, _ in docs if lang is not None and text is not None})
+    model = np.full((len(names), language_id.BUCKETS), 0.5)
+    for _, text, lang, _ in docs:
+        if text is not None and lang is not None:
+            np.add.at(model[names.index(lang)], language_id.trigrams(text.encode()), 1)
+    model = np.log(model / model.sum(axis=1, keepdims=True)).astype(np.float32)
+
+    def softmax(x):
+        shares = np.exp(x - x.max())
+        return shares / shares.sum()
+
+    def sums(keys, rows):
+        found = defaultdict(lambda: np.zeros(len(names)))
+        for key, row in zip(keys, rows, strict=True):
+            found[key] = found[key] + row
+        return found
+
+    def shrunk(own, rest, weight):
+        return (own + weight * rest) / (own.sum() + weight)
+
+    likelihood, hosts, marks, suffixes = [], [], [], []
+    for _, url, html, _ in pages:
+        places = language_id.trigrams(language_id.visible((html or "").encode()))
+        found = np.array([row[places].sum() for row in model]) if len(places) else np.zeros(len(names))
+        likelihood.append(found * min(1.0, language_id.EVIDENCE / max(1, len(places))))
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        hosts.append(rest.split("/")[0])
+        mark = re.search(r"<html[^<>]*\slang=\"([a-z]+)", html or "")
+        marks.append(mark[1] if mark else "")
+        first = rest.split("/")[1] if rest.count("/") > 1 else ""
+        suffixes.append(hosts[-1].split(".")[-1] + "/" + (first if len(first) == 2 else ""))
+    by_text = [softmax(x) for x in likelihood]
+    expected = sum(by_text) + 1
+    prior = expected / expected.sum()
+    evidence = [x.copy() for x in likelihood]
+    for keys in (marks, suffixes):
+        found = sums(keys, by_text)
+        for k, key in enumerate(keys):
+            evidence[k] += np.log((found[key] + 1) / (expected + len(found)))
+    by_page = [softmax(x + np.log(prior)) for x in evidence]
+    domains = [".".join(h.split(".")[-2:]) for h in hosts]
+    of_host, of_domain = sums(hosts, by_page), sums(domains, by_page)
+    final = []
+    for k in range(len(pages)):
+        wide = shrunk(np.maximum(of_domain[domains[k]] - by_page[k], 0), prior, language_id.DOMAIN_WEIGHT)
+        own = shrunk(np.maximum(of_host[hosts[k]] - by_page[k], 0), wide, language_id.HOST_WEIGHT)
+        final.append(softmax(evidence[k] + np.log(own)))
+    return names, final
+
+
+def test_languages_against_the_plain_fusion(spark):
+    texts = {"en": PROSE, "de": "Es war ein schöner Tag und nichts geschah am Fluss. ", "fr": "Il faisait beau et rien ne bougeait. "}
+    docs = [(k, text * 2, lang, "s") for k, (lang, text) in enumerate(texts.items())] + [(9, None, "es", "s"), (8, "x", None, "s")]
+    pages = []
+    for k in range(24):
+        lang = ("en", "de", "fr")[k % 3]
+        said = lang if k % 4 else "en"
+        words_ = texts[lang] * (k % 5) if k % 7 else texts[lang][:9]
+        pages.append((k, f"http://h{k % 5}.site{k % 2}.org/{said}/x{k}", f'<html lang="{said}"><p>{words_}</p></html>', 1))
+    pages += [(30, None, None, 1), (31, "http://h1.site1.org/", "", 1), pages[4], pages[4]]
+    names, final = plain_languages(docs, pages)
+    df = spark.createDataFrame(pages, "page_id LONG, url STRING, html STRING, lang INT")
+    wanted = sorted((p[0], names[int(f.argmax())], float(f.max())) for p, f in zip(pages, final, strict=True))
+    found = sorted((r.row.page_id, r.lang, r.posterior) for r in language_id.identified(df, documents(spark, docs)).collect())
+    assert [x[:2] for x in found] == [x[:2] for x in wanted]
+    assert np.allclose([x[2] for x in found], [x[2] for x in wanted], rtol=1e-4)
+
+
+#: Queries without SQL, and the test that holds them against a plain version, a round trip or held-out rows.
+PLAIN = {
+    "op2_lm_score": "test_scores_against_exact_counts",
+    "op3_quality_rules": "test_quality_rules_on_messy_rows_and_outliers",
+    "op4_quality_classifier": "test_classifier_learns_and_shrinks",
+    "op5_sentencepiece": "test_pieces_equal_the_library_and_come_back",
+    "op6_mixing": "test_mix_reaches_its_targets_and_repeats",
+    "op7_language_id": "test_languages_against_the_plain_fusion",
+    "op8_chat_formatting": "test_perspectives",
+    "op9_simhash_dedup": "test_components_of_documents_are_those_of_all_pairs",
+    "op13_whitening": "test_whitening_against_a_full_decomposition",
+}
+
+
+def test_every_query_is_held_against_something():
+    assert set(queries.QUERIES) == set(oracles.SQL) | set(PLAIN) and not set(oracles.SQL) & set(PLAIN)
+    code = "".join(path.read_text() for path in Path(__file__).parent.glob("test_*.py"))
+    assert all(f"def {test}(" in code for test in PLAIN.values())

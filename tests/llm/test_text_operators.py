@@ -221,6 +221,35 @@ def test_mix_reaches_its_targets_and_repeats(spark):
     assert mixing.mix(df.limit(0), mixing.word_count("text")).count() == 0
 
 
+def test_components_of_documents_are_those_of_all_pairs(spark):
+    draw = random.Random(8)
+    rows = []
+    for base in range(8):
+        words_ = [f"b{base}w{draw.randrange(500)}" for _ in range(draw.choice([0, 2, 40, 200]))]
+        for _ in range(12):
+            changed = list(words_)
+            for _ in range(draw.choice([0, 1, 2, 5])):
+                if changed:
+                    changed[draw.randrange(len(changed))] = f"n{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(changed), "en", "s"))
+    prints = [fingerprint(r[1]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    found = {r.row.doc_id: (r.fp % 2**64, r.component) for r in simhash.near_copies(documents(spark, rows)).collect()}
+    assert found == {k: (prints[k], top(k)) for k in range(len(rows))}
+    kept = sorted(r.doc_id for r in simhash.without_copies(documents(spark, rows)).collect())
+    assert kept == sorted({top(k) for k in range(len(rows))}) and 1 < len(kept) < len(rows)
+
+
 # Pieces
 
 
