@@ -31,7 +31,7 @@ MARK = "▁"
 #: Pieces that a vocabulary may have, since it is broadcast.
 MAX_PIECES = 1_000_000
 #: Bytes of text whose words are sorted at once; words and pairs that a worker remembers.
-BATCH_BYTES, WORDS, PAIRS = 4 << 20, 400_000, 1_000_000
+BATCH_BYTES, WORDS, PAIRS = 2 << 20, 200_000, 400_000
 #: Characters without a piece are tokens below 0; ``START`` stands before a word.
 CHARACTERS, START = 0x110000, -1 - 0x110000
 #: Fixed values of the model format: kinds of model and of piece.
