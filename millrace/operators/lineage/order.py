@@ -9,43 +9,39 @@ shared folder, and only edges that are still open are moved.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.operators.lineage.graph import downstream
-from millrace.workspace import materialise
+from millrace.workspace import fresh_path, materialise
 
 
 def _peeled(edges: DataFrame, end: str, other: str) -> DataFrame:
     """Edges ``a, b`` without those that lead, over any number of edges, only to nodes without an edge at ``end``."""
     edges, left = materialise(edges, "open")
-    while left:
-        going = edges.select(F.col(other).alias("node")).distinct().join(
-            edges.select(F.col(end).alias("node")).distinct(), "node", "left_anti"
-        )
-        going, leaving = materialise(going, "settled")
-        if not leaving:
-            break
-        kept = edges.join(going, edges[other] == going["node"], "left_anti")
-        edges, left = materialise(kept, "open")
+    before = None
+    while left and left != before:
+        before = left
+        going_on = edges.select(F.col(end).alias("node")).distinct()
+        edges, left = materialise(edges.join(going_on, edges[other] == going_on["node"], "left_semi"), "open")
     return edges
 
 
-def _spread(first: DataFrame, steps: DataFrame) -> DataFrame:
+def _spread(named: DataFrame, steps: DataFrame) -> DataFrame:
     """``node, name``: the smallest name that a node has of its own or over ``steps`` (``node, next``)."""
-    named, newest = first, first
+    newest = named
     while True:
-        offered = newest.join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.min("name").alias("name"))
-        better = offered.join(named.withColumnRenamed("name", "known"), "node").where("name < known").select("node", "name")
-        newest, rows = materialise(better, "renamed")
-        if not rows:
-            return named
-        named, _ = materialise(
-            named.join(newest.withColumnRenamed("name", "new"), "node", "left").select(
-                "node", F.coalesce("new", "name").alias("name")
-            ),
-            "named",
+        offered = newest.join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.min("name").alias("offer"))
+        better = F.coalesce(F.col("offer") < F.col("name"), F.lit(False))
+        path, seen = fresh_path(named.sparkSession, "named"), Observation()
+        both = named.join(offered, "node", "left").select(
+            "node", F.when(better, F.col("offer")).otherwise(F.col("name")).alias("name"), better.alias("renamed")
         )
+        both.observe(seen, F.count(F.when(F.col("renamed"), 1)).alias("renamed")).write.parquet(path)
+        written = named.sparkSession.read.schema(both.schema).parquet(path)
+        named, newest = written.select("node", "name"), written.where("renamed").select("node", "name")
+        if not seen.get["renamed"]:
+            return named
 
 
 def cycles(dataset_edges: DataFrame) -> DataFrame:
@@ -100,24 +96,19 @@ def levels(dataset_edges: DataFrame, of_cycles: DataFrame | None = None) -> Data
             of = grouped.select(F.col("dataset").alias(end), F.col("cycle").alias("whole"))
             edges = edges.join(of, end, "left").withColumn(end, F.coalesce("whole", end)).drop("whole")
     edges, left = materialise(edges.select("a", "b").where("a <> b").distinct(), "open")
-    settled = None
-    level = 0
-    heads, _ = materialise(edges.select(F.col("a").alias("node")).distinct(), "heads")
+    settled, level, before = None, 0, None
     while left:
-        # Nodes that had an open input in this round and have none in the next.
-        still = edges.select(F.col("a").alias("node")).distinct()
-        sources = edges.select(F.col("b").alias("node")).distinct().join(still, "node", "left_anti")
-        sources, leaving = materialise(sources, "sources")
-        if not leaving:
+        if left == before:
             raise ValueError("of_cycles does not hold every cycle of the graph")
-        edges, left = materialise(edges.join(sources, edges["b"] == sources["node"], "left_anti"), "open")
-        rest, _ = materialise(edges.select(F.col("a").alias("node")).distinct(), "heads")
-        level += 1
-        now = heads.join(rest, "node", "left_anti").withColumn("level", F.lit(level))
+        before, level = left, level + 1
+        # A node has open inputs in as many rounds as its level says.
+        heads = edges.select(F.col("a").alias("node")).distinct()
+        now = heads.withColumn("level", F.lit(level))
         settled = now if settled is None else settled.unionByName(now)
-        heads = rest
+        edges, left = materialise(edges.join(heads, edges["b"] == heads["node"], "left_semi"), "open")
     if settled is None:
         return nodes.select("dataset", F.lit(0).alias("level"))
+    settled = settled.groupBy("node").agg(F.max("level").alias("level"))
     settled, _ = materialise(settled, "levels")
     named = nodes.join(grouped, "dataset", "left").select("dataset", F.coalesce("cycle", "dataset").alias("node"))
     return named.join(settled, "node", "left").select("dataset", F.coalesce("level", F.lit(0)).alias("level"))
