@@ -89,6 +89,15 @@ def _walk(
     return found.all().withColumnRenamed("round", "hops")
 
 
+def reach(step: DataFrame, many: int, starts: DataFrame) -> DataFrame:
+    """``node``: the starts and all that ``step`` (``node, next``, ``many`` rows) leads to from any of them, each once."""
+
+    def advance(frontier: DataFrame) -> DataFrame:
+        return frontier.join(step, "node").select(F.col("next").alias("node"))
+
+    return _walk(starts.select("node"), advance, many).select("node")
+
+
 def _all_pairs(links: DataFrame, depth: int | None = None) -> DataFrame:
     """All pairs ``start, node, hops`` up to ``depth`` hops; the longest path known doubles per round.
 
@@ -218,13 +227,28 @@ def column_paths(column_edges: DataFrame, starts: DataFrame | None = None) -> Da
 
     ``out_dataset, out_column`` is the mart column, ``in_dataset, in_column`` the raw one, ``subtype`` that of the
     whole path; ``position`` counts from 0 at the mart column, and ``dataset, column`` is what stands there. Of
-    several shortest paths the one whose columns, seen from the raw end, come first by name is taken.
+    several shortest paths the one whose columns, seen from the raw end, come first by name is taken (of two edges
+    between the same columns, the path that is the weaker up to there).
+
+    The walk begins at the marts or at the raw columns, whichever are fewer, and gives the same answer from
+    either side.
+    """
+    edges, many = _direct_edges(column_edges)
+    marts, mart_count, raws, raw_count = _ends(edges, starts)
+    side = _paths_from_marts if mart_count <= raw_count else _paths_from_raws
+    parts = side(edges, many, marts, raws)
+    found_paths = parts[0]
+    for part in parts[1:]:
+        found_paths = found_paths.unionByName(part)
+    return found_paths.select(*OUT, *IN, _subtype("kind").alias("subtype"), "position", "dataset", "column")
+
+
+def _paths_from_marts(edges: DataFrame, many: int, marts: DataFrame, raws: DataFrame) -> list[DataFrame]:
+    """Rows of ``column_paths``, ``kind`` being the strength of a path.
 
     Every state of the walk keeps the smallest state that it was reached from. The paths are then read backward,
     a hop at a time, and each hop meets only the states of its own round.
     """
-    edges, many = _direct_edges(column_edges)
-    marts, _, raws, _ = _ends(edges, starts)
     state = [*OUT, *IN, "strength"]
     nobody = F.lit(None).cast("struct<in_dataset: string, in_column: string, strength: int>")
     step = edges.select(
@@ -254,13 +278,78 @@ def column_paths(column_edges: DataFrame, starts: DataFrame | None = None) -> Da
             met.select(*OUT, "end", F.lit(number).alias("position"), F.col("in_dataset").alias("dataset"), F.col("in_column").alias("column"))
         )
         going = met.select(*OUT, "end", "before.*")
-    found_paths = parts[0]
-    for part in parts[1:]:
-        found_paths = found_paths.unionByName(part)
-    return found_paths.select(
-        *OUT, "end.in_dataset", "end.in_column", _subtype("end.strength").alias("subtype"), "position", "dataset", "column"
+    return [part.select(*OUT, "end.in_dataset", "end.in_column", F.col("end.strength").alias("kind"), "position", "dataset", "column") for part in parts]
+
+
+def _paths_from_raws(edges: DataFrame, many: int, marts: DataFrame, raws: DataFrame) -> list[DataFrame]:
+    """The same rows, walking from the raw columns.
+
+    A state is a column, a raw column, the ``kind`` of the whole path and how strong the path is ``so_far``, from the
+    mart column to here (0 at the mart column itself); it keeps the first of the states that follow on a shortest
+    path. First is what has the lowest ``place``: the states of a round are sorted by the place of what follows
+    them, then by name and strength, so places compare whole paths as seen from the raw end.
+    """
+    node = ("node_dataset", "node_column")
+    state = [*node, *IN, "kind", "so_far"]
+    ordered = ["before.place", *node, "so_far", *IN, "kind"]
+    read = _renamed(edges.select(*IN).distinct(), IN, OUT).withColumn("is_read", F.lit(True))
+    step = edges.join(marts.withColumn("is_mart", F.lit(True)), list(OUT), "left").join(read, list(OUT), "left")
+    step, _ = materialise(
+        step.select(
+            *[F.col(old).alias(new) for old, new in zip(IN, node)],
+            *[F.col(old).alias(f"next_{new}") for old, new in zip(OUT, node)],
+            "strength",
+            *[F.coalesce(name, F.lit(False)).alias(name) for name in ("is_mart", "is_read")],
+        ),
+        "onward",
     )
 
+    def advance(frontier: DataFrame) -> DataFrame:
+        # What a path may be before an edge so that it is ``so_far`` behind it.
+        weaker = F.when(F.col("strength") == F.col("so_far"), F.sequence(F.lit(0), "so_far")).otherwise(F.array("so_far"))
+        allowed = F.filter(weaker, lambda x: F.when(x == 0, F.col("is_mart")).otherwise(F.col("is_read")))
+        return (
+            frontier.join(step, list(node))
+            .where(F.col("strength") <= F.col("so_far"))
+            .select(
+                *[F.col(f"next_{name}").alias(name) for name in node],
+                *IN,
+                "kind",
+                F.explode(allowed).alias("before_edge"),
+                F.struct("place", *node, "so_far").alias("before"),
+            )
+            .withColumnRenamed("before_edge", "so_far")
+        )
+
+    smallest = F.min("before").alias("before")
+    kinds = F.explode(F.array(*[F.lit(k + 1) for k in range(len(DIRECT_SUBTYPES))]))
+    begin = raws.select(*[F.col(old).alias(new) for old, new in zip(IN, node)], *IN, kinds.alias("kind"))
+    begin = begin.select("*", F.col("kind").alias("so_far"), F.lit(0).cast("bigint").alias("place"))
+    found = _Rounds(advance(begin).groupBy(*state).agg(smallest), "paths", many, state)
+    rounds = []
+    while found.newest_rows:
+        onward = found.newest().where("so_far > 0").orderBy(*ordered)
+        placed, _ = materialise(onward.withColumn("place", F.monotonically_increasing_id()), "placed")
+        rounds.append(placed)
+        found.add_new(advance(placed), smallest)
+    ends, _ = materialise(found.all().where("so_far = 0"), "ends")
+    whole = [*OUT, *IN, "kind", "length"]
+    met, parts = None, []
+    for number in range(len(rounds), 0, -1):
+        # Paths that begin in this round, and those that come from the one before.
+        here = ends.where(F.col("round") == number).select(
+            *[F.col(old).alias(new) for old, new in zip(node, OUT)], *IN, "kind", F.col("round").alias("length"), *node, "before"
+        )
+        if met is not None:
+            going = met.select(*whole, "before.*").drop("place")
+            here = here.unionByName(going.join(rounds[number - 1].select(*state, "before"), state).select(*whole, *node, "before"))
+        met, _ = materialise(here, "hop")
+        parts.append(met.select(*whole[:-1], (F.col("length") - number).alias("position"), *node))
+    if met is None:
+        met = begin.limit(0).select(*[F.col(old).alias(new) for old, new in zip(node, OUT)], *IN, "kind", F.lit(0).alias("length"))
+    parts.append(met.select(*whole[:-1], F.col("length").alias("position"), *[F.col(old).alias(new) for old, new in zip(IN, node)]))
+    return [part.withColumnsRenamed({"node_dataset": "dataset", "node_column": "column"}) for part in parts]
+
 
 def without_hidden(dataset_edges: DataFrame, hidden: DataFrame) -> DataFrame:
     """The graph that remains if the ``hidden`` data sets (column ``dataset``) are never written.
