@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.sources.facts import DIRECT, DIRECT_SUBTYPES, INDIRECT, INDIRECT_SUBTYPES
+from millrace.workspace import materialise
+
+#: Edges that one task removes repetitions from.
+TASK_EDGES = 500_000
 EDGE = ("out_dataset", "out_column", "in_dataset", "in_column", "type", "subtype")
 
 
@@ -18,9 +22,20 @@ def latest_edges(column_edges: DataFrame, versions: DataFrame) -> DataFrame:
     """The edges of the last version of every job, by time and then by version.
 
     ``versions`` has ``job, version, ts``; run events will do. A job without a version there has no edges.
+    The last versions are written first: if the jobs are few, their edges are not shuffled by job.
     """
     last = versions.groupBy("job").agg(F.max(F.struct("ts", "version")).alias("last"))
-    return column_edges.join(last.select("job", F.col("last.version").alias("version")), ["job", "version"])
+    last, _ = materialise(last.select("job", F.col("last.version").alias("version")), "last")
+    return column_edges.join(last, ["job", "version"])
+
+
+def different(column_edges: DataFrame, *columns: str, most: int) -> DataFrame:
+    """Different rows of the ``columns``, where there are at most ``most`` rows.
+
+    The rows are dealt by all the columns before repetitions are removed, so what a task holds is bounded by
+    ``TASK_EDGES`` and not by the size of a file or the number of shuffle partitions.
+    """
+    return column_edges.select(*columns).repartition(most // TASK_EDGES + 1, *columns).distinct()
 
 
 def subtype_counts(column_edges: DataFrame) -> DataFrame:

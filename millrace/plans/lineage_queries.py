@@ -90,8 +90,9 @@ def lin8_direct_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def lin8_current_edges(spark: SparkSession, d: str) -> DataFrame:
     """Direct edges of the version of each load that ran last."""
-    current = edges.latest_edges(bindings.versioned_edges(spark, d), bindings.version_times(spark, d))
-    return edges.direct_edges(current).select("job", "version", *edges.EDGE).distinct()
+    versioned = bindings.versioned_edges(spark, d)
+    current = edges.latest_edges(versioned, bindings.version_times(spark, d))
+    return edges.different(edges.direct_edges(current), "job", "version", *edges.EDGE, most=versioned.count())
 
 
 def lin8_subtypes(spark: SparkSession, d: str) -> DataFrame:
