@@ -18,8 +18,18 @@ RANGES = 256
 
 
 def _range_of(at: Column, bounds: list) -> Column:
-    """Number of the range that a time lies in: how many bounds are at or before it."""
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= at)) if bounds else F.lit(0)
+    """Number of the range that a time lies in: how many of the sorted bounds are at or before it.
+
+    Found by halving, eight comparisons for 256 ranges.
+    """
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(at < bounds[middle], within(low, middle)).otherwise(within(middle + 1, high))
+
+    return within(0, len(bounds))
 
 
 def version_at(
