@@ -12,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.operators.lineage.graph import downstream
-from millrace.workspace import fresh_path, materialise
+from millrace.operators.lineage.graph import reach
+from millrace.workspace import fresh_path, materialise, write_counted
+
+#: Rows that one task takes the highest levels of.
+TASK_ROWS = 1_000_000
 
 
 def _peeled(edges: DataFrame, end: str, other: str) -> DataFrame:
@@ -88,29 +91,46 @@ def levels(dataset_edges: DataFrame, of_cycles: DataFrame | None = None) -> Data
     The level is that of the longest way from a source. Data sets of one cycle have one level, as if they were
     one data set. ``of_cycles`` is the result of ``cycles``, if it is at hand.
     """
-    grouped, in_cycles = materialise(cycles(dataset_edges) if of_cycles is None else of_cycles, "cycles")
     edges = dataset_edges.select(F.col("out_dataset").alias("a"), F.col("in_dataset").alias("b")).distinct()
     nodes, _ = materialise(edges.select(F.explode(F.array("a", "b")).alias("dataset")).distinct(), "nodes")
-    if in_cycles:
-        for end in ("a", "b"):
-            of = grouped.select(F.col("dataset").alias(end), F.col("cycle").alias("whole"))
-            edges = edges.join(of, end, "left").withColumn(end, F.coalesce("whole", end)).drop("whole")
-    edges, left = materialise(edges.select("a", "b").where("a <> b").distinct(), "open")
-    settled, level, before = None, 0, None
-    while left:
-        if left == before:
-            raise ValueError("of_cycles does not hold every cycle of the graph")
-        before, level = left, level + 1
-        # A node has open inputs in as many rounds as its level says.
+    if of_cycles is None:
+        settled, rest, left = _leveled(edges)
+        if not left:  # no cycles
+            return _with_levels(nodes.select("dataset", F.col("dataset").alias("node")), settled)
+        of_cycles = cycles(rest.select(F.col("a").alias("out_dataset"), F.col("b").alias("in_dataset")))
+    grouped, _ = materialise(of_cycles, "cycles")
+    for end in ("a", "b"):
+        of = grouped.select(F.col("dataset").alias(end), F.col("cycle").alias("whole"))
+        edges = edges.join(of, end, "left").withColumn(end, F.coalesce("whole", end)).drop("whole")
+    settled, _, left = _leveled(edges.select("a", "b"))
+    if left:
+        raise ValueError("of_cycles does not hold every cycle of the graph")
+    return _with_levels(nodes.join(grouped, "dataset", "left").select("dataset", F.coalesce("cycle", "dataset").alias("node")), settled)
+
+
+def _leveled(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``node, level`` of the nodes with inputs that are not on or behind a cycle, the edges never settled, and how many.
+
+    A node has open inputs in as many rounds as its level says. The open edges of every round are a partition of
+    one table, which is read once for all levels.
+    """
+    spark, root = edges.sparkSession, fresh_path(edges.sparkSession, "open")
+    level, rows, before = 1, 0, None
+    edges = edges.select("a", "b").where("a <> b").distinct()
+    left = write_counted(edges, f"{root}/level=1")
+    while left and left != before:
+        before, rows, level = left, rows + left, level + 1
+        edges = spark.read.schema(edges.schema).parquet(f"{root}/level={level - 1}")
         heads = edges.select(F.col("a").alias("node")).distinct()
-        now = heads.withColumn("level", F.lit(level))
-        settled = now if settled is None else settled.unionByName(now)
-        edges, left = materialise(edges.join(heads, edges["b"] == heads["node"], "left_semi"), "open")
-    if settled is None:
-        return nodes.select("dataset", F.lit(0).alias("level"))
-    settled = settled.groupBy("node").agg(F.max("level").alias("level"))
-    settled, _ = materialise(settled, "levels")
-    named = nodes.join(grouped, "dataset", "left").select("dataset", F.coalesce("cycle", "dataset").alias("node"))
+        left = write_counted(edges.join(heads, edges["b"] == heads["node"], "left_semi"), f"{root}/level={level}")
+    every = spark.read.schema("a string, b string, level int").option("basePath", root).parquet(root)
+    # Dealt by node before the highest is taken: what a task holds is bounded by TASK_ROWS.
+    dealt = every.select("a", "level").repartition(rows // TASK_ROWS + 1, "a")
+    settled, _ = materialise(dealt.groupBy(F.col("a").alias("node")).agg(F.max("level").alias("level")), "levels")
+    return settled, spark.read.schema(edges.schema).parquet(f"{root}/level={level}"), left
+
+
+def _with_levels(named: DataFrame, settled: DataFrame) -> DataFrame:
     return named.join(settled, "node", "left").select("dataset", F.coalesce("level", F.lit(0)).alias("level"))
 
 
@@ -120,7 +140,6 @@ def rerun_order(dataset_edges: DataFrame, failed: DataFrame) -> DataFrame:
     That is the failed data sets and all that they feed. Those of one level do not need each other, but for
     the data sets of one cycle.
     """
-    starts, _ = materialise(failed.select("dataset").distinct(), "failed")
-    fed = downstream(dataset_edges, starts=starts).select(F.col("downstream").alias("dataset"))
-    again, _ = materialise(fed.union(starts).distinct(), "again")
+    edges, many = materialise(dataset_edges.select(F.col("in_dataset").alias("node"), F.col("out_dataset").alias("next")).distinct(), "fed")
+    again = reach(edges, many, failed.select(F.col("dataset").alias("node"))).withColumnRenamed("node", "dataset")
     return levels(dataset_edges).join(again, "dataset", "left_semi")
