@@ -92,3 +92,12 @@ def test_ranges_of_time_are_found_by_halving(spark):
     assert "lambda" not in plan(found)
     assert all(row["range"] == bisect.bisect_right(bounds, row["id"]) for row in found.collect())
     assert spark.range(1).select(asof._range_of(F.col("id"), [])).first()[0] == 0
+
+
+def test_a_walk_moves_numbers(spark, monkeypatch, rows):
+    types, kept = [], graph._Rounds.add
+    monkeypatch.setattr(graph._Rounds, "add", lambda self, found: (types.append({t for _, t in found.dtypes}), kept(self, found)))
+    links = spark.createDataFrame([("b", "a"), ("c", "b"), ("b", "c"), (None, "a")], PAIRS)
+    starts = spark.createDataFrame([("c",), ("c",), (None,), ("elsewhere",)], "dataset STRING")
+    assert rows(graph.upstream(links, starts=starts)) == [("c", "a", 2), ("c", "b", 1)]
+    assert types and all(t == {"bigint"} for t in types)
