@@ -13,6 +13,7 @@ is split by adaptive execution, and a small side is broadcast by its measured si
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -402,25 +403,39 @@ def lineage_graph(job_io: DataFrame, starts: DataFrame, depth: int | None = None
     ``starts`` has ``id`` and ``type`` (``DATASET`` or ``JOB``). A hop leads from a data set to a job that
     reads or writes it, or from a job to one of its data sets. Versions of a job are one node.
     """
-    is_input = F.col("role") == "INPUT"
-    job = F.concat(F.lit("JOB/"), "job")
-    dataset = F.concat(F.lit("DATASET/"), "dataset")
-    forward = job_io.select(
-        F.when(is_input, dataset).otherwise(job).alias("node"), F.when(is_input, job).otherwise(dataset).alias("next")
-    )
-    forward, many = materialise(forward.distinct(), "links")
-    wanted, _ = materialise(starts.select(F.concat("type", F.lit("/"), "id").alias("start")).distinct(), "starts")
+    is_input = F.coalesce(F.col("role") == "INPUT", F.lit(False))
+    job = F.concat(F.lit("JOB/"), "job").alias("job")
+    dataset = F.concat(F.lit("DATASET/"), "dataset").alias("dataset")
+    ends = job_io.select(job, dataset, is_input.alias("is_input"))
+    reads, read = materialise(ends.where("is_input").select("job", "dataset").distinct(), "reads")
+    writes, wrote = materialise(ends.where("not is_input").select("job", "dataset").distinct(), "writes")
+    named = starts.select(F.concat("type", F.lit("/"), "id").alias("start")).distinct()
+    wanted = {kind: materialise(named.where(F.startswith("start", F.lit(f"{kind}/"))), "starts") for kind in ("DATASET", "JOB")}
+    other = {"DATASET": "JOB", "JOB": "DATASET"}
+
+    def reached(of_datasets: DataFrame, of_jobs: DataFrame, direction: str) -> DataFrame:
+        # Data sets and jobs take turns, so a round meets the links of its own kind of nodes only.
+        links = {
+            "DATASET": of_datasets.select(F.col("dataset").alias("node"), F.col("job").alias("next")),
+            "JOB": of_jobs.select(F.col("job").alias("node"), F.col("dataset").alias("next")),
+        }
+        turns = [kind for kind, (_, many) in wanted.items() if many] or ["DATASET"]
+        first = reduce(
+            DataFrame.unionByName,
+            [
+                links[kind].join(wanted[kind][0], F.col("node") == F.col("start")).select("start", F.col("next").alias("node"))
+                for kind in turns
+            ],
+        )
 
-    def reached(links: DataFrame, direction: str) -> DataFrame:
         def advance(frontier: DataFrame) -> DataFrame:
-            onward = frontier.join(links, "node").where(F.col("start") != F.col("next"))
-            return onward.select("start", F.col("next").alias("node"))
+            turns[:] = [other[kind] for kind in turns]
+            onward = reduce(DataFrame.unionByName, [frontier.join(links[kind], "node") for kind in turns])
+            return onward.where(F.col("start") != F.col("next")).select("start", F.col("next").alias("node"))
 
-        first = links.join(wanted, F.col("node") == F.col("start")).select("start", F.col("next").alias("node"))
-        return _walk(first, advance, many, depth).withColumn("direction", F.lit(direction))
+        return _walk(first, advance, read + wrote, depth).withColumn("direction", F.lit(direction))
 
-    backward = forward.select(F.col("next").alias("node"), F.col("node").alias("next"))
-    both = reached(backward, "UPSTREAM").unionByName(reached(forward, "DOWNSTREAM"))
+    both = reached(writes, reads, "UPSTREAM").unionByName(reached(reads, writes, "DOWNSTREAM"))
 
     def cut(node: str, what: str) -> Column:
         return F.regexp_extract(node, "(?s)^([^/]*)/(.*)$", 1 if what == "type" else 2)

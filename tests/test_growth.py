@@ -101,3 +101,15 @@ def test_a_walk_moves_numbers(spark, monkeypatch, rows):
     starts = spark.createDataFrame([("c",), ("c",), (None,), ("elsewhere",)], "dataset STRING")
     assert rows(graph.upstream(links, starts=starts)) == [("c", "a", 2), ("c", "b", 1)]
     assert types and all(t == {"bigint"} for t in types)
+
+
+def test_a_round_meets_links_of_its_own_kind(spark, written, rows):  # noqa: F811
+    """Starts are data sets: the second round joins what jobs read, and not what they write."""
+    io = [("j1", "INPUT", "a"), ("j1", "OUTPUT", "b"), ("j2", "INPUT", "b"), ("j2", "OUTPUT", "c"), ("j2", None, "d")]
+    io = spark.createDataFrame([(job, "1", role, name) for job, role, name in io], "job STRING, version STRING, role STRING, dataset STRING")
+    found = graph.lineage_graph(io, spark.createDataFrame([("c", "DATASET")], "id STRING, type STRING"))
+    assert rows(found) == [("c", "a", "DATASET", "UPSTREAM", 4), ("c", "b", "DATASET", "UPSTREAM", 2), ("c", "j1", "JOB", "UPSTREAM", 3), ("c", "j2", "JOB", "UPSTREAM", 1)]
+    joins = [text for text in written if "LeftAnti" in text]
+    assert joins and all(("/reads-" in text) != ("/writes-" in text) for text in joins)
+    mixed = spark.createDataFrame([("b", "DATASET"), ("j2", "JOB")], "id STRING, type STRING")
+    assert graph.lineage_graph(io, mixed).groupBy("start", "direction").count().count() == 4
