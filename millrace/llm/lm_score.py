@@ -1,19 +1,17 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 The filter holds words and pairs of neighbours with quantised counts: an item whose count has level
-``j`` (``BASE`` to the power of ``j - 1`` times the smallest count that is held) is put in ``j`` times, as
-the events ``(item, 1) .. (item, j)``. A reader probes the events one after the other; the first that is
-missing gives the level, and so the count within a factor of ``BASE``. An event sets a few bits of one
-64-bit word of the filter, so a probe is one access.
-
-The filter goes to the workers by broadcast, and its size is bounded: ``MAX_BYTES``. It grows with the
-items until then; beyond, the smallest count that pairs (then words) must reach rises until the events
-fit. All counts are exact and over all training documents: every worker sends the counts of its texts in
-blocks of sorted hashes, one block for each slice of the hashes, and a slice is added up by one task. The
-number of slices follows the size of the texts. A slice is also the part of the filter that one task makes.
-
-The base score needs the exact count of every word. Words that make up at least one in ``2**21`` of all
-tokens, at most ``2**21`` words, are broadcast; the others, none of which is frequent, are joined.
+``j`` (``BASE`` to the power of ``j - 1``) is put in ``j`` times, as the events ``(item, 1) .. (item, j)``. A
+reader probes the events one after the other; the first that is missing gives the level, and so the count
+within a factor of ``BASE``. An event sets a few bits of one 64-bit word of the filter, so a probe is one access.
+
+Every word and every pair of the training documents is held, those seen once too, however many there are.
+The filter is cut into slices, ranges of the items' hashes, whose number follows the tokens; a slice is made and
+probed by one task and never leaves it. Documents are gathered in blocks of about ``BLOCK_TOKENS`` tokens, which
+are written once. A block sends each slice its distinct items of that range with their counts in training
+documents. The slice adds the counts of all blocks, fills its part of the filter, probes it for the items
+of each block and sends the levels back in their order, for words the exact counts too, which the base score
+needs. A block then meets its answers, and its documents are scored.
 
 Probabilities are interpolated: ``p(v | u) = W c(uv) / c(u) + (1 - W) p(v)``, ``p(v)`` add-one smoothed, all
 counts from probes. An end follows the last word, a start precedes the first.
@@ -26,25 +24,26 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, LongType, StructField, StructType
 
 from millrace.llm.text import SEED, as_bytes, carried
 from millrace.workspace import materialise
 
 #: Ratio of neighbouring levels.
 BASE = 1.25
-#: Bits of the filter for each event, bits that an event sets, and the largest filter.
-EVENT_BITS, PROBE_BITS, MAX_BYTES = 12, 5, 64 << 20
-#: Pairs seen once are chance: they are counted, but a level begins at two.
-LEAST_PAIR = 2
+#: Bits of the filter for each event, and bits that an event sets.
+EVENT_BITS, PROBE_BITS = 12, 5
+#: The smallest count of a pair that is held: every pair is.
+LEAST_PAIR = 1
 #: Weight of the pair's share.
 WEIGHT = 0.1
-#: Bytes of text whose items are in one slice, and words that a worker gathers before it sends blocks.
-SLICE_BYTES, GATHER = 16 << 20, 1_000_000
-#: Words of at least one in so many tokens are broadcast with their exact counts.
-FREQUENT = 1 << 21
+#: Tokens that a block gathers, and tokens of all documents for each slice of the filter.
+BLOCK_TOKENS, SLICE_TOKENS = 1 << 20, 1 << 21
 #: The hashes of the end and of the start of a text.
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
@@ -66,10 +65,43 @@ def tokens(text: bytes) -> np.ndarray:
     return found
 
 
+def _before(words: np.ndarray) -> np.ndarray:
+    """The token before each; the texts of ``words`` all end, and a start precedes each of them."""
+    before = np.concatenate([[START], words[:-1]])
+    before[1:][words[:-1] == END] = START
+    return before
+
+
 def pair_codes(words: np.ndarray) -> np.ndarray:
     """A hash of each token with the one before it."""
-    before = np.concatenate([[START], words[:-1]])
-    return _mix(before * np.uint64(0x9E3779B97F4A7C15) ^ _mix(words))
+    return _mix(_before(words) * np.uint64(0x9E3779B97F4A7C15) ^ _mix(words))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes, by weight: first the lowest of all, then the next."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _numbers(data: pa.Buffer, kind: type) -> np.ndarray:
+    """The numbers that ``_planes`` took."""
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _pressed(values: np.ndarray) -> bytes:
+    """How many bytes, then the numbers compressed."""
+    return values.nbytes.to_bytes(8, "little") + pa.compress(_planes(values), "zstd", asbytes=True)
+
+
+def _restored(data: pa.BinaryScalar, kind: type) -> np.ndarray:
+    """The numbers that ``_pressed`` took."""
+    data = data.as_buffer()
+    return _numbers(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd"), kind)
+
+
+def _restored_codes(differences: np.ndarray) -> np.ndarray:
+    """Sorted codes from their differences."""
+    return np.cumsum(differences, dtype=np.uint64)
 
 
 def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,43 +114,86 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], np.add.reduceat(counts[order], first)
 
 
-_BLOCK = "order int, slice int, codes binary, counts binary"
+def _block_type(row: DataType) -> StructType:
+    parts = [StructField(name, BinaryType()) for name in ("lengths", "learned", "words", "places")]
+    return StructType([StructField("rows", ArrayType(row)), *parts, StructField("tokens", LongType())])
 
 
-def _blocks(slices: int):
-    """Training texts to blocks of item counts: one for each order, slice and ``GATHER`` words."""
+def _blocks(block_tokens: int):
+    """Rows ``row, learned, text`` to blocks: their rows, tokens, and whether the model learns from them.
 
-    def packed(order: int, found: list[np.ndarray]) -> pa.RecordBatch:
-        codes, counts = np.unique(np.concatenate(found), return_counts=True)
-        cuts = np.searchsorted(_slice_of(codes, slices), np.arange(slices + 1))
-        used = np.flatnonzero(np.diff(cuts))
-        counts = counts.astype(np.uint32)
+    Tokens are kept as the distinct words of the block, sorted, and the place of each token among them.
+    """
+
+    def packed(rows: list[pa.Array], learned: list[bool], found: list[np.ndarray]) -> pa.RecordBatch:
+        words, places = np.unique(np.concatenate(found), return_inverse=True)
+        held = pa.concat_arrays(rows)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(len(used), order, np.int32)),
-                pa.array(used.astype(np.int32)),
-                pa.array([codes[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary()),
-                pa.array([counts[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held),
+                pa.array([_pressed(np.array([len(x) for x in found], np.uint32))], pa.binary()),
+                pa.array([_pressed(np.array(learned, np.uint8))], pa.binary()),
+                pa.array([_pressed(np.diff(words, prepend=np.uint64(0)))], pa.binary()),
+                pa.array([_pressed(places.astype(np.uint32))], pa.binary()),
+                pa.array([len(places)], pa.int64()),
             ],
-            ["order", "slice", "codes", "counts"],
+            ["rows", "lengths", "learned", "words", "places", "tokens"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[np.ndarray] = []
-        pairs: list[np.ndarray] = []
+        rows: list[pa.Array] = []
+        learned: list[bool] = []
+        found: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for text in batch.column(0):
-                words.append(tokens(text.as_buffer().to_pybytes()))
-                pairs.append(pair_codes(words[-1]))
-                size += len(words[-1])
-                if size >= GATHER:
-                    yield packed(1, words)
-                    yield packed(2, pairs)
-                    words, pairs, size = [], [], 0
-        if size:
-            yield packed(1, words)
-            yield packed(2, pairs)
+            row, learns, texts = batch.columns
+            begin = 0
+            for k, text in enumerate(texts):
+                found.append(tokens(text.as_buffer().to_pybytes()))
+                learned.append(learns[k].as_py())
+                size += len(found[-1])
+                if size >= block_tokens:
+                    yield packed([*rows, row.slice(begin, k + 1 - begin)], learned, found)
+                    rows, learned, found, size, begin = [], [], [], 0, k + 1
+            if begin < len(row):
+                rows.append(row.slice(begin))
+        if found:
+            yield packed(rows, learned, found)
+
+    return run
+
+
+_ASKED = "block long, slice int, order int, codes binary, counts binary"
+
+
+def _asked(slices: int):
+    """Blocks to what they ask of each slice: their distinct items, with the counts in training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lengths, learned, words, places in zip(*batch.columns, strict=True):
+                learns = np.repeat(_restored(learned, np.uint8), _restored(lengths, np.uint32))
+                codes, at = _restored_codes(_restored(words, np.uint64)), _restored(places, np.uint32)
+                yield asked(block.as_py(), 1, codes, at, learns)
+                codes, at = np.unique(pair_codes(codes[at]), return_inverse=True)
+                yield asked(block.as_py(), 2, codes, at, learns)
+
+    def asked(block: int, order: int, codes: np.ndarray, at: np.ndarray, learns: np.ndarray) -> pa.RecordBatch:
+        counts = np.bincount(at[learns > 0], minlength=len(codes)).astype(np.uint32)
+        cuts = np.searchsorted(_slice_of(codes, slices), np.arange(slices + 1))
+        used = np.flatnonzero(np.diff(cuts))
+        differences = np.diff(codes, prepend=np.uint64(0))
+        differences[cuts[used]] = codes[cuts[used]]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(used), block, np.int64)),
+                pa.array(used.astype(np.int32)),
+                pa.array(np.full(len(used), order, np.int32)),
+                pa.array([_planes(differences[cuts[k] : cuts[k + 1]]) for k in used], pa.binary()),
+                pa.array([counts[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary()),
+            ],
+            ["block", "slice", "order", "codes", "counts"],
+        )
 
     return run
 
@@ -147,9 +222,6 @@ def middle(level: np.ndarray, least: int) -> np.ndarray:
     return np.where(level > 0, np.sqrt(low * high), 0.0)
 
 
-_COUNTED = "order int, slice int, codes binary, counts binary, items long, total long, sizes array<int>, many array<long>"
-
-
 def _packed(counts: np.ndarray) -> bytes:
     return counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64).tobytes()
 
@@ -160,27 +232,20 @@ def _totals(codes: np.ndarray, data: pa.Buffer) -> np.ndarray:
 
 
 def _added(table: pa.Table) -> pa.Table:
-    """One slice of one order: distinct items with their counts, and how many items have each count.
+    """One slice of one order: distinct items with their counts.
 
-    Items below ``LEAST_PAIR`` are counted but not listed, for pairs. A block's counts have 32 bits, which a
-    block cannot exceed; the totals of a slice have 64 where one of them needs more than 32.
+    A block's counts have 32 bits, which a block cannot exceed; the totals of a slice have 64 where one of
+    them needs more than 32.
     """
-    order = table["order"][0].as_py()
     codes, counts = _summed(*_joined(table))
-    items, total = len(codes), int(counts.sum())
-    held = counts >= (LEAST_PAIR if order == 2 else 1)
-    codes, counts = codes[held], counts[held]
-    sizes, many = np.unique(np.minimum(counts, 1 << 16), return_counts=True)
     return pa.table(
         {
-            "order": pa.array([order], pa.int32()),
+            "order": pa.array([table["order"][0].as_py()], pa.int32()),
             "slice": pa.array([table["slice"][0].as_py()], pa.int32()),
             "codes": pa.array([codes.tobytes()], pa.binary()),
             "counts": pa.array([_packed(counts)], pa.binary()),
-            "items": pa.array([items], pa.int64()),
-            "total": pa.array([total], pa.int64()),
-            "sizes": pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())),
-            "many": pa.array([many.astype(np.int64)], pa.list_(pa.int64())),
+            "items": pa.array([len(codes)], pa.int64()),
+            "total": pa.array([int(counts.sum())], pa.int64()),
         }
     )
 
@@ -217,22 +282,23 @@ def _filled(words: int, slices: int, least: dict[int, int]):
 _SALT = {1: np.uint64(0), 2: np.uint64(0x5BD1E995)}
 
 
+#: The smallest counts that are held, by order.
+LEAST = {1: 1, 2: LEAST_PAIR}
+
+
 class Model:
-    """What a worker needs: the filter and the totals. ``plain`` is what is broadcast."""
+    """The filter, or one slice of it, with its totals: the tokens and the distinct words of the training documents."""
 
     def __init__(self, bits: np.ndarray, slices: int, least: dict[int, int], total: int, distinct: int):
         self.bits, self.slices, self.least = bits, slices, least
         self.words = len(bits) // max(1, slices)
         self.total, self.distinct = total, distinct
 
-    def plain(self) -> tuple:
-        return self.bits, self.slices, self.least, self.total, self.distinct
-
-    def count(self, codes: np.ndarray, order: int) -> np.ndarray:
-        """Counts by probes, of distinct or repeated codes."""
+    def level(self, codes: np.ndarray, order: int) -> np.ndarray:
+        """Levels by probes, of distinct or repeated codes."""
         level = np.zeros(len(codes), np.int64)
         if not self.words:
-            return level.astype(float)
+            return level
         open_ = np.arange(len(codes))
         codes = codes ^ _SALT[order]
         k = 1
@@ -241,72 +307,11 @@ class Model:
             open_ = open_[self.bits[place] & mask == mask]
             level[open_] = k
             k += 1
-        return middle(level, self.least[order])
-
-    def scores(self, words: np.ndarray) -> np.ndarray:
-        """Log10 probability of each of the tokens, which may belong to several texts that all end."""
-        distinct, back = np.unique(words, return_inverse=True)
-        own = self.count(distinct, 1)[back]
-        before = np.concatenate([[START], words[:-1]])
-        before[1:][words[:-1] == END] = START
-        pair = self.count(_mix(before * np.uint64(0x9E3779B97F4A7C15) ^ _mix(words)), 2)
-        texts = max(1.0, float(self.count(np.array([END]), 1)[0]))
-        context = np.concatenate([[texts], own[:-1]])
-        context[before == START] = texts
-        single = (own + 1) / (self.total + self.distinct + 1)
-        share = np.where(context > 0, np.minimum(1.0, pair / np.maximum(context, 1.0)), 0.0)
-        return np.log10(WEIGHT * share + (1 - WEIGHT) * single)
-
-
-_SCORED = "tokens long, known long, base double, score double, rare array<long>, rare_n array<int>"
-
-
-def _scored(shared, frequent):
-    """Texts to scores; words that are not broadcast come back with their number in the text."""
-
-    @F.arrow_udf("struct<" + _SCORED.replace(" ", ": ").replace(",:", ",") + ">")
-    def score(texts: pa.Array) -> pa.Array:
-        model = Model(*shared.value)
-        codes, counts = frequent.value
-        n = model.total + model.distinct + 1
-        rows: list[tuple] = []
-        rare: list[np.ndarray] = [np.empty(0, np.uint64)]
-        many: list[np.ndarray] = [np.empty(0, np.int64)]
-        found = [tokens(text.as_buffer().to_pybytes()) for text in texts]
-        at = 0
-        while at < len(found):  # some texts at a time
-            size, upto = 0, at
-            while upto < len(found) and (upto == at or size + len(found[upto]) <= 1 << 19):
-                size += len(found[upto])
-                upto += 1
-            words = np.concatenate(found[at:upto])
-            scores = model.scores(words)
-            place = np.searchsorted(codes, words)
-            hit = codes[np.minimum(place, max(0, len(codes) - 1))] == words if len(codes) else np.zeros(len(words), bool)
-            base = np.zeros(len(words))
-            base[hit] = np.log10((counts[place[hit]] + 1) / n)
-            edges = np.cumsum([0, *map(len, found[at:upto])])
-            for k in range(upto - at):
-                own = slice(edges[k], edges[k + 1])
-                missed, times = np.unique(words[own][~hit[own]], return_counts=True)
-                rare.append(missed)
-                many.append(times)
-                rows.append((edges[k + 1] - edges[k], int(hit[own].sum()), float(base[own].sum()), float(scores[own].sum())))
-            found[at:upto] = [found[at][:0]] * (upto - at)
-            at = upto
-        offsets = pa.array(np.cumsum([0, *map(len, rare[1:])]).astype(np.int32))
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.StructArray.from_arrays(
-            [
-                pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
-                pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rare).view(np.int64))),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(many).astype(np.int32))),
-            ],
-            names=["tokens", "known", "base", "score", "rare", "rare_n"],
-        )
+        return level
 
-    return score
+    def count(self, codes: np.ndarray, order: int) -> np.ndarray:
+        """Counts by probes, of distinct or repeated codes."""
+        return middle(self.level(codes, order), self.least[order])
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,83 +326,147 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def trained(texts: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[Model, DataFrame, np.ndarray, np.ndarray]:
-    """The model of a table of texts (one column of bytes), all words with counts, and the frequent ones."""
-    name = texts.columns[0]
-    volume = texts.agg(F.sum(F.octet_length(name))).first()[0] or 0
-    slices = max(8, -(-volume // SLICE_BYTES))
-    blocks = texts.mapInArrow(_blocks(slices), _BLOCK)
-    counted, _ = materialise(blocks.groupBy("order", "slice").applyInArrow(_added, _COUNTED), "counted")
-    sums = counted.groupBy("order").agg(F.sum("items").alias("items"), F.sum("total").alias("total")).collect()  # 2 rows
-    found = {row["order"]: (row["items"], row["total"]) for row in sums}
-    distinct, total = found.get(1, (0, 0))
-    # How many items there are of each count; at most 2**16 of them are told apart, so this is bounded.
-    spread = counted.select("order", F.explode(F.arrays_zip("sizes", "many")).alias("x")).groupBy("order", "x.sizes").agg(
-        F.sum("x.many").alias("many")
-    ).toPandas()
-
-    def events(order: int, least: int) -> int:
-        own = spread[spread["order"] == order]
-        return int((levels(own["sizes"].to_numpy(np.int64), least) * own["many"].to_numpy(np.int64)).sum())
-
-    least = {1: 1, 2: LEAST_PAIR}
-    top = max_bytes * 8 // EVENT_BITS
-    while events(1, least[1]) + events(2, least[2]) > top and least[2] < 1 << 16:
-        least[2] += max(1, least[2] // 4)
-    while events(1, least[1]) + events(2, least[2]) > top and least[1] < 1 << 16:
-        least[1] += max(1, least[1] // 4)
-    needed = min(top, events(1, least[1]) + events(2, least[2])) * EVENT_BITS
-    words = max(1, -(-needed // (64 * slices)))
-    parts = counted.select("slice", "order", "codes", "counts").groupBy("slice").applyInArrow(
-        _filled(words, slices, least), "slice int, bits binary"
+def trained(parts: pa.Table) -> Model:
+    """The filter of one slice from its items, a row for each order, with as many bits as they need."""
+    events = sum(
+        int(levels(_totals(codes, counts.as_buffer()), LEAST[order]).sum())
+        for order, codes, counts in zip(
+            parts["order"].to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for x in parts["codes"]), parts["counts"], strict=True
+        )
     )
-    bits = np.zeros(words * slices, np.uint64)
-    table = parts.toArrow()  # at most max_bytes, and a word for each slice
-    for number, part in zip(table["slice"].to_pylist(), table["bits"], strict=True):
-        bits[number * words : (number + 1) * words] = np.frombuffer(part.as_buffer(), np.uint64)
-    vocabulary = counted.filter("order = 1").select("codes", "counts").mapInArrow(_listed, "code long, n long")
-    often = vocabulary.filter(F.col("n") * FREQUENT >= total).toArrow()  # at most FREQUENT rows
-    codes = often["code"].to_numpy().view(np.uint64)
-    order = np.argsort(codes)
-    return Model(bits, slices, least, total, distinct), vocabulary, codes[order], often["n"].to_numpy()[order]
+    words = max(1, -(-events * EVENT_BITS // 64))
+    bits = np.frombuffer(_filled(words, 1, LEAST)(parts)["bits"][0].as_buffer(), np.uint64)
+    first = pc.equal(parts["order"], 1)
+    return Model(bits, 1, LEAST, pc.sum(parts["total"].filter(first)).as_py(), pc.sum(parts["items"].filter(first)).as_py())
+
+
+_ANSWERED = "block long, slice int, order int, levels binary, counts binary, total long, distinct long"
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """One slice: its filter is made, and probed for what each block asks of it.
+
+    A block gets a row for each order: the levels of its items, and of words the exact counts. A row without
+    a block has the totals of the slice.
+    """
+    number = table["slice"][0].as_py()
+    asked, parts = {}, []
+    for order in (1, 2):
+        own = table.filter(pc.equal(table["order"], order))
+        codes = [np.empty(0, np.uint64), *(_restored_codes(_numbers(x.as_buffer(), np.uint64)) for x in own["codes"])]
+        counts = [np.empty(0, np.uint32), *(np.frombuffer(x.as_buffer(), np.uint32) for x in own["counts"])]
+        asked[order] = own["block"].to_pylist(), np.cumsum([len(x) for x in codes]), np.concatenate(codes)
+        learned = np.concatenate(counts)
+        held = learned > 0
+        part = {"codes": [asked[order][2][held].tobytes()], "counts": [learned[held].tobytes()]}
+        parts.append(_added(pa.table({"order": [order], "slice": [number], **part})))
+    held = pa.concat_tables(parts)
+    model = trained(held)
+    rows: list[tuple] = [(None, number, 0, None, None, model.total, model.distinct)]
+    for order, (blocks, cuts, codes) in asked.items():
+        distinct, at = np.unique(codes, return_inverse=True)
+        level = model.level(distinct, order).astype(np.uint8)[at]
+        exact = _exact(held, distinct)[at] if order == 1 else None
+        for block, begin, end in zip(blocks, cuts, cuts[1:], strict=False):
+            counts = _planes(exact[begin:end]) if order == 1 else None
+            rows.append((block, number, order, level[begin:end].tobytes(), counts, None, None))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["block", "slice", "order", "levels", "counts", "total", "distinct"]
+    return pa.table([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _exact(held: pa.Table, codes: np.ndarray) -> np.ndarray:
+    """Exact counts of words of a slice; 0 for those that are not held."""
+    listed = pa.Table.from_batches(
+        _listed(held.filter(pc.equal(held["order"], 1)).select(["codes", "counts"]).to_batches()),
+        pa.schema([("code", pa.int64()), ("n", pa.int64())]),
+    )
+    known, n = listed["code"].to_numpy().view(np.uint64), listed["n"].to_numpy()
+    found = np.zeros(len(codes), np.int64)
+    if len(known):
+        place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        found = np.where(known[place] == codes, n[place], 0)
+    return found
+
+
+def _log10s(words: np.ndarray, own: np.ndarray, pair: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """Log10 probability of each of the tokens of texts that all end, by the counts of the tokens and of their pairs."""
+    texts = max(1.0, float(own[words == END][0]))
+    context = np.concatenate([[texts], own[:-1]])
+    context[_before(words) == START] = texts
+    single = (own + 1) / (total + distinct + 1)
+    share = np.where(context > 0, np.minimum(1.0, pair / np.maximum(context, 1.0)), 0.0)
+    return np.log10(WEIGHT * share + (1 - WEIGHT) * single)
+
+
+def _scored(total: int, distinct: int, kind: pa.DataType):
+    """A block and its answers to a row for each document; ``kind`` is the Arrow type of ``row``."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        (rows,), (words,), (places,), (lengths,) = (blocks[x] for x in ("rows", "words", "places", "lengths"))
+        at = _restored(places, np.uint32)
+        words = _restored_codes(_restored(words, np.uint64))[at]
+        _, pair_at = np.unique(pair_codes(words), return_inverse=True)
+        answers = answers.sort_by("slice")  # slices are in the order of the codes
+        single, double = (answers.filter(pc.equal(answers["order"], order)) for order in (1, 2))
+        own, pair = (
+            middle(np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in own["levels"]]).astype(np.int64), LEAST[order])
+            for order, own in ((1, single), (2, double))
+        )
+        exact = np.concatenate([_numbers(x.as_buffer(), np.int64) for x in single["counts"]])[at]
+        size = _restored(lengths, np.uint32).astype(np.int64)
+        begin = np.cumsum(size) - size
+        scores = _log10s(words, own[at], pair[pair_at], total, distinct)
+        return pa.table(
+            {
+                "row": rows.values.cast(kind),  # times come in the session's zone and go back in UTC
+                "tokens": pa.array(size),
+                "known": pa.array(np.add.reduceat((exact > 0).astype(np.int64), begin)),
+                "total": pa.array(np.full(len(size), total, np.int64)),
+                "base_score": pa.array(np.add.reduceat(np.log10((exact + 1) / float(total + distinct + 1)), begin)),
+                "score": pa.array(np.add.reduceat(scores, begin)),
+            }
+        )
+
+    return run
 
 
 def scored(
-    df: DataFrame, is_training: Column, text: str = "text", carry: list[str] | None = None, max_bytes: int = MAX_BYTES
+    df: DataFrame,
+    is_training: Column,
+    text: str = "text",
+    carry: list[str] | None = None,
+    block_tokens: int = BLOCK_TOKENS,
+    slice_tokens: int = SLICE_TOKENS,
 ) -> DataFrame:
     """``row, tokens, known, total, base_score, score`` for every input row.
 
     The model learns from the rows for which ``is_training`` holds (a null condition does not). ``row``
-    holds the ``carry`` columns (default: the text). A null or empty text has one token, the end.
+    holds the ``carry`` columns (default: the text), of any type but intervals of months. A null or empty text has one token, the end.
     ``known`` tokens occur in training; ``total`` is the number of all training tokens, ``base_score``
     the add-one smoothed log10 probability by exact counts of words, ``score`` that of the model. Repeated
     rows count as often as they come. An empty table gives an empty result; without training rows each
-    token has probability 1.
+    token has probability 1. ``block_tokens`` and ``slice_tokens`` bound what one task holds at a time, not the model.
     """
-    spark = df.sparkSession
-    texts = df.filter(is_training).select(as_bytes(F.col(f"`{text}`")).alias("text"))
-    model, vocabulary, codes, counts = trained(texts, max_bytes)
-    shared = spark.sparkContext.broadcast(model.plain())
-    often = spark.sparkContext.broadcast((codes, counts))
     made = df.select(
-        carried(carry or [text]), F.monotonically_increasing_id().alias("number"), _scored(shared, often)(as_bytes(F.col(f"`{text}`"))).alias("s")
-    ).select("row", "number", "s.*")
-    made, _ = materialise(made, "scored")
-    rest = made.select("number", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select(
-        "number", F.col("x.rare").alias("code"), F.col("x.rare_n").alias("times")
+        carried(carry or [text]), F.coalesce(is_training, F.lit(False)).alias("learned"), as_bytes(F.col(f"`{text}`")).alias("text")
     )
-    rest = rest.join(vocabulary, "code", "left")
-    n = float(model.total + model.distinct + 1)
-    found = F.coalesce("n", F.lit(0))
-    rest = rest.groupBy("number").agg(
-        F.sum(F.when(found > 0, F.col("times")).otherwise(0)).alias("rest_known"),
-        F.sum(F.col("times") * F.log10((found + 1) / F.lit(n))).alias("rest_base"),
+    packed = made.mapInArrow(_blocks(block_tokens), _block_type(made.schema["row"].dataType))
+    blocks, _ = materialise(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    row = blocks.schema["rows"].dataType.elementType  # as read back: everything in it may be null
+    size = blocks.agg(F.sum("tokens")).first()[0] or 0
+    asked = blocks.select("block", "lengths", "learned", "words", "places").mapInArrow(
+        _asked(max(8, -(-size // slice_tokens))), _ASKED
     )
-    return made.join(rest, "number", "left").select(
-        "row",
-        "tokens",
-        (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("known"),
-        F.lit(model.total).cast("long").alias("total"),
-        (F.col("base") + F.coalesce("rest_base", F.lit(0.0))).alias("base_score"),
-        "score",
+    answers, _ = materialise(asked.groupBy("slice").applyInArrow(_answered, _ANSWERED), "answers")
+    sums = answers.filter("block is null").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
+    numbers = [StructField(x, LongType()) for x in ("tokens", "known", "total")]
+    return (
+        blocks.drop("learned", "tokens")
+        .groupBy("block")
+        .cogroup(answers.filter("block is not null").drop("total", "distinct").groupBy("block"))
+        .applyInArrow(
+            _scored(sums["total"] or 0, sums["distinct"] or 0, to_arrow_type(row)),
+            StructType([StructField("row", row), *numbers, StructField("base_score", DoubleType()), StructField("score", DoubleType())]),
+        )
     )

@@ -342,6 +342,55 @@ def test_scores_against_exact_counts(spark):
     assert lm_score.scored(df.limit(0), training).count() == 0
 
 
+def test_pairs_seen_once_are_held_however_the_filter_is_cut(spark):
+    # 2,000 documents of words of their own: every pair is seen once, or twice where a held-out copy is scored.
+    rows = [(k, " ".join(f"w{(k * 31 + j) % 1999}x{k % 7 * j}" for j in range(8)), "en", "s") for k in range(2000)]
+    df = documents(spark, rows + [(5000 + k, rows[k][1], "en", "s") for k in range(100)]).repartition(3)
+    training = F.col("doc_id") < 5000
+    counts, pairs, contexts = Counter(), Counter(), Counter()
+    for _, value, *_ in rows:
+        own = [0, *value.split(), None]
+        counts.update(own[1:])
+        pairs.update(zip(own, own[1:], strict=False))
+        contexts.update(own[:-1])
+    n, v = sum(counts.values()), len(counts)
+    assert sum(k == 1 for k in pairs.values()) > 0.5 * len(pairs)
+
+    def exact(value):
+        own = [0, *value.split(), None]
+        return sum(
+            math.log10(lm_score.WEIGHT * pairs[a, b] / contexts[a] + (1 - lm_score.WEIGHT) * (counts[b] + 1) / (n + v + 1))
+            for a, b in zip(own, own[1:], strict=False)
+        )
+
+    plain = lm_score.scored(df, training, carry=["doc_id", "text"])
+    cut = lm_score.scored(df, training, carry=["doc_id", "text"], block_tokens=300, slice_tokens=500)
+    held = []
+    for found in (plain, cut):
+        found = {r.row.doc_id: r for r in found.collect()}
+        assert len(found) == 2100
+        difference = [(r.score - exact(r.row.text)) / r.tokens for r in found.values()]
+        assert abs(np.mean(difference)) < 0.03 and np.abs(difference).max() < 0.3
+        held.append({k: (r.row.text, r.tokens, r.known, r.total, round(r.base_score, 9)) for k, r in found.items()})
+    assert held[0] == held[1]
+
+
+def test_scored_rows_carry_columns_of_any_type(spark):
+    df = spark.range(30).selectExpr(
+        "id", "concat('a b ', id % 3) text", "timestamp'2024-03-10 12:30:00' at", "map(id, named_struct('q', id, 'z', null)) m",
+        "if(id = 3, null, cast(1.5 as decimal(38, 10))) d", "cast(X'ff00c3' as string) malformed", "array(id, null) a",
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = lm_score.scored(df, F.col("id") % 5 != 2, carry=df.columns, block_tokens=40)
+        kept = F.to_json(F.struct("id", "text", "at", "m", "d", F.hex("malformed"), "a"))
+        expected = sorted(r[0] for r in df.select(kept).collect())
+        assert sorted(r[0] for r in found.select("row.*").select(kept).collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives():
     draw = np.random.default_rng(7)
     codes = draw.integers(0, 2**64, 20_000, dtype=np.uint64)
